@@ -6,11 +6,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import color_sets, overlap, topk
+from . import color_sets, distinct, kmer_rows, overlap, seen, topk
 
 TOP = 20
 
 
+def _inserted(spark: SparkSession, d: str) -> DataFrame:
+    return kmer_rows.inserted_kmers(table(spark, d, "kmer_inserts"), table(spark, d, "meta"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose k-mer also occurs at a smaller insert_id."""
+    answers = seen.seen_before(_inserted(spark, d), F.col("insert_id"), F.col("graph_id"), F.col("kmer"))
+    return answers.where("seen").select(F.col("id").alias("insert_id")).distinct()
+
+
+def p4_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Per size of the remembered hashes: answers, wrong answers (against exact ones) and the stated bound."""
+    rows = _inserted(spark, d).where(F.col("insert_id").isNotNull())
+    first = rows.groupBy("graph_id", "kmer").agg(F.min("insert_id").alias("first"), F.count_distinct("insert_id").alias("n"))
+    true_ = first.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.col("n") - 1)).first()
+    probes, keys, repeats = (int(x or 0) for x in true_)
+    out = None
+    for bits in (36, 64):
+        answers = seen.seen_before(rows, F.col("insert_id"), F.col("graph_id"), F.col("kmer"), bits=bits)
+        said = answers.where("seen").select("id").distinct().agg(F.count(F.lit(1)).alias("said_seen"))
+        one = said.select(
+            F.lit(bits).alias("bits"), F.lit(probes).alias("answers"), (F.col("said_seen") - repeats).alias("wrong"),
+            ((F.col("said_seen") - repeats) / max(1, probes)).alias("wrong_rate"),
+            F.lit(seen.expected_wrong(probes, keys, bits) / max(1, probes)).alias("stated_rate"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p5_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated distinct k-mers with 95 % interval per day, genome, day and genome, week, genome and week, and in all.
+
+    The day, genome and week columns are null where they are not part of the group (``kind`` names the
+    group) and where the row's own value is null.
+    """
+    day = F.datediff(F.to_date("inserted_at"), F.lit("1970-01-01").cast("date"))
+    rows = _inserted(spark, d).withColumns({"day": day, "genome": F.col("id_genome")})
+    base = cut(distinct.merged(distinct.sketches(rows, ["day", "genome"], F.col("graph_id"), F.col("kmer")), ["day", "genome"]))
+    none = F.lit(-1).cast("bigint")
+    week = F.when(F.col("day") < 0, none).otherwise(F.floor((F.col("day") + 3) / 7))  # weeks begin on Mondays
+    kinds = {"day": (F.col("day"), none, none), "genome": (none, F.col("genome"), none), "week": (none, none, week),
+             "genome_week": (none, F.col("genome"), week), "all": (none, none, none)}
+    names = [*kinds, "day_genome"]
+    groups = F.array(*[F.struct(F.lit(i).cast("bigint").alias("kind"), a.alias("day"), b.alias("genome"), c.alias("week")) for i, (a, b, c) in enumerate(kinds.values())])
+    unions = base.select(F.explode(groups).alias("g"), "registers").select("g.*", "registers")
+    combined = distinct.merged(unions, ["kind", "day", "genome", "week"])
+    cells = base.select(F.lit(len(kinds)).cast("bigint").alias("kind"), "day", "genome", none.alias("week"), "registers")
+    out = distinct.estimates(combined.unionByName(cells))
+    known = lambda c: F.when(F.col(c) >= 0, F.col(c).cast("int"))
+    return out.select(
+        F.element_at(F.array(*map(F.lit, names)), F.col("kind").cast("int") + 1).alias("kind"),
+        F.date_add(F.lit("1970-01-01").cast("date"), known("day")).alias("day"), known("genome").alias("genome"),
+        F.date_add(F.lit("1970-01-01").cast("date"), known("week") * 7 - 3).alias("week"), "estimate", "low", "high",
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The 20 color sets that most rows of kmers have."""
     return p6_top_color_sets(spark, d).select("annot_hex")
@@ -39,6 +95,9 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_wrong_rate": p4_wrong_rate,
+    "p5_distinct_counts": p5_distinct_counts,
     "p6_found": p6_found,
     "p6_top_color_sets": p6_top_color_sets,
     "p7_found": p7_found,
@@ -52,7 +111,13 @@ _COLOR_SET_ROWS = """sets AS (SELECT hex(annot) AS annot_hex FROM kmers WHERE an
                      unnest(range(octet_length(annot_array) // size_annot)) AS i FROM color_dict)) e
       ON k.dict_pos = e.pos WHERE k.annot IS NULL)"""
 
+_INSERTED = """ins AS (SELECT insert_id, i.graph_id, replace(upper(left(array_kmers, k)), 'U', 'T') AS kmer, k
+      FROM kmer_inserts i JOIN meta USING (graph_id))"""
+
 ORACLES = {
+    "p4_found": f"""WITH {_INSERTED}, ok AS (SELECT * FROM ins WHERE length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+'))
+        SELECT DISTINCT insert_id FROM (SELECT insert_id, min(insert_id) OVER (PARTITION BY graph_id, kmer) AS first FROM ok)
+        WHERE insert_id > first""",
     "p6_found": f"WITH {_COLOR_SET_ROWS} SELECT annot_hex FROM sets GROUP BY 1 ORDER BY count(*) DESC, annot_hex LIMIT {TOP}",
     "p6_top_color_sets": f"WITH {_COLOR_SET_ROWS} SELECT annot_hex, count(*) AS n_rows FROM sets GROUP BY 1 ORDER BY n_rows DESC, annot_hex LIMIT {TOP}",
     "p7_found": """
