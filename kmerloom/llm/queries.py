@@ -6,11 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import color_sets, distinct, kmer_rows, overlap, seen, topk
+from . import color_sets, distinct, kmer_rows, leak, overlap, seen, spans, topk
 
 TOP = 20
 
 
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    """One row per read_id, the latest delivery: read in bases and occ_count (null as 1)."""
+    rows = table(spark, d, "read_counts").where(F.col("read_id").isNotNull())
+    latest = rows.groupBy("read_id").agg(F.max_by(F.struct("read", "occ_count"), F.coalesce("loaded_at", "seen_at")).alias("r"))
+    return latest.select(
+        "read_id", F.translate(F.upper("r.read"), "U", "T").alias("read"), F.coalesce("r.occ_count", F.lit(1)).alias("occ_count")
+    )
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    of_reads = reads(spark, d).select(F.col("read_id").alias("rec_id"), F.col("read").alias("text"))
+    of_files = table(spark, d, "genomes").select(F.col("genome_id").alias("rec_id"), F.col("filename").alias("text"))
+    kind = lambda df, k: df.select(F.lit(k).alias("rec_kind"), "*")
+    return kind(spans.shared_spans(of_reads, 48, "ACGT"), "read").unionByName(kind(spans.shared_spans(of_files, 24), "file"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal runs of letters of reads (48 bases) and file names (24 characters) that other records hold too."""
+    return _spans(spark, d)
+
+
+def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    """Per record with a shared span: its length, the letters shared elsewhere and their share."""
+    of_reads = reads(spark, d).select(F.lit("read").alias("rec_kind"), F.col("read_id").alias("rec_id"), F.length("read").alias("n_chars"))
+    of_files = table(spark, d, "genomes").select(F.lit("file").alias("rec_kind"), F.col("genome_id").cast("bigint").alias("rec_id"), F.length("filename").alias("n_chars"))
+    shared = _spans(spark, d).groupBy("rec_kind", "rec_id").agg(F.sum("span_len").alias("shared_chars"), F.count(F.lit(1)).alias("n_spans"))
+    all_ = of_reads.unionByName(of_files).join(shared, ["rec_kind", "rec_id"])
+    return all_.withColumn("share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and evaluation items that share 50 consecutive letters or digits."""
+    return leak.leaked_pairs(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item the number of documents that hold a part of it."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def _inserted(spark: SparkSession, d: str) -> DataFrame:
     return kmer_rows.inserted_kmers(table(spark, d, "kmer_inserts"), table(spark, d, "meta"))
 
@@ -95,6 +135,10 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_shared_share": p2_shared_share,
+    "p9_found": p9_found,
+    "p9_leaked_items": p9_leaked_items,
     "p4_found": p4_found,
     "p4_wrong_rate": p4_wrong_rate,
     "p5_distinct_counts": p5_distinct_counts,
@@ -114,7 +158,33 @@ _COLOR_SET_ROWS = """sets AS (SELECT hex(annot) AS annot_hex FROM kmers WHERE an
 _INSERTED = """ins AS (SELECT insert_id, i.graph_id, replace(upper(left(array_kmers, k)), 'U', 'T') AS kmer, k
       FROM kmer_inserts i JOIN meta USING (graph_id))"""
 
+_SPANS = """recs AS (
+        SELECT 'read' AS rec_kind, read_id AS rec_id, 48 AS w, replace(upper(arg_max(read, loaded_at)), 'U', 'T') AS text
+        FROM read_counts GROUP BY read_id
+        UNION ALL SELECT 'file', genome_id, 24, filename FROM genomes),
+      wins AS (SELECT rec_kind, rec_id, w, p AS start, substr(text, p + 1, w) AS win
+        FROM (SELECT *, unnest(range(greatest(length(text) - w + 1, 0)::BIGINT)) AS p FROM recs WHERE text IS NOT NULL)),
+      ok AS (SELECT * FROM wins WHERE rec_kind = 'file' OR regexp_full_match(win, '[ACGT]+')),
+      several AS (SELECT rec_kind, win FROM ok GROUP BY 1, 2 HAVING count(DISTINCT rec_id) > 1),
+      marked AS (SELECT * FROM ok SEMI JOIN several USING (rec_kind, win)),
+      gaps AS (SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY rec_kind, rec_id ORDER BY start) + w THEN 0 ELSE 1 END AS gap FROM marked),
+      runs AS (SELECT *, sum(gap) OVER (PARTITION BY rec_kind, rec_id ORDER BY start) AS run FROM gaps),
+      spans AS (SELECT rec_kind, rec_id, min(start)::INTEGER AS span_start, (max(start) - min(start) + w)::INTEGER AS span_len
+        FROM runs GROUP BY rec_kind, rec_id, run, w)"""
+_NORMAL = "regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')"
+_LEAKS = f"""docs AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
+      items AS (SELECT item_id, {_NORMAL} AS t FROM benchmark),
+      win AS (SELECT DISTINCT item_id, substr(t, p, 50) AS s FROM (SELECT item_id, t, unnest(range(1, length(t) - 48)) AS p FROM items)),
+      leaks AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, substr(t, p, 50) AS s FROM
+        (SELECT doc_id, t, unnest(range(1, length(t) - 48)) AS p FROM docs)) JOIN win USING (s))"""
+
 ORACLES = {
+    "p2_found": f"WITH {_SPANS} SELECT rec_kind, rec_id, span_start, span_len FROM spans",
+    "p2_shared_share": f"""WITH {_SPANS} SELECT rec_kind, rec_id, CAST(length(text) AS INTEGER) AS n_chars,
+        CAST(sum(span_len) AS BIGINT) AS shared_chars, count(*) AS n_spans, round(sum(span_len) / length(text), 6) AS share
+        FROM spans JOIN recs USING (rec_kind, rec_id) GROUP BY rec_kind, rec_id, text""",
+    "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p9_leaked_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs FROM leaks GROUP BY item_id",
     "p4_found": f"""WITH {_INSERTED}, ok AS (SELECT * FROM ins WHERE length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+'))
         SELECT DISTINCT insert_id FROM (SELECT insert_id, min(insert_id) OVER (PARTITION BY graph_id, kmer) AS first FROM ok)
         WHERE insert_id > first""",
