@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 LEVELS = (12, 24, 40, 64)
 
 
@@ -30,9 +32,10 @@ def most_frequent(rows: DataFrame, k: int, levels: tuple[int, ...] = LEVELS) ->
     hashed = rows.where(F.col("value").isNotNull()).select("value", "row_hash", F.xxhash64("value").alias("h"))
     live, bound, witnesses = hashed, 1, []
     for i, bits in enumerate(levels):
-        counts = live.groupBy(_prefix(bits).alias("p")).agg(
+        counted = live.groupBy(_prefix(bits).alias("p")).agg(
             F.count(F.lit(1)).alias("n"), F.min_by("h", F.xxhash64("row_hash", F.lit(i))).alias("witness")
         )
+        counts = cut(counted.where(F.col("n") >= bound))  # else every level would run all levels before it again
         top = counts.orderBy(F.desc("n"), "p").limit(4 * k).select("witness")
         witnesses = sorted({*witnesses, *(r.witness for r in top.collect())})
         if not witnesses:
