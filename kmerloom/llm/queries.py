@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import color_sets, distinct, kmer_rows, leak, overlap, seen, spans, topk
+from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, seen, spans, topk
 
 TOP = 20
 
@@ -20,6 +20,45 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def variants(spark: SparkSession, d: str) -> DataFrame:
+    """(read_id, seq): the distinct texts of the occurrences of every read, in bases.
+
+    A read's occurrences without rows in mismatches equal the read; void and repeated rows of mismatches
+    are ignored, and of two letters for one place the later in the alphabet counts.
+    """
+    all_ = reads(spark, d).where(F.col("read").isNotNull())
+    letter = F.translate(F.upper("mismatch_char"), "U", "T")
+    m = table(spark, d, "mismatches").where(F.length("mismatch_char") == 1).select("read_id", "id_read", "position", letter.alias("ch"))
+    m = m.groupBy("read_id", "id_read", "position").agg(F.max("ch").alias("ch"))
+    real = m.join(all_, "read_id").where(F.col("position").between(0, F.length("read") - 1) & F.col("id_read").between(0, F.col("occ_count") - 1))
+    # one occurrence's changes: bounded by the read's length
+    changes = real.groupBy("read_id", "id_read").agg(F.first("read").alias("read"), F.array_sort(F.collect_list(F.struct("position", "ch"))).alias("subs"))
+    put = F.aggregate("subs", F.col("read"), lambda text, s: F.overlay(text, s["ch"], s["position"] + 1, F.lit(1)))
+    changed = cut(changes.select("read_id", put.alias("seq")))
+    counts = changed.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
+    plain = all_.join(counts, "read_id", "left").where(F.coalesce("n", F.lit(0)) < F.col("occ_count")).select("read_id", F.col("read").alias("seq"))
+    return changed.unionByName(plain).distinct()
+
+
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(read_id, set_id) of all reads' occurrences, and the similar pairs of sets."""
+    texts = variants(spark, d)
+    numbered = near_dup.number_sequences(texts)
+    return texts.join(numbered, "seq").select("read_id", "set_id"), near_dup.similar_pairs(numbered)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of reads with a pair of occurrences that share at least half of their distinct 9-base windows."""
+    members, pairs = _similar(spark, d)
+    a, b = members.select(F.col("read_id").alias("ra"), F.col("set_id").alias("a")), members.select(F.col("read_id").alias("rb"), F.col("set_id").alias("b"))
+    near = pairs.select("a", "b").join(a, "a").join(b, "b").select("ra", "rb")
+    # copies are similar if they have a window at all
+    whole = variants(spark, d).where((F.length("seq") >= 9) & F.col("seq").rlike("[ACGT]{9}"))
+    same = whole.select(F.col("read_id").alias("ra"), "seq").join(whole.select(F.col("read_id").alias("rb"), "seq"), "seq").where(F.col("ra") < F.col("rb"))
+    both = near.unionByName(same.select("ra", "rb")).where(F.col("ra") != F.col("rb"))
+    return both.select(F.least("ra", "rb").alias("read_id_a"), F.greatest("ra", "rb").alias("read_id_b")).distinct()
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     of_reads = reads(spark, d).select(F.col("read_id").alias("rec_id"), F.col("read").alias("text"))
     of_files = table(spark, d, "genomes").select(F.col("genome_id").alias("rec_id"), F.col("filename").alias("text"))
@@ -135,6 +174,7 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
     "p9_found": p9_found,
@@ -178,7 +218,25 @@ _LEAKS = f"""docs AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
       leaks AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, substr(t, p, 50) AS s FROM
         (SELECT doc_id, t, unnest(range(1, length(t) - 48)) AS p FROM docs)) JOIN win USING (s))"""
 
+_NEAR = """r AS (SELECT read_id, replace(upper(arg_max(read, loaded_at)), 'U', 'T') AS read,
+        coalesce(arg_max(struct_pack(o := occ_count), loaded_at).o, 1) AS occ FROM read_counts GROUP BY read_id),
+      m AS (SELECT read_id, id_read, position, max(replace(upper(mismatch_char), 'U', 'T')) AS ch FROM mismatches JOIN r USING (read_id)
+        WHERE mismatch_char IS NOT NULL AND position >= 0 AND position < length(read) AND id_read >= 0 AND id_read < occ GROUP BY 1, 2, 3),
+      letters AS (SELECT o.read_id, o.id_read, p, coalesce(ch, substr(read, p + 1, 1)) AS ch
+        FROM (SELECT read_id, id_read, read, unnest(range(length(read))) AS p FROM (SELECT DISTINCT read_id, id_read FROM m) JOIN r USING (read_id)) o
+        LEFT JOIN m ON m.read_id = o.read_id AND m.id_read = o.id_read AND m.position = o.p),
+      changed AS (SELECT read_id, id_read, string_agg(ch, '' ORDER BY p) AS seq FROM letters GROUP BY 1, 2),
+      seqs AS (SELECT DISTINCT read_id, seq FROM (SELECT read_id, seq FROM changed UNION ALL SELECT read_id, read FROM r
+        LEFT JOIN (SELECT read_id, count(*) AS n FROM changed GROUP BY 1) USING (read_id) WHERE read IS NOT NULL AND coalesce(n, 0) < occ)),
+      ids AS (SELECT row_number() OVER () AS s, * FROM seqs),
+      tok AS (SELECT DISTINCT s, read_id, t FROM (SELECT s, read_id, substr(seq, p, 9) AS t FROM
+        (SELECT *, unnest(range(1, greatest(length(seq) - 7, 1)::BIGINT)) AS p FROM ids)) WHERE regexp_full_match(t, '[ACGT]{9}')),
+      size AS (SELECT s, count(*) AS n FROM tok GROUP BY s),
+      near AS (SELECT a.s AS a, b.s AS b, a.read_id AS ra, b.read_id AS rb, count(*) AS c FROM tok a JOIN tok b ON a.t = b.t AND a.read_id < b.read_id GROUP BY ALL)"""
+
 ORACLES = {
+    "p1_found": f"""WITH {_NEAR} SELECT DISTINCT ra AS read_id_a, rb AS read_id_b FROM near JOIN size x ON x.s = a JOIN size y ON y.s = b
+        WHERE 3 * c >= x.n + y.n""",
     "p2_found": f"WITH {_SPANS} SELECT rec_kind, rec_id, span_start, span_len FROM spans",
     "p2_shared_share": f"""WITH {_SPANS} SELECT rec_kind, rec_id, CAST(length(text) AS INTEGER) AS n_chars,
         CAST(sum(span_len) AS BIGINT) AS shared_chars, count(*) AS n_spans, round(sum(span_len) / length(text), 6) AS share
