@@ -70,7 +70,8 @@ class Sets:
         owner = np.searchsorted(starts, at, side="right").astype(np.uint64) - np.uint64(1)
         token = value[at]
         packed = owner << np.uint64(40) | segments[token] << np.uint64(SHIFT) | token
-        packed = np.unique(packed)
+        packed.sort()
+        packed = packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed
         self.n_sets = len(texts)
         self.token = (packed & np.uint64(UNIVERSE - 1)).astype(np.int64)
         self.owner = (packed >> np.uint64(40)).astype(np.int64)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, seen, spans, topk
+from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, packing, seen, spans, topk
 
 TOP = 20
 
@@ -80,6 +80,20 @@ def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return all_.withColumn("share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Container and place of every text, or piece of a text longer than 2,048 tokens."""
+    return packing.pack(cut(packing.token_counts(table(spark, d, "documents"))))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and the share of the containers' space that is used."""
+    loads = p8_packing(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    return loads.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"), F.max("load").alias("fullest"),
+        (F.sum("load") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("fill"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and evaluation items that share 50 consecutive letters or digits."""
     return leak.leaked_pairs(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -177,6 +191,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
+    "p8_packing": p8_packing,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
     "p4_found": p4_found,
