@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, packing, seen, spans, topk
+from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, packing, seen, sentences, spans, topk
 
 TOP = 20
 
@@ -187,6 +187,20 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlap.estimated_overlaps(*_kmer_sets(spark, d)).withColumnsRenamed({"a": "genome_a", "b": "genome_b"})
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of the sentence units of every document."""
+    return sentences.sentence_ends(table(spark, d, "documents"))
+
+
+def p10_units_per_language(spark: SparkSession, d: str) -> DataFrame:
+    """Per stated language: documents with units, units, and the longest unit's letters."""
+    docs = table(spark, d, "documents")
+    ends = p10_found(spark, d)
+    per_doc = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.max("end_char").alias("last"))
+    out = docs.select("doc_id", "lang").join(per_doc, "doc_id")
+    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("units").alias("units"), F.max("last").alias("longest_text"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -195,6 +209,8 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
+    "p10_found": p10_found,
+    "p10_units_per_language": p10_units_per_language,
     "p4_found": p4_found,
     "p4_wrong_rate": p4_wrong_rate,
     "p5_distinct_counts": p5_distinct_counts,
