@@ -5,6 +5,7 @@ segments by a hash of the window alone: the 7-base word within the window that c
 pseudo-random order. Neighbouring windows mostly agree on that word, so that segments hold one to three
 windows of a sequence whatever its length (a plain hash leaves too many empty or single-window segments
 to reach the bound below at a similarity of one half).
+Being local, this partition serves all size bands alike; a band enters by the number of units to buy.
 
 Sets of s >= l windows with Jaccard similarity of a half or more differ in at most H = (s + l) // 3
 windows. If the larger set gives each of its segments v = 0, 1 or 2 units, H + 1 or more in all, then in
@@ -37,6 +38,7 @@ WORD = 7
 SKETCH = 5  # 64-bit words of the parity sketch
 ID_BITS, SIZE_BITS = 43, SHIFT
 BLOCK = 1 << 20
+PARTITION_ROWS = 1 << 20
 HOT_SHARE = 64  # a window in more than 1 of 64 sets makes its keys expensive
 
 
@@ -197,7 +199,7 @@ def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray):
 
             def rows(key, owner, role, deleted, weak):
                 key, packed = mix(key, 41), _pack(ids[owner], s.size[owner], role, deleted)
-                bits = pa.array([x.tobytes() for x in sketch[owner]], pa.binary()) if weak else pa.nulls(len(key), pa.binary())
+                bits = _binary(sketch[owner]) if weak else pa.nulls(len(key), pa.binary())
                 return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed.view(np.int64)), bits], names=["key", "packed", "sketch"])
 
             full = np.flatnonzero(s.z >= 2)
@@ -216,6 +218,20 @@ def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray):
     return run
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of 64-bit words as byte strings, without a Python object each."""
+    width = rows.shape[1] * 8
+    offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Inverse of :func:`_binary` for a column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy().view(np.uint64).reshape(-1, SKETCH)
+
+
 class _Run:
     """Rows of a stretch of the sorted stream."""
 
@@ -228,7 +244,7 @@ class _Run:
         weak = ~bits.is_null().to_numpy(zero_copy_only=False)
         sketch = np.zeros((b.num_rows, SKETCH), np.uint64)
         if weak.any():
-            sketch[weak] = np.frombuffer(b"".join(bits.drop_null().to_pylist()), np.uint64).reshape(-1, SKETCH)
+            sketch[weak] = _words(bits.drop_null())
         return cls(b.column("key").to_numpy(), b.column("packed").to_numpy().view(np.uint64) ^ _FLIP, weak, sketch)
 
     def take(self, at) -> _Run:
@@ -240,36 +256,69 @@ class _Run:
     def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """(id, id) of those places x, y (of one key) where x probes the indexed row y of a set no larger."""
         px, py = self.packed[x], self.packed[y]
-        low = np.uint64((1 << (ID_BITS + SIZE_BITS)) - 1)
         rx, ry = px >> np.uint64(62), py >> np.uint64(62)
         dx, dy = (px >> np.uint64(61)) & np.uint64(1), (py >> np.uint64(61)) & np.uint64(1)
-        sx, sy = (px & low) >> np.uint64(ID_BITS), (py & low) >> np.uint64(ID_BITS)
-        ok = ((px & low) > (py & low)) & (rx != INDEX) & (ry != PROBE) & (2 * sy >= sx)
+        sx, sy = (px & _LOW) >> np.uint64(ID_BITS), (py & _LOW) >> np.uint64(ID_BITS)
+        ok = ((px & _LOW) > (py & _LOW)) & (rx != INDEX) & (ry != PROBE) & (2 * sy >= sx)
         ok &= (dy == 0) | ((dx == 0) & (rx == BOTH2))
-        x, y, most = x[ok], y[ok], allowed_difference(sx[ok], sy[ok])
-        if len(x) and self.weak[x[0] if len(x) == 1 else x].any():
-            d = np.zeros(len(x), np.uint64)
-            for w in range(SKETCH):
-                d += np.bitwise_count(self.sketch[x, w] ^ self.sketch[y, w])
-            near = d <= most  # rows without sketches have equal ones
-            x, y = x[near], y[near]
-        ident = np.uint64((1 << ID_BITS) - 1)
-        return np.stack([self.packed[x] & ident, self.packed[y] & ident], axis=1).astype(np.int64)
+        return np.stack([px[ok] & _IDENT, py[ok] & _IDENT], axis=1).astype(np.int64)
+
+    def near(self, starts: np.ndarray, ends: np.ndarray, paired: int) -> Iterator[np.ndarray]:
+        """Pairs within runs whose rows have sketches: only those that the sketches let through.
+
+        Of the first ``paired`` rows each pair has been met before.
+        """
+        sizes = ends - starts
+        rows = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        low = self.packed[rows] & _LOW
+        order = np.lexsort((low, np.repeat(np.arange(len(sizes)), sizes)))  # by size and id within each run
+        rows, low = rows[order], low[order]
+        role, size, ident = self.packed[rows] >> np.uint64(62), (low >> np.uint64(ID_BITS)).astype(np.int32), (low & _IDENT).astype(np.int64)
+        words = np.ascontiguousarray(self.sketch[rows].T)
+        probe, indexed = np.flatnonzero(role != INDEX), np.flatnonzero(role != PROBE)
+        stop = np.cumsum(sizes)
+        px, ix = np.searchsorted(probe, np.r_[0, stop]), np.searchsorted(indexed, np.r_[0, stop])
+        for r in range(len(sizes)):
+            xs, ys = probe[px[r] : px[r + 1]], indexed[ix[r] : ix[r + 1]]
+            step = max(16, (1 << 17) // max(1, len(ys)))
+            for k in range(0, len(xs), step):
+                x = xs[k : k + step]
+                y = ys[: ys.searchsorted(x[-1])]  # sets that come before in the order of size
+                if not len(y):
+                    continue
+                at = words[:, x], words[:, y]
+                d = np.bitwise_count(at[0][0][:, None] ^ at[1][0]).astype(np.uint16)
+                for w in range(1, SKETCH):
+                    d += np.bitwise_count(at[0][w][:, None] ^ at[1][w])
+                i, j = np.nonzero(d <= allowed_difference(size[x][:, None], size[y]))
+                if not len(i):
+                    continue
+                i, j = x[i], y[j]
+                ok = (low[i] > low[j]) & (2 * size[j] >= size[i])
+                if paired:
+                    ok &= (rows[i] >= paired) | (rows[j] >= paired)
+                yield np.stack([ident[i[ok]], ident[j[ok]]], axis=1)
+
+
+_LOW = np.uint64((1 << (ID_BITS + SIZE_BITS)) - 1)
+_IDENT = np.uint64((1 << ID_BITS) - 1)
 
 
 def _within(run: _Run, starts: np.ndarray, ends: np.ndarray, paired: int = 0) -> Iterator[np.ndarray]:
     """Pairs within the runs [starts, ends); of the first run the first ``paired`` rows have met each other already."""
-    sizes = ends - starts
+    sizes, weak = ends - starts, run.weak[starts]
     for n in range(2, 9):  # short runs: all at once by length
-        s = starts[(sizes == n) & ((starts > 0) | (paired == 0))]
+        s = starts[(sizes == n) & ~weak & ((starts > 0) | (paired == 0))]
         i, j = np.nonzero(~np.eye(n, dtype=bool))
         for k in range(0, len(s), BLOCK // (n * n)):
             at = s[k : k + BLOCK // (n * n)]
             yield run.pairs((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
-    for s, e in zip(starts, ends):
+    sketched = weak & (sizes > 1)
+    if sketched.any():
+        yield from run.near(starts[sketched], ends[sketched], paired)
+    for r in np.flatnonzero(~weak & (sizes > 1) & ((sizes > 8) | ((starts == 0) & (paired > 0)))):
+        s, e = int(starts[r]), int(ends[r])
         old = paired if s == 0 else 0
-        if e - s < 2 or (e - s <= 8 and not old):
-            continue
         all_ = np.arange(s, e)
         probes = all_[run.packed[s:e] >> np.uint64(62) != INDEX]
         step = max(1, BLOCK // len(all_))
@@ -367,7 +416,9 @@ def similar_pairs(numbered: DataFrame) -> DataFrame:
         at = [r[0] for r in numbered.mapInArrow(_probed(n), "token BIGINT").distinct().collect()]  # at most 4^9 rows
         probed[at] = True
     rows = numbered.mapInArrow(_rows(n, alone, n_sets, probed), _SCHEMA)
-    pairs = rows.repartition("key").sortWithinPartitions("key", "packed").mapInArrow(_meet, "a BIGINT, b BIGINT").distinct()
+    # a set has as many rows as windows, roughly: enough partitions for their rows to be sorted in memory
+    parts = max(1, int(n.sum()) // PARTITION_ROWS, int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = rows.repartition(parts, "key").sortWithinPartitions("key", "packed").mapInArrow(_meet, "a BIGINT, b BIGINT").distinct()
     one = numbered.select(F.col("set_id").alias("a"), F.col("seq").alias("seq_a"))
     two = numbered.select(F.col("set_id").alias("b"), F.col("seq").alias("seq_b"))
     texts = pairs.join(one, "a").join(two, "b").select("a", "b", "seq_a", "seq_b")

@@ -37,23 +37,25 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
     changed = cut(changes.select("read_id", put.alias("seq")))
     counts = changed.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
     plain = all_.join(counts, "read_id", "left").where(F.coalesce("n", F.lit(0)) < F.col("occ_count")).select("read_id", F.col("read").alias("seq"))
-    return changed.unionByName(plain).distinct()
+    return cut(changed.unionByName(plain).distinct())
 
 
-def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _similar(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(read_id, set_id) of all reads' occurrences, and the similar pairs of sets."""
-    texts = variants(spark, d)
     numbered = near_dup.number_sequences(texts)
     return texts.join(numbered, "seq").select("read_id", "set_id"), near_dup.similar_pairs(numbered)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of reads with a pair of occurrences that share at least half of their distinct 9-base windows."""
-    members, pairs = _similar(spark, d)
+    """Pairs of reads with a pair of occurrences that share at least half of their distinct 9-base windows.
+
+    By its definition it lists every pair, those of exact copies included; :func:`p1_groups` doesn't.
+    """
+    texts = variants(spark, d)
+    members, pairs = _similar(texts)
     a, b = members.select(F.col("read_id").alias("ra"), F.col("set_id").alias("a")), members.select(F.col("read_id").alias("rb"), F.col("set_id").alias("b"))
     near = pairs.select("a", "b").join(a, "a").join(b, "b").select("ra", "rb")
-    # copies are similar if they have a window at all
-    whole = variants(spark, d).where((F.length("seq") >= 9) & F.col("seq").rlike("[ACGT]{9}"))
+    whole = texts.where(F.col("seq").rlike("[ACGT]{9}"))  # copies are similar if they have a window at all
     same = whole.select(F.col("read_id").alias("ra"), "seq").join(whole.select(F.col("read_id").alias("rb"), "seq"), "seq").where(F.col("ra") < F.col("rb"))
     both = near.unionByName(same.select("ra", "rb")).where(F.col("ra") != F.col("rb"))
     return both.select(F.least("ra", "rb").alias("read_id_a"), F.greatest("ra", "rb").alias("read_id_b")).distinct()
