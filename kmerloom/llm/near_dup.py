@@ -4,8 +4,8 @@ A sequence is the set of its distinct 9-base windows. The universe of windows is
 segments by a hash of the window alone: the 7-base word within the window that comes first in a
 pseudo-random order. Neighbouring windows mostly agree on that word, so that segments hold one to three
 windows of a sequence whatever its length (a plain hash leaves too many empty or single-window segments
-to reach the bound below at a similarity of one half).
-Being local, this partition serves all size bands alike; a band enters by the number of units to buy.
+to reach the bound below at a similarity of one half). Being local, this partition serves all size bands
+alike; a band enters by the number of units to buy.
 
 Sets of s >= l windows with Jaccard similarity of a half or more differ in at most H = (s + l) // 3
 windows. If the larger set gives each of its segments v = 0, 1 or 2 units, H + 1 or more in all, then in
@@ -13,10 +13,10 @@ some segment with units the two differ in fewer than v windows: they are equal (
 one deletion on one side (v = 2). So equal segments and one-deletion neighbourhoods are indexed, and
 each set buys its units where they cost least, by counted frequencies of keys and windows for its size.
 
-Keys of two windows or more hardly ever match by chance. Keys of one window do: their rows carry a
-320-bit parity sketch, whose number of differing bits never exceeds the number of differing windows, so
-that chance matches die before they leave the task. Sets whose segments hold too few units (tiny or
-repetitive ones) use the finest partition, one window a segment. All candidates are verified exactly.
+Short keys often match by chance, so every set travels with a 320-bit parity sketch, whose number of
+differing bits never exceeds the number of differing windows: chance matches die before they leave the
+task. Sets whose segments hold too few units (tiny or repetitive ones) use the finest partition, one
+window a segment. All candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,11 @@ SHIFT = 2 * K
 UNIVERSE = 1 << SHIFT
 WORD = 7
 SKETCH = 5  # 64-bit words of the parity sketch
-ID_BITS, SIZE_BITS = 43, SHIFT
 BLOCK = 1 << 20
-PARTITION_ROWS = 1 << 20
+BUNDLE = 64  # sets whose rows for one partition travel together
+PARTITION_ROWS = 1 << 23  # rows that a task holds at 16 bytes each
+SALT_ROWS = 1 << 21  # a key that may have more rows is split
+SHORT = 40
 HOT_SHARE = 64  # a window in more than 1 of 64 sets makes its keys expensive
 
 
@@ -157,24 +160,20 @@ def _probed(n: np.ndarray):
     return run
 
 
-# Roles in the order in which they are met: rows that only probe or do both come before rows that are only indexed.
+# What a row of a key does: it only probes, it does both (with two units or one), or it is only indexed.
 PROBE, BOTH2, BOTH1, INDEX = 0, 1, 2, 3
-_FLIP = np.uint64(1 << 63)  # makes signed order follow the role
-_SCHEMA = "key BIGINT, packed BIGINT, sketch BINARY"
-
-
-def _pack(ids: np.ndarray, size: np.ndarray, role: np.ndarray, deleted: int) -> np.ndarray:
-    x = role.astype(np.uint64) << np.uint64(62) | np.uint64(deleted << (ID_BITS + SIZE_BITS))
-    return (x | size.astype(np.uint64) << np.uint64(ID_BITS) | ids.astype(np.uint64)) ^ _FLIP
+_BUNDLE = "part INT, keys BINARY, roles BINARY, ids BINARY, sizes BINARY, sketches BINARY"
 
 
 def _purchases(s: Sets, n: np.ndarray, alone: np.ndarray, n_sets: int) -> np.ndarray:
     """Units of every segment (0, 1 or 2). A segment's second unit needs two windows and costs no less than its first."""
     rarest = np.minimum.reduceat(n[s.token], s.seg_start)
-    strong = np.where(rarest * HOT_SHARE > n_sets, rarest, 0)  # keys of several windows: only common windows make them long
+    # neighbouring windows share all letters but one, so each further window cuts a key's rows to about a quarter
+    longer = rarest >> np.minimum(2 * (s.z - 1), 40)
+    several = np.where(rarest * HOT_SHARE > n_sets, rarest, longer)
     single = np.add.reduceat(alone[s.token], s.seg_start) + 1  # keys of one window: as many rows as counted
-    first = np.where(s.z == 1, single, strong)
-    second = np.maximum(np.where(s.z == 2, single, strong), first)
+    first = np.where(s.z == 1, single, several)
+    second = np.maximum(np.where(s.z == 2, single, several), first)
     more = np.flatnonzero(s.z >= 2)
     owner, cost = np.r_[s.seg_owner, s.seg_owner[more]], np.r_[first, second[more]]
     bought = _cheapest(owner, cost, np.ones(len(owner), np.int64), s.need())
@@ -184,186 +183,158 @@ def _purchases(s: Sets, n: np.ndarray, alone: np.ndarray, n_sets: int) -> np.nda
     return v
 
 
-def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray):
-    """Index and probe rows of all sets; rows whose key is one window have a sketch."""
+def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The stretches between ``edges`` as byte strings, without a Python object each."""
+    offsets = pa.py_buffer((edges * data.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, parts: int):
+    """Index and probe rows of all sets, bundled by block of BUNDLE sets and partition of the keys.
+
+    A bundle has each of its sets' number, size and sketch once, and 4 + 2 bytes a row. Keys are cut to 32
+    bits within their partition: equal keys by chance are no matter, since sketches are compared anyway.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, pick = segment_table(), _fallback_tokens(n)
+        units = np.array([INDEX, BOTH1, BOTH2])
         for ids, texts in _blocks(stream):
             s = Sets(texts, segments)
             if not len(s.token):
                 continue
             h = mix(s.token.astype(np.uint64), 31)
             total, v, sketch = np.add.reduceat(h, s.seg_start), _purchases(s, n, alone, n_sets), s.sketches()
-            role = np.array([INDEX, BOTH1, BOTH2])
-
-            def rows(key, owner, role, deleted, weak):
-                key, packed = mix(key, 41), _pack(ids[owner], s.size[owner], role, deleted)
-                bits = _binary(sketch[owner]) if weak else pa.nulls(len(key), pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed.view(np.int64)), bits], names=["key", "packed", "sketch"])
-
-            full = np.flatnonzero(s.z >= 2)
-            yield rows(total[full], s.seg_owner[full], role[v[full]], 0, False)
+            rarest = np.minimum.reduceat(n[s.token], s.seg_start)
             cut_one = np.flatnonzero(s.z[s.seg] >= 3)  # what is left keeps two windows or more
-            yield rows(total[s.seg[cut_one]] - h[cut_one], s.owner[cut_one], np.where(v[s.seg[cut_one]] == 2, BOTH2, INDEX), 1, False)
-            single = np.flatnonzero(s.z == 1)
-            yield rows(total[single], s.seg_owner[single], role[v[single]], 0, True)
-            left_one = np.flatnonzero((s.z[s.seg] == 2) & (v[s.seg] == 2))
-            yield rows(total[s.seg[left_one]] - h[left_one], s.owner[left_one], np.full(len(left_one), PROBE), 1, True)
+            left_one = np.flatnonzero((s.z[s.seg] == 2) & (v[s.seg] == 2))  # what is left only probes
             deep = pick(s)  # the finest partition, for sets that lack units; their windows are indexed for all sets
-            yield rows(h[deep] + np.uint64(1), s.owner[deep], np.full(len(deep), PROBE), 0, True)
             known = np.flatnonzero(probed[s.token])
-            yield rows(h[known] + np.uint64(1), s.owner[known], np.full(len(known), INDEX), 0, True)
+            groups = [  # key, owner, role, deletion or not, upper bound of the key's rows
+                (total, s.seg_owner, units[v], 0, rarest),
+                (total[s.seg[cut_one]] - h[cut_one], s.owner[cut_one], np.where(v[s.seg[cut_one]] == 2, BOTH2, INDEX), 4, rarest[s.seg[cut_one]]),
+                (total[s.seg[left_one]] - h[left_one], s.owner[left_one], np.full(len(left_one), PROBE), 4, n[s.token[left_one]]),
+                (h[deep] + np.uint64(1), s.owner[deep], np.full(len(deep), PROBE), 0, n[s.token[deep]]),
+                (h[known] + np.uint64(1), s.owner[known], np.full(len(known), INDEX), 0, n[s.token[known]]),
+            ]
+            key, owner, role = (np.concatenate([g[i] for g in groups]) for i in range(3))
+            deleted = np.concatenate([np.full(len(g[0]), g[3]) for g in groups])
+            salts = 1 + np.concatenate([g[4] for g in groups]) // SALT_ROWS
+            key = mix(key, 41)
+            many = np.flatnonzero(salts > 1)
+            if len(many):  # rows of a very frequent key: indexed under one of its salts, probing under all of them
+                home = (mix(ids[owner[many]].astype(np.uint64), 53) % salts[many].astype(np.uint64)).astype(np.int64)
+                again = np.flatnonzero(role[many] != INDEX)
+                at = np.repeat(again, salts[many[again]])
+                first = np.cumsum(salts[many[again]]) - salts[many[again]]
+                salt = np.arange(len(at)) - np.repeat(first, salts[many[again]])
+                at, salt = at[salt != home[at]], salt[salt != home[at]]
+                more_key = mix(key[many[at]] + salt.astype(np.uint64), 59)
+                key[many] = mix(key[many] + home.astype(np.uint64), 59)
+                key, owner = np.r_[key, more_key], np.r_[owner, owner[many[at]]]
+                role, deleted = np.r_[role, role[many[at]]], np.r_[deleted, deleted[many[at]]]
+            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            bundle = owner // BUNDLE
+            order = np.argsort(bundle * parts + part, kind="stable")
+            where = (bundle * parts + part)[order]
+            edges = np.r_[0, np.flatnonzero(where[1:] != where[:-1]) + 1, len(where)]
+            at = where[edges[:-1]]
+            word = ((owner % BUNDLE) << 3 | deleted | role).astype(np.uint16)[order]
+            b0, b1 = at // parts * BUNDLE, np.minimum(at // parts * BUNDLE + BUNDLE, s.n_sets)
+            sets = np.repeat(b0 - np.r_[0, np.cumsum(b1 - b0)[:-1]], b1 - b0) + np.arange((b1 - b0).sum())
+            set_edges = np.r_[0, np.cumsum(b1 - b0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((at % parts).astype(np.int32)), _binary((key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), edges), _binary(word, edges),
+                 _binary(ids[sets].astype(np.int64), set_edges), _binary(s.size[sets].astype(np.int32), set_edges), _binary(sketch[sets].ravel(), set_edges * SKETCH)],
+                names=["part", "keys", "roles", "ids", "sizes", "sketches"],
+            )
 
     return run
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Rows of 64-bit words as byte strings, without a Python object each."""
-    width = rows.shape[1] * 8
-    offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width))
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def _words(column: pa.Array) -> np.ndarray:
-    """Inverse of :func:`_binary` for a column without nulls."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy().view(np.uint64).reshape(-1, SKETCH)
-
-
-class _Run:
-    """Rows of a stretch of the sorted stream."""
-
-    def __init__(self, key: np.ndarray, packed: np.ndarray, weak: np.ndarray, sketch: np.ndarray) -> None:
-        self.key, self.packed, self.weak, self.sketch = key, packed, weak, sketch
-
-    @classmethod
-    def of(cls, b: pa.RecordBatch) -> _Run:
-        bits = b.column("sketch")
-        weak = ~bits.is_null().to_numpy(zero_copy_only=False)
-        sketch = np.zeros((b.num_rows, SKETCH), np.uint64)
-        if weak.any():
-            sketch[weak] = _words(bits.drop_null())
-        return cls(b.column("key").to_numpy(), b.column("packed").to_numpy().view(np.uint64) ^ _FLIP, weak, sketch)
-
-    def take(self, at) -> _Run:
-        return _Run(self.key[at], self.packed[at], self.weak[at], self.sketch[at])
-
-    def then(self, o: _Run) -> _Run:
-        return _Run(*(np.concatenate([x, y]) for x, y in ((self.key, o.key), (self.packed, o.packed), (self.weak, o.weak), (self.sketch, o.sketch))))
-
-    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """(id, id) of those places x, y (of one key) where x probes the indexed row y of a set no larger."""
-        px, py = self.packed[x], self.packed[y]
-        rx, ry = px >> np.uint64(62), py >> np.uint64(62)
-        dx, dy = (px >> np.uint64(61)) & np.uint64(1), (py >> np.uint64(61)) & np.uint64(1)
-        sx, sy = (px & _LOW) >> np.uint64(ID_BITS), (py & _LOW) >> np.uint64(ID_BITS)
-        ok = ((px & _LOW) > (py & _LOW)) & (rx != INDEX) & (ry != PROBE) & (2 * sy >= sx)
-        ok &= (dy == 0) | ((dx == 0) & (rx == BOTH2))
-        return np.stack([px[ok] & _IDENT, py[ok] & _IDENT], axis=1).astype(np.int64)
-
-    def near(self, starts: np.ndarray, ends: np.ndarray, paired: int) -> Iterator[np.ndarray]:
-        """Pairs within runs whose rows have sketches: only those that the sketches let through.
-
-        Of the first ``paired`` rows each pair has been met before.
-        """
-        sizes = ends - starts
-        rows = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        low = self.packed[rows] & _LOW
-        order = np.lexsort((low, np.repeat(np.arange(len(sizes)), sizes)))  # by size and id within each run
-        rows, low = rows[order], low[order]
-        role, size, ident = self.packed[rows] >> np.uint64(62), (low >> np.uint64(ID_BITS)).astype(np.int32), (low & _IDENT).astype(np.int64)
-        words = np.ascontiguousarray(self.sketch[rows].T)
-        probe, indexed = np.flatnonzero(role != INDEX), np.flatnonzero(role != PROBE)
-        stop = np.cumsum(sizes)
-        px, ix = np.searchsorted(probe, np.r_[0, stop]), np.searchsorted(indexed, np.r_[0, stop])
-        for r in range(len(sizes)):
-            xs, ys = probe[px[r] : px[r + 1]], indexed[ix[r] : ix[r + 1]]
+class _Part:
+    """All rows of a partition, sorted by key and, within a key, by the sets' size and number."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        def joined(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(b"".join(b.column(name).to_pylist()), kind) for b in batches])
+
+        rows = np.concatenate([pc.binary_length(b.column("keys")).to_numpy() for b in batches]) // 4
+        sets = np.concatenate([pc.binary_length(b.column("ids")).to_numpy() for b in batches]) // 8
+        ids, size, sketch = joined("ids", np.int64), joined("sizes", np.int32), joined("sketches", np.uint64).reshape(-1, SKETCH)
+        word = joined("roles", np.uint16)
+        owner = np.repeat(np.cumsum(sets) - sets, rows) + (word >> 3)
+        order = np.lexsort((ids, size))
+        rank = np.empty(len(ids), np.uint64)
+        rank[order] = np.arange(len(ids), dtype=np.uint64)
+        self.ids, self.size, self.sketch = ids[order], size[order], np.ascontiguousarray(sketch[order])
+        row = joined("keys", np.uint32).astype(np.uint64) << np.uint64(32) | rank[owner] << np.uint64(3) | (word & np.uint16(7)).astype(np.uint64)
+        row.sort()
+        key = row >> np.uint64(32)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        self.starts, self.ends = new, np.r_[new[1:], len(row)]
+        self.of = ((row & np.uint64(0xFFFFFFFF)) >> np.uint64(3)).astype(np.int32)  # place of the row's set
+        self.deleted, self.role = (row & np.uint64(4)) > 0, (row & np.uint64(3)).astype(np.uint8)
+
+    def _allowed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether row x's set may buy a meeting with row y's, which is no larger."""
+        sx, sy = self.of[x], self.of[y]
+        ok = (sx > sy) & (self.role[x] != INDEX) & (self.role[y] != PROBE) & (2 * self.size[sy] >= self.size[sx])
+        return ok & (~self.deleted[y] | (~self.deleted[x] & (self.role[x] == BOTH2)))
+
+    def _found(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs of sets, as one number each, that the sketches let through."""
+        x, y = self.of[x], self.of[y]
+        d = np.bitwise_count(self.sketch[x] ^ self.sketch[y]).sum(axis=1, dtype=np.int32)
+        ok = d <= allowed_difference(self.size[x], self.size[y])
+        return x[ok].astype(np.int64) << 32 | y[ok]
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        sizes = self.ends - self.starts
+        for n in range(2, SHORT + 1):  # short runs: all of a length at once
+            s = self.starts[sizes == n]
+            i, j = np.triu_indices(n, 1)
+            step = max(1, (BLOCK // 4) // len(i))
+            for k in range(0, len(s), step):
+                at = s[k : k + step, None]
+                x, y = (at + j).ravel(), (at + i).ravel()
+                ok = self._allowed(x, y)
+                yield self._found(x[ok], y[ok])
+        for r in np.flatnonzero(sizes > SHORT):
+            rows = np.arange(self.starts[r], self.ends[r])
+            xs, ys = rows[self.role[rows] != INDEX], rows[self.role[rows] != PROBE]
             step = max(16, (1 << 17) // max(1, len(ys)))
+            words = np.ascontiguousarray(self.sketch[self.of[ys]].T)
             for k in range(0, len(xs), step):
                 x = xs[k : k + step]
-                y = ys[: ys.searchsorted(x[-1])]  # sets that come before in the order of size
-                if not len(y):
+                m = ys.searchsorted(x[-1])  # sets that come before in the order of size
+                if not m:
                     continue
-                at = words[:, x], words[:, y]
-                d = np.bitwise_count(at[0][0][:, None] ^ at[1][0]).astype(np.uint16)
+                wx = self.sketch[self.of[x]].T
+                d = np.bitwise_count(wx[0][:, None] ^ words[0, :m]).astype(np.uint16)
                 for w in range(1, SKETCH):
-                    d += np.bitwise_count(at[0][w][:, None] ^ at[1][w])
-                i, j = np.nonzero(d <= allowed_difference(size[x][:, None], size[y]))
-                if not len(i):
-                    continue
-                i, j = x[i], y[j]
-                ok = (low[i] > low[j]) & (2 * size[j] >= size[i])
-                if paired:
-                    ok &= (rows[i] >= paired) | (rows[j] >= paired)
-                yield np.stack([ident[i[ok]], ident[j[ok]]], axis=1)
-
-
-_LOW = np.uint64((1 << (ID_BITS + SIZE_BITS)) - 1)
-_IDENT = np.uint64((1 << ID_BITS) - 1)
-
-
-def _within(run: _Run, starts: np.ndarray, ends: np.ndarray, paired: int = 0) -> Iterator[np.ndarray]:
-    """Pairs within the runs [starts, ends); of the first run the first ``paired`` rows have met each other already."""
-    sizes, weak = ends - starts, run.weak[starts]
-    for n in range(2, 9):  # short runs: all at once by length
-        s = starts[(sizes == n) & ~weak & ((starts > 0) | (paired == 0))]
-        i, j = np.nonzero(~np.eye(n, dtype=bool))
-        for k in range(0, len(s), BLOCK // (n * n)):
-            at = s[k : k + BLOCK // (n * n)]
-            yield run.pairs((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
-    sketched = weak & (sizes > 1)
-    if sketched.any():
-        yield from run.near(starts[sketched], ends[sketched], paired)
-    for r in np.flatnonzero(~weak & (sizes > 1) & ((sizes > 8) | ((starts == 0) & (paired > 0)))):
-        s, e = int(starts[r]), int(ends[r])
-        old = paired if s == 0 else 0
-        all_ = np.arange(s, e)
-        probes = all_[run.packed[s:e] >> np.uint64(62) != INDEX]
-        step = max(1, BLOCK // len(all_))
-        for k in range(0, len(probes), step):
-            p = probes[k : k + step]
-            x, y = np.repeat(p, len(all_)), np.tile(all_, len(p))
-            if old:
-                new = (x >= old) | (y >= old)
-                x, y = x[new], y[new]
-            yield run.pairs(x, y)
+                    d += np.bitwise_count(wx[w][:, None] ^ words[w, :m])
+                i, j = np.nonzero(d <= allowed_difference(self.size[self.of[x]][:, None], self.size[self.of[ys[:m]]]))
+                if len(i):
+                    i, j = x[i], ys[j]
+                    ok = self._allowed(i, j)
+                    yield self.of[i[ok]].astype(np.int64) << 32 | self.of[j[ok]]
 
 
 def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by key and role. A key's rows that are only indexed are not kept once they met its probes."""
-
-    def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        if len(pairs):
-            pairs = np.unique(pairs, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    held, paired, found, n_found = None, 0, [], 0
-    for b in stream:
-        if not b.num_rows:
-            continue
-        run = _Run.of(b) if held is None else held.then(_Run.of(b))
-        starts = np.flatnonzero(np.r_[True, run.key[1:] != run.key[:-1]])
-        ends = np.r_[starts[1:], len(run.key)]
-        if len(starts) > 1:
-            found += [*_within(run, starts[:-1], ends[:-1], paired)]
-            paired = 0
-            held = run.take(slice(starts[-1], None))
-        elif len(run.key) > BLOCK // 4:
-            found += [*_within(run, starts, ends, paired)]
-            held = run.take(run.packed >> np.uint64(62) != INDEX)
-            paired = len(held.key)
-        else:
-            held = run
-        n_found += sum(map(len, found))
-        if n_found > BLOCK:
-            yield from out(found)
-            found, n_found = [], 0
-    if held is not None:
-        found += [*_within(held, np.array([0]), np.array([len(held.key)]), paired)]
-    yield from out(found)
+    """Candidate pairs of a partition. The number of partitions follows the number of rows, and salts bound a key's rows."""
+    batches = [b for b in stream if b.num_rows]
+    if not batches:
+        return
+    part = _Part(batches)
+    found, held = np.zeros(0, np.int64), []
+    for p in part.pairs():
+        held.append(p)
+        if sum(map(len, held)) > BLOCK:
+            found, held = np.unique(np.concatenate([found, *held])), []
+    found = np.unique(np.concatenate([found, *held]))
+    if len(found):
+        yield pa.RecordBatch.from_arrays([pa.array(part.ids[found >> 32]), pa.array(part.ids[found & 0xFFFFFFFF])], names=["a", "b"])
 
 
 def _verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,10 +386,10 @@ def similar_pairs(numbered: DataFrame) -> DataFrame:
     if lacking:
         at = [r[0] for r in numbered.mapInArrow(_probed(n), "token BIGINT").distinct().collect()]  # at most 4^9 rows
         probed[at] = True
-    rows = numbered.mapInArrow(_rows(n, alone, n_sets, probed), _SCHEMA)
-    # a set has as many rows as windows, roughly: enough partitions for their rows to be sorted in memory
-    parts = max(1, int(n.sum()) // PARTITION_ROWS, int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = rows.repartition(parts, "key").sortWithinPartitions("key", "packed").mapInArrow(_meet, "a BIGINT, b BIGINT").distinct()
+    # a set has about as many rows as windows
+    parts = max(1, -(-int(n.sum() * 1.3) // PARTITION_ROWS), int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = numbered.mapInArrow(_rows(n, alone, n_sets, probed, parts), _BUNDLE)
+    pairs = rows.repartitionById(parts, F.col("part")).mapInArrow(_meet, "a BIGINT, b BIGINT").distinct()
     one = numbered.select(F.col("set_id").alias("a"), F.col("seq").alias("seq_a"))
     two = numbered.select(F.col("set_id").alias("b"), F.col("seq").alias("seq_b"))
     texts = pairs.join(one, "a").join(two, "b").select("a", "b", "seq_a", "seq_b")
