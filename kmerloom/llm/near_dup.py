@@ -327,11 +327,12 @@ def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not batches:
         return
     part = _Part(batches)
-    found, held = np.zeros(0, np.int64), []
+    found, held, n = np.zeros(0, np.int64), [], 0
     for p in part.pairs():
         held.append(p)
-        if sum(map(len, held)) > BLOCK:
-            found, held = np.unique(np.concatenate([found, *held])), []
+        n += len(p)
+        if n > BLOCK:
+            found, held, n = np.unique(np.concatenate([found, *held])), [], 0
     found = np.unique(np.concatenate([found, *held]))
     if len(found):
         yield pa.RecordBatch.from_arrays([pa.array(part.ids[found >> 32]), pa.array(part.ids[found & 0xFFFFFFFF])], names=["a", "b"])
