@@ -48,7 +48,7 @@ THAI_FINAL = ("หรือไม่", "ไหม", "หรือเปล่า
 _GAP = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r\n[^\S\n]*(?:\r\n[^\S\n]*)+")
 _TERM = re.compile(r"[!?。！？।؟…][.!?。！？।؟…]*|\.(?![^\W\d_A-ZÀ-ÖØ-ÞЀ-Я؀-ۿऀ-ॿ一-鿿぀-ヿ]|[\d,;:\-−–/_^])[.!?…]*|\.{2,}[!?]*")
 _NUMBER = re.compile(r"\s*(?:[\[［【(（][^\]］】)）\n]{0,12}\d+[^\]］】)）\n]{0,6}[\]］】)）]|\d+\s*(?:[.)．、](?!\d)|(?=\s*$)))\s*")
-_LEFT = re.compile(r"[^\s(\[«„“\"”»（「『】\]]*$")
+_BEFORE_WORD = frozenset("([«„“\"”»（「『】]" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()))
 _WORD = re.compile(r"[^\W\d_]+")
 _MID = re.compile(r"(?<=[a-zà-ÿа-яё,;] )[A-ZÀ-ÞЀ-Я][^\W\d_]+")
 _MARK = re.compile(r"\s*\([A-Z]\d+\)\s*$")
@@ -74,7 +74,10 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 def left_word(text: str, start: int, dot: int) -> str:
     """The word before a period, in small letters, without brackets in front of it."""
-    return _LEFT.search(text, max(start, dot - 40), dot).group().lower().strip("'’‘")
+    at, least = dot, max(start, dot - 40)
+    while at > least and text[at - 1] not in _BEFORE_WORD:
+        at -= 1
+    return text[at:dot].lower().strip("'’‘")
 
 
 def _next_visible(text: str, at: int, end: int) -> int:
@@ -119,8 +122,9 @@ def periods(text: str) -> dict[str, list[int]]:
     """Per word before a period: how often what follows says abbreviation, and how often it says end of sentence."""
     out: dict[str, list[int]] = {}
     for m in _PERIOD.finditer(text):
-        word, gap, after = m[1].lower(), m[2], m[3]
-        if len(word) < 2 or "." in word:
+        gap, after = m[1], m[2]
+        word = text[max(0, m.start() - 24) : m.start()].rsplit(None, 1)[-1].lstrip("([{«„“\"'").lower()
+        if len(word) < 2 or "." in word or not word[0].isalpha():
             continue
         got = out.setdefault(word, [0, 0])
         if not after or gap.count("\n") > 1:
@@ -132,7 +136,7 @@ def periods(text: str) -> dict[str, list[int]]:
     return out
 
 
-_PERIOD = re.compile(r"([^\W\d_][\w.’'-]*)\.(?!\.)(\s*)(\S?)")
+_PERIOD = re.compile(r"(?<=[^\W\d_])\.(?=[\s,;:]|$)(\s*)(\S?)")
 
 
 class Lexicon:
@@ -152,6 +156,7 @@ class Document:
 
     def __init__(self, text: str, lexicon: Lexicon) -> None:
         self.text, self.lexicon = text, lexicon
+        self._low: str | None = None
         self._own: dict[str, list[int]] | None = None
         self._words: set[str] | None = None
         self._mid: set[str] | None = None
@@ -166,11 +171,14 @@ class Document:
             return True
         if len(word) > 8:
             return False
-        if self._own is None:
-            self._own = periods(self.text)
-        abbr, stop = self._own.get(word, (0, 0))
-        if abbr + stop >= 3 and (abbr == 0 or stop == 0):
-            return stop == 0
+        if self._low is None:
+            self._low = self.text.lower()
+        if self._low.count(word + ".") >= 3:
+            if self._own is None:
+                self._own = periods(self.text)
+            abbr, stop = self._own.get(word, (0, 0))
+            if abbr + stop >= 3 and (abbr == 0 or stop == 0):
+                return stop == 0
         return self.lexicon.abbr[slot("abbr", word)] > 0
 
     def common(self, word: str) -> bool | None:
