@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.traverse import connected_components
 from ..session import cut, table
 from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, packing, seen, sentences, spans, topk
 
@@ -61,6 +62,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.least("ra", "rb").alias("read_id_a"), F.greatest("ra", "rb").alias("read_id_b")).distinct()
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Per read: the least read_id of its group of similar reads, and its links.
+
+    Groups are the components of reads under similarity and equality of any occurrences. Links count the
+    similar pairs of distinct texts that the read's occurrences are in; copies stay members of one text
+    and aren't expanded into pairs. Reads without a window are groups of their own, without links.
+    """
+    texts = variants(spark, d)
+    members, pairs = _similar(texts)
+    members, pairs = cut(members), cut(pairs.select("a", "b"))
+    hub = members.groupBy("read_id").agg(F.min("set_id").alias("a"))
+    own = members.join(hub, "read_id").select("a", F.col("set_id").alias("b"))
+    groups = connected_components(pairs.unionByName(own), members.select(F.col("set_id").alias("v")).distinct())
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
+    per_set = members.join(groups.withColumnRenamed("v", "set_id"), "set_id").join(degree, "set_id", "left")
+    per_read = per_set.groupBy("read_id").agg(F.first("component").alias("component"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = per_read.groupBy("component").agg(F.min("read_id").alias("group_id"))
+    rows = per_read.join(named, "component").select("read_id", "group_id", "n_links")
+    return reads(spark, d).select("read_id").join(rows, "read_id", "left").select("read_id", F.coalesce("group_id", "read_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     of_reads = reads(spark, d).select(F.col("read_id").alias("rec_id"), F.col("read").alias("text"))
     of_files = table(spark, d, "genomes").select(F.col("genome_id").alias("rec_id"), F.col("filename").alias("text"))
@@ -205,6 +227,7 @@ def p10_units_per_language(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
     "p8_packing": p8_packing,
