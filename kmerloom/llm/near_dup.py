@@ -274,57 +274,61 @@ class _Part:
         rank = np.empty(len(ids), np.uint64)
         rank[order] = np.arange(len(ids), dtype=np.uint64)
         self.ids, self.size, self.sketch = ids[order], size[order], np.ascontiguousarray(sketch[order])
-        row = joined("keys", np.uint32).astype(np.uint64) << np.uint64(32) | rank[owner] << np.uint64(3) | (word & np.uint16(7)).astype(np.uint64)
+        flags = word.astype(np.uint64)
+        row = joined("keys", np.uint32).astype(np.uint64) << np.uint64(32) | (flags & np.uint64(4)) << np.uint64(29) | rank[owner] << np.uint64(2) | flags & np.uint64(3)
         row.sort()
         key = row >> np.uint64(32)
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         self.starts, self.ends = new, np.r_[new[1:], len(row)]
-        self.of = ((row & np.uint64(0xFFFFFFFF)) >> np.uint64(3)).astype(np.int32)  # place of the row's set
-        self.deleted, self.role = (row & np.uint64(4)) > 0, (row & np.uint64(3)).astype(np.uint8)
-
-    def _allowed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether row x's set may buy a meeting with row y's, which is no larger."""
+        self.of = ((row >> np.uint64(2)) & np.uint64((1 << 29) - 1)).astype(np.int32)  # place of the row's set
+        self.deleted, self.role = (row & np.uint64(1 << 31)) > 0, (row & np.uint64(3)).astype(np.uint8)
+        before = np.r_[0, np.cumsum(~self.deleted)]
+        self.whole = before[self.ends] - before[self.starts]  # rows of whole segments; they come first in a run
+
+    def _found(self, a: np.ndarray, b: np.ndarray, near: bool) -> np.ndarray:
+        """Of pairs of rows, a's of whole segments: those that may meet and that the sketches let through, as one number each.
+
+        The larger set must have bought the meeting and the other one be indexed. ``near``: the sketches are compared already.
+        """
+        turned = self.of[a] < self.of[b]
+        x, y = np.where(turned, b, a), np.where(turned, a, b)
         sx, sy = self.of[x], self.of[y]
         ok = (sx > sy) & (self.role[x] != INDEX) & (self.role[y] != PROBE) & (2 * self.size[sy] >= self.size[sx])
-        return ok & (~self.deleted[y] | (~self.deleted[x] & (self.role[x] == BOTH2)))
-
-    def _found(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Pairs of sets, as one number each, that the sketches let through."""
-        x, y = self.of[x], self.of[y]
-        d = np.bitwise_count(self.sketch[x] ^ self.sketch[y]).sum(axis=1, dtype=np.int32)
-        ok = d <= allowed_difference(self.size[x], self.size[y])
-        return x[ok].astype(np.int64) << 32 | y[ok]
+        ok &= ~self.deleted[y] | (self.role[x] == BOTH2)
+        sx, sy = sx[ok], sy[ok]
+        if not near:
+            d = np.bitwise_count(self.sketch[sx] ^ self.sketch[sy]).sum(axis=1, dtype=np.int32)
+            ok = d <= allowed_difference(self.size[sx], self.size[sy])
+            sx, sy = sx[ok], sy[ok]
+        return sx.astype(np.int64) << 32 | sy
 
     def pairs(self) -> Iterator[np.ndarray]:
+        """Pairs of rows with one key of which one is of a whole segment: two deletions never decide."""
         sizes = self.ends - self.starts
-        for n in range(2, SHORT + 1):  # short runs: all of a length at once
-            s = self.starts[sizes == n]
-            i, j = np.triu_indices(n, 1)
+        short = np.flatnonzero((sizes > 1) & (sizes <= SHORT) & (self.whole > 0))
+        shape = sizes[short] * (SHORT + 1) + self.whole[short]
+        for one in np.unique(shape):  # runs of one shape all at once
+            s = self.starts[short[shape == one]]
+            i, j = np.triu_indices(one // (SHORT + 1), 1)
+            i, j = i[i < one % (SHORT + 1)], j[i < one % (SHORT + 1)]
             step = max(1, (BLOCK // 4) // len(i))
             for k in range(0, len(s), step):
                 at = s[k : k + step, None]
-                x, y = (at + j).ravel(), (at + i).ravel()
-                ok = self._allowed(x, y)
-                yield self._found(x[ok], y[ok])
-        for r in np.flatnonzero(sizes > SHORT):
-            rows = np.arange(self.starts[r], self.ends[r])
-            xs, ys = rows[self.role[rows] != INDEX], rows[self.role[rows] != PROBE]
-            step = max(16, (1 << 17) // max(1, len(ys)))
-            words = np.ascontiguousarray(self.sketch[self.of[ys]].T)
-            for k in range(0, len(xs), step):
-                x = xs[k : k + step]
-                m = ys.searchsorted(x[-1])  # sets that come before in the order of size
-                if not m:
-                    continue
-                wx = self.sketch[self.of[x]].T
-                d = np.bitwise_count(wx[0][:, None] ^ words[0, :m]).astype(np.uint16)
+                yield self._found((at + i).ravel(), (at + j).ravel(), False)
+        for r in np.flatnonzero((sizes > SHORT) & (self.whole > 0)):
+            start, end, middle = int(self.starts[r]), int(self.ends[r]), int(self.starts[r] + self.whole[r])
+            sets = self.of[start:end]
+            words, size = np.ascontiguousarray(self.sketch[sets].T), self.size[sets]
+            step = min(256, max(16, (1 << 17) // (end - start)))
+            for k in range(start, middle, step):
+                m, e = k - start, min(k + step, middle) - start
+                d = np.bitwise_count(words[0, m:e, None] ^ words[0, m:]).astype(np.uint16)
                 for w in range(1, SKETCH):
-                    d += np.bitwise_count(wx[w][:, None] ^ words[w, :m])
-                i, j = np.nonzero(d <= allowed_difference(self.size[self.of[x]][:, None], self.size[self.of[ys[:m]]]))
-                if len(i):
-                    i, j = x[i], ys[j]
-                    ok = self._allowed(i, j)
-                    yield self.of[i[ok]].astype(np.int64) << 32 | self.of[j[ok]]
+                    d += np.bitwise_count(words[w, m:e, None] ^ words[w, m:])
+                i, j = np.nonzero(d <= allowed_difference(size[m:e, None], size[m:]))
+                later = i < j
+                if later.any():
+                    yield self._found(k + i[later], k + j[later], True)
 
 
 def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
