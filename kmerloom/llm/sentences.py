@@ -46,7 +46,7 @@ PARTNERS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“„", "“": "
 THAI_FINAL = ("หรือไม่", "ไหม", "หรือเปล่า", "ครับ", "ค่ะ")
 
 _GAP = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r\n[^\S\n]*(?:\r\n[^\S\n]*)+")
-_TERM = re.compile(r"[!?。！？।؟…][.!?。！？।؟…]*|\.(?![^\W\d_A-ZÀ-ÖØ-ÞЀ-Я؀-ۿऀ-ॿ一-鿿぀-ヿ]|[\d,;:\-−–/_^])[.!?…]*|\.{2,}[!?]*")
+_TERM = re.compile(r"[.!?。！？।؟…](?:(?<!\.)|(?=\.)|(?![^\W\d_A-ZÀ-ÖØ-ÞЀ-Я؀-ۿऀ-ॿ一-鿿぀-ヿ]|[\d,;:\-−–/_^]))[.!?。！？।؟…]*")
 _NUMBER = re.compile(r"\s*(?:[\[［【(（][^\]］】)）\n]{0,12}\d+[^\]］】)）\n]{0,6}[\]］】)）]|\d+\s*(?:[.)．、](?!\d)|(?=\s*$)))\s*")
 _BEFORE_WORD = frozenset("([«„“\"”»（「『】]" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -100,8 +100,7 @@ class Evidence:
     def add(self, text: str) -> None:
         """Unambiguous occurrences of one document."""
         c = self.counts
-        words = set(_WORD.findall(text))
-        c["low"].update(w for w in words if w[0].islower())
+        c["low"].update(w for w in set(text.split()) if w[0].islower() and w.isalpha())
         c["name"].update(w.lower() for w in set(_MID.findall(text)))
         for word, (abbr, stop) in periods(text).items():
             c["abbr"][word] += abbr
@@ -136,7 +135,7 @@ def periods(text: str) -> dict[str, list[int]]:
     return out
 
 
-_PERIOD = re.compile(r"(?<=[^\W\d_])\.(?=[\s,;:]|$)(\s*)(\S?)")
+_PERIOD = re.compile(r"\.(?<=[^\W\d_]\.)(?=[\s,;:]|$)(\s*)(\S?)")
 
 
 class Lexicon:
@@ -184,7 +183,7 @@ class Document:
     def common(self, word: str) -> bool | None:
         """Whether a capitalised word is an ordinary one that stands at the start of a sentence; None if nothing is known."""
         if self._words is None:
-            self._words = set(_WORD.findall(self.text))
+            self._words = set(self.text.split())
             self._mid = set(_MID.findall(self.text))
         low = word.lower()
         in_doc, as_name = low in self._words, word in self._mid
