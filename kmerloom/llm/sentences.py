@@ -51,7 +51,7 @@ _NUMBER = re.compile(r"\s*(?:[\[［【(（][^\]］】)）\n]{0,12}\d+[^\]］】)
 _BEFORE_WORD = frozenset("([«„“\"”»（「『】]" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()))
 _WORD = re.compile(r"[^\W\d_]+")
 _MID = re.compile(r"(?<=[a-zà-ÿа-яё,;] )[A-ZÀ-ÞЀ-Я][^\W\d_]+")
-_MARK = re.compile(r"\s*\([A-Z]\d+\)\s*$")
+_MARK = re.compile(r"\s*(?:\([A-Z]\d+\)\s*)+$")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_SPACE = re.compile(r"[^\S\n]*\n?[^\S\n]+|\n")
 
