@@ -47,14 +47,29 @@ def last_non_base(seq: Column) -> Column:
     return F.length(F.regexp_extract(seq, r"(?s)^(.*[^ACGTacgt])", 1)) - 1
 
 
+PIECE = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable isn't evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def kmers(seq: Column, k: int) -> Column:
     """Array of all k-letter windows in order; empty for texts that are shorter than k or null.
 
-    Windows with a non-base are kept: filter the exploded column with :func:`is_kmer`.
+    Windows with a non-base are kept: filter the exploded column with :func:`is_kmer`. Long texts are cut
+    into overlapping pieces first, since taking a substring costs as many steps as letters lie before it.
     """
-    b = bases(seq)
-    windows = F.transform(F.sequence(F.lit(1), F.length(b) - k + 1), lambda i: F.substring(b, i, F.lit(k)))
-    return F.when(F.length(b) >= k, windows).otherwise(F.array().cast("array<string>"))
+
+    def of_piece(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(p) - k + 1), lambda i: F.substring(p, i, F.lit(k)))
+
+    def of_text(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(t) - k + 1, F.lit(PIECE))
+        return F.flatten(F.transform(starts, lambda i: _let(F.substring(t, i, F.lit(PIECE + k - 1)), of_piece)))
+
+    return F.when(F.length(seq) >= k, _let(bases(seq), of_text)).otherwise(F.array().cast("array<string>"))
 
 
 def n_windows(seq: Column, k: int) -> Column:
@@ -130,7 +145,9 @@ def hash64(*cols: Column) -> Column:
 
 def minimizer(seq: Column, m: int) -> Column:
     """Smallest m-letter word over both strands without non-bases and without AAA, CCC, GGG or TTT; null without one."""
-    b = bases(seq)
-    both = F.concat(kmers(b, m), kmers(reverse_complement(b), m))
-    good = F.filter(both, lambda x: x.rlike("^[ACGT]+$") & ~x.rlike("AAA|CCC|GGG|TTT"))
-    return F.array_min(good)
+
+    def least(b: Column) -> Column:
+        both = F.concat(kmers(b, m), kmers(reverse_complement(b), m))
+        return F.array_min(F.filter(both, lambda x: x.rlike("^[ACGT]+$") & ~x.rlike("AAA|CCC|GGG|TTT")))
+
+    return _let(bases(seq), least)

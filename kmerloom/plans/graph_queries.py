@@ -9,7 +9,7 @@ from ..functions import codec, colors
 from ..operators import graph as g
 from ..operators import reads, search, traverse
 from ..operators.graph import ColoredGraph
-from ..session import cut, table
+from ..session import cut, spread, table
 from ..sources.readers import base_name, dna
 
 c = F.col
@@ -17,7 +17,7 @@ c = F.col
 
 def source_sequences(spark: SparkSession, d: str, by: str = "source") -> DataFrame:
     docs = table(spark, d, "documents").where(c(by).isNotNull() & c("text").isNotNull())
-    return docs.select(c(by).alias("genome_name"), dna(c("text")).alias("seq"))
+    return spread(docs.select(c(by).alias("genome_name"), "text")).select("genome_name", dna(c("text")).alias("seq"))
 
 
 def source_graph(spark: SparkSession, d: str, k: int, by: str = "source") -> ColoredGraph:

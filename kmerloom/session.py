@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,5 +44,10 @@ def fits(df: DataFrame, column: str, max_bytes: int) -> bool:
     return (got or 0) <= max_bytes
 
 
-def package_root() -> Path:
-    return Path(__file__).resolve().parent
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that gives fewer tasks than there are cores, spread over all cores: for steps that multiply its rows.
+
+    A scan of many files or row groups stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
