@@ -53,7 +53,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MID = re.compile(r"(?<=[a-zà-ÿа-яё,;] )[A-ZÀ-ÞЀ-Я][^\W\d_]+")
 _MARK = re.compile(r"\s*(?:\([A-Z]\d+\)\s*)+$")
 _THAI = re.compile(r"[฀-๿]")
-_THAI_SPACE = re.compile(r"[^\S\n]*\n?[^\S\n]+|\n")
 
 
 def slot(kind: str, word: str) -> int:
