@@ -9,7 +9,7 @@ from ..functions import codec, colors
 from ..operators import graph as g
 from ..operators import reads, search, traverse
 from ..operators.graph import ColoredGraph
-from ..session import cut, spread, table
+from ..session import cut, fits, spread, table
 from ..sources.readers import base_name, dna
 
 c = F.col
@@ -109,10 +109,19 @@ def kmer_presence(spark, d):
 
 
 def kmer_presence_matrix(spark, d):
+    """The first eight genomes' columns, as the SQL has them; :func:`kmer_presence_matrix_all` has every genome's."""
     rows = search.kmer_presence(source_graph(spark, d, 18), _query_kmers(spark, d, 18))
     return search.presence_matrix(rows, names(spark, d)[:8])
 
 
+def kmer_presence_matrix_all(spark, d):
+    """Only the query k-mers' rows of the graph are shuffled, if their texts are small enough to be sent to all tasks."""
+    graph, q = source_graph(spark, d, 18), _query_kmers(spark, d, 18)
+    asked = q.select("kmer").distinct()
+    asked = F.broadcast(asked) if fits(asked, "kmer", 8 << 20) else asked
+    return search.presence_matrix(search.kmer_presence(graph.subset(asked), q), list(range(graph.n_genomes())))
+
+
 def presence_count(spark, d):
     """How many query k-mers are in the graph, repeats counted."""
     q = _query_kmers(spark, d, 18).join(source_graph(spark, d, 18).vertices(), "kmer", "left_semi")
@@ -126,10 +135,19 @@ def _containment(k, t, canonical=False):
     return run
 
 
+def _sequence_rows(graph, queries):
+    found = search.sequence_containment(graph, queries, 0.5)
+    return queries.select("query_id").join(found.select("query_id", "genome_id"), "query_id", "left")
+
+
 def sequence_matrix(spark, d):
-    all_ = benchmark_queries(spark, d).select("query_id")
-    found = search.sequence_containment(source_graph(spark, d, 9), benchmark_queries(spark, d), 0.5)
-    return search.presence_matrix(all_.join(found.select("query_id", "genome_id"), "query_id", "left"), names(spark, d)[:8])
+    """The first eight genomes' columns, as the SQL has them; :func:`sequence_matrix_all` has every genome's."""
+    return search.presence_matrix(_sequence_rows(source_graph(spark, d, 9), benchmark_queries(spark, d)), names(spark, d)[:8])
+
+
+def sequence_matrix_all(spark, d):
+    graph = source_graph(spark, d, 9)
+    return search.presence_matrix(_sequence_rows(graph, benchmark_queries(spark, d)), list(range(graph.n_genomes())))
 
 
 def prefix_match(spark, d):
@@ -327,6 +345,7 @@ QUERIES = {
     "iupac_codes": iupac_codes,
     "kmer_presence": kmer_presence,
     "kmer_presence_matrix": kmer_presence_matrix,
+    "kmer_presence_matrix_all": kmer_presence_matrix_all,
     "presence_count": presence_count,
     "sequence_containment_t30": _containment(9, 0.3),
     "sequence_containment_t50": _containment(9, 0.5),
@@ -334,6 +353,7 @@ QUERIES = {
     "sequence_containment_k18_t30": _containment(18, 0.3),
     "sequence_containment_canonical": _containment(9, 0.5, True),
     "sequence_matrix": sequence_matrix,
+    "sequence_matrix_all": sequence_matrix_all,
     "prefix_match": prefix_match,
     "degree_histogram": degree_histogram,
     "branching_kmers": branching_kmers,
