@@ -195,6 +195,21 @@ def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _rarest(s: Sets, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets that hold each segment's rarest window, and per window those that hold the rarest of its segment's others.
+
+    They bound the rows of a key by the windows that are in it, so that equal keys are salted alike.
+    """
+    count = n[s.token]
+    rarest = np.minimum.reduceat(count, s.seg_start)
+    hit = np.flatnonzero(count == rarest[s.seg])
+    at = hit[np.r_[True, s.seg[hit[1:]] != s.seg[hit[:-1]]]]  # the first of the rarest, one a segment
+    count[at] = np.iinfo(np.int64).max
+    left = rarest[s.seg]
+    left[at] = np.minimum.reduceat(count, s.seg_start)
+    return rarest, left
+
+
 def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, parts: int):
     """Index and probe rows of all sets, bundled by block of BUNDLE sets and partition of the keys.
 
@@ -211,15 +226,15 @@ def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, par
                 continue
             h = mix(s.token.astype(np.uint64), 31)
             total, v, sketch = np.add.reduceat(h, s.seg_start), _purchases(s, n, alone, n_sets), s.sketches()
-            rarest = np.minimum.reduceat(n[s.token], s.seg_start)
+            rarest, left = _rarest(s, n)
             cut_one = np.flatnonzero(s.z[s.seg] >= 3)  # what is left keeps two windows or more
             left_one = np.flatnonzero((s.z[s.seg] == 2) & (v[s.seg] == 2))  # what is left only probes
             deep = pick(s)  # the finest partition, for sets that lack units; their windows are indexed for all sets
             known = np.flatnonzero(probed[s.token])
-            groups = [  # key, owner, role, deletion or not, upper bound of the key's rows
+            groups = [  # key, owner, role, deletion or not, upper bound of the key's rows: a function of the key
                 (total, s.seg_owner, units[v], 0, rarest),
-                (total[s.seg[cut_one]] - h[cut_one], s.owner[cut_one], np.where(v[s.seg[cut_one]] == 2, BOTH2, INDEX), 4, rarest[s.seg[cut_one]]),
-                (total[s.seg[left_one]] - h[left_one], s.owner[left_one], np.full(len(left_one), PROBE), 4, n[s.token[left_one]]),
+                (total[s.seg[cut_one]] - h[cut_one], s.owner[cut_one], np.where(v[s.seg[cut_one]] == 2, BOTH2, INDEX), 4, left[cut_one]),
+                (total[s.seg[left_one]] - h[left_one], s.owner[left_one], np.full(len(left_one), PROBE), 4, left[left_one]),
                 (h[deep] + np.uint64(1), s.owner[deep], np.full(len(deep), PROBE), 0, n[s.token[deep]]),
                 (h[known] + np.uint64(1), s.owner[known], np.full(len(known), INDEX), 0, n[s.token[known]]),
             ]

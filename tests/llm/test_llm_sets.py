@@ -57,6 +57,22 @@ def test_salted_keys_lose_nothing(spark, monkeypatch):
     assert {tuple(sorted((r.a, r.b))) for r in near_dup.similar_pairs(numbered).collect()} == want
 
 
+@pytest.mark.parametrize("most", [2, 5])
+def test_salted_deletions_meet_whole_segments(spark, monkeypatch, most):
+    rng, seqs = random.Random(0), set()
+    for _ in range(40):  # short sequences at all similarities: few segments, and often one meeting only
+        base = "".join(rng.choices("ACGT", k=rng.randint(12, 30)))
+        for _ in range(14):
+            t = base[rng.randint(0, len(base) // 4) : len(base) - rng.randint(0, len(base) // 4)]
+            t += "".join(rng.choices("ACGT", k=rng.randint(0, len(t) // 4)))
+            seqs.add(t)
+    monkeypatch.setattr(near_dup, "SALT_ROWS", most)
+    numbered = near_dup.number_sequences(spark.createDataFrame([(s,) for s in sorted(seqs)], "seq string"))
+    sets = {r.set_id: windows(r.seq) for r in numbered.collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert {tuple(sorted((r.a, r.b))) for r in near_dup.similar_pairs(numbered).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     numbered = near_dup.number_sequences(spark.createDataFrame([], "seq string"))
     assert near_dup.similar_pairs(numbered).count() == 0
