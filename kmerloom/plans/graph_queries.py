@@ -172,6 +172,8 @@ def query_branching_count(spark, d):
 
 
 def _neighbors(f):
+    """Of the k-mers in three genomes or more, as the SQL has them; :func:`_all_neighbors` asks for every k-mer's."""
+
     def run(spark, d):
         v = source_graph(spark, d, 27).counts()
         v = cut(v)
@@ -180,6 +182,14 @@ def _neighbors(f):
     return run
 
 
+def _all_neighbors(f):
+    def run(spark, d):
+        v = cut(source_graph(spark, d, 27).vertices())
+        return f(v, v, 27)
+
+    return run
+
+
 # --- pan-genome and color sets ----------------------------------------------------------------------
 
 
@@ -361,6 +371,9 @@ QUERIES = {
     "predecessors": _neighbors(search.predecessors),
     "successors": _neighbors(search.successors),
     "neighbors": _neighbors(search.neighbors),
+    "predecessors_all": _all_neighbors(search.predecessors),
+    "successors_all": _all_neighbors(search.successors),
+    "neighbors_all": _all_neighbors(search.neighbors),
     "core_kmers": core_kmers,
     "dispensable_kmers": dispensable_kmers,
     "singleton_kmers": singleton_kmers,

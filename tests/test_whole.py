@@ -42,3 +42,14 @@ def test_matrices_have_every_genome(spark, small):
     got = QUERIES["sequence_matrix_all"](spark, d)
     assert got.columns == ["query_id", *(f"g{i}" for i in range(11))]
     assert rows(got) == sorted((q, *(int(share(t, g)) for g in has)) for q, t in items.items())
+
+
+def test_every_kmer_has_its_neighbors(spark, small):
+    d, genomes, _ = small
+    v = set().union(*genomes(27))
+    around = lambda x: [*(b + x[:-1] for b in "ACGT"), *(x[1:] + b for b in "ACGT")]
+    want = sorted((x, pos, y, y in v) for x in v for pos, y in enumerate(around(x)))
+    assert rows(QUERIES["neighbors_all"](spark, d)) == want
+    assert rows(QUERIES["predecessors_all"](spark, d)) == [w for w in want if w[1] < 4]
+    assert rows(QUERIES["successors_all"](spark, d)) == [w for w in want if w[1] >= 4]
+    assert len(want) == 8 * len(v) and any(w[3] for w in want)
