@@ -122,7 +122,7 @@ def periods(text: str) -> dict[str, list[int]]:
     for m in _PERIOD.finditer(text):
         gap, after = m[1], m[2]
         word = text[max(0, m.start() - 24) : m.start()].rsplit(None, 1)[-1].lstrip("([{«„“\"'").lower()
-        if len(word) < 2 or "." in word or not word[0].isalpha():
+        if "." in word or not word[:1].isalpha():
             continue
         got = out.setdefault(word, [0, 0])
         if not after or gap.count("\n") > 1:
@@ -144,6 +144,7 @@ class Lexicon:
         abbr, stop, low, name, open_, close, piece = (counts.get(k, np.zeros(1 << SLOT_BITS, np.int64)) for k in Evidence.KINDS)
         many = abbr + stop
         self.abbr = np.where((many >= 4) & (abbr * 2 > many), 1, np.where(many >= 4, -1, 0)).astype(np.int8)
+        self.stop = ((abbr == 0) & (stop >= 4)).astype(np.int8)
         self.common = np.where(low > name, 1, np.where(name > 0, -1, 0)).astype(np.int8)
         self.open = ((open_ >= 3) & (open_ * 50 >= piece)).astype(np.int8)
         self.close = (close >= 3).astype(np.int8)
@@ -179,6 +180,15 @@ class Document:
                 return stop == 0
         return self.lexicon.abbr[slot("abbr", word)] > 0
 
+    def stops(self, word: str) -> bool:
+        """Whether sentences do end after a listed abbreviation or letter: unambiguously in the document, else in the corpus."""
+        if self._own is None:
+            self._own = periods(self.text)
+        abbr, stop = self._own.get(word, (0, 0))
+        if abbr or stop >= 3:
+            return abbr == 0
+        return bool(self.lexicon.stop[slot("abbr", word)])
+
     def common(self, word: str) -> bool | None:
         """Whether a capitalised word is an ordinary one that stands at the start of a sentence; None if nothing is known."""
         if self._words is None:
@@ -299,9 +309,9 @@ class Document:
         if word in MAY_END_COMMON:
             return first.isupper() and self.common(_first_word(text, opener)) is True
         if self.abbreviation(word):
-            if word in ABBREVIATIONS or len(word) == 1 or not first.isupper():
+            if not first.isupper() or self.common(_first_word(text, opener)) is not True:
                 return False
-            return self.common(_first_word(text, opener)) is True
+            return (word not in ABBREVIATIONS and len(word) > 1) or self.stops(word)
         return True
 
     def _closes(self, ch: str, unit: int, at: int) -> bool:

@@ -124,3 +124,25 @@ def test_odd_texts(spark):
     rows = sorted(map(tuple, sentences.sentence_ends(docs).collect()))
     assert rows == [(4, 4), (5, 3), (5, 9), (6, 6), (7, 5)] or rows == [(4, 4), (5, 9), (6, 6), (7, 5)]
     assert sentences.sentence_ends(docs.limit(0)).count() == 0
+
+
+def units_of(text, lexicon):
+    ends = [0, *sentences.Document(text, lexicon).ends()]
+    return [text[a:b].strip() for a, b in zip(ends, ends[1:])]
+
+
+@pytest.mark.parametrize("word", ["art", "A", "no"])
+def test_evidence_overrides_the_list(word):
+    empty = sentences.Lexicon({})
+    shown = f"This is the prior {word}.\n\n" * 3
+    text = f"We know the prior {word}. The lid holds."
+    assert units_of(shown + text, empty)[3:] == [f"We know the prior {word}.", "The lid holds."]
+    assert units_of(text, empty) == [text]  # no evidence: the list
+    assert units_of(shown + f"See {word}. 5 and {word}. 6.\n\n" + text, empty)[4:] == [text]  # ambiguous
+    assert units_of(shown + f"The {word}. Velmorath lid holds.", empty)[3:] == [f"The {word}. Velmorath lid holds."]  # a name
+    corpus = sentences.Evidence()
+    for _ in range(4):
+        corpus.add(f"This is the prior {word}.")
+    stop = np.zeros(1 << sentences.SLOT_BITS, np.int64)
+    stop[sentences.slot("abbr", word.lower())] = corpus.counts["stop"][word.lower()]
+    assert units_of(text, sentences.Lexicon({"stop": stop})) == [f"We know the prior {word}.", "The lid holds."]
