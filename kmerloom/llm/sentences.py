@@ -79,6 +79,15 @@ def left_word(text: str, start: int, dot: int) -> str:
     return text[at:dot].lower().strip("'’‘")
 
 
+def words(text: str) -> set[str]:
+    """The text's runs of letters; the pattern is run only where a piece between blanks has something else."""
+    out, mixed = set(), []
+    for w in set(text.split()):
+        out.add(w) if w.isalpha() else mixed.append(w)
+    out.update(_WORD.findall(" ".join(mixed)))
+    return out
+
+
 def _next_visible(text: str, at: int, end: int) -> int:
     while at < end and text[at].isspace():
         at += 1
@@ -99,7 +108,7 @@ class Evidence:
     def add(self, text: str) -> None:
         """Unambiguous occurrences of one document."""
         c = self.counts
-        c["low"].update(w for w in set(text.split()) if w[0].islower() and w.isalpha())
+        c["low"].update(w for w in words(text) if w[0].islower())
         c["name"].update(w.lower() for w in set(_MID.findall(text)))
         for word, (abbr, stop) in periods(text).items():
             c["abbr"][word] += abbr
@@ -192,7 +201,7 @@ class Document:
     def common(self, word: str) -> bool | None:
         """Whether a capitalised word is an ordinary one that stands at the start of a sentence; None if nothing is known."""
         if self._words is None:
-            self._words = set(self.text.split())
+            self._words = words(self.text)
             self._mid = set(_MID.findall(self.text))
         low = word.lower()
         in_doc, as_name = low in self._words, word in self._mid

@@ -146,3 +146,12 @@ def test_evidence_overrides_the_list(word):
     stop = np.zeros(1 << sentences.SLOT_BITS, np.int64)
     stop[sentences.slot("abbr", word.lower())] = corpus.counts["stop"][word.lower()]
     assert units_of(text, sentences.Lexicon({"stop": stop})) == [f"We know the prior {word}.", "The lid holds."]
+
+
+def test_words_beside_punctuation_are_common():
+    assert sentences.words("Some (cases, 'that' is) vary-much; x2 Ünder a_b ½ 東京。") == set(sentences._WORD.findall("Some (cases, 'that' is) vary-much; x2 Ünder a_b ½ 東京。"))
+    text = "It holds in the U.S. Cases (cases, that is) vary."
+    assert units_of(text, sentences.Lexicon({})) == ["It holds in the U.S.", "Cases (cases, that is) vary."]
+    corpus = sentences.Evidence()
+    corpus.add("Some (cases, that is) vary.")
+    assert corpus.counts["low"]["cases"] == 1 and corpus.counts["low"]["vary"] == 1
