@@ -317,11 +317,19 @@ def component_count(spark, d):
     return x.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), F.sum("n").alias("vertices"))
 
 
-def bfs_levels(spark, d):
-    """Steps from branching k-mers, four at most."""
+def _levels(spark, d, most):
     v = cut(source_graph(spark, d, 27).vertices())
     seeds = search.branching(search.degrees(v, 27))
-    return traverse.bfs_levels(v, 27, seeds, 4).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return traverse.bfs_levels(v, 27, seeds, most).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bfs_levels(spark, d):
+    """Steps from branching k-mers, four at most, as the SQL has them; :func:`bfs_levels_all` goes to the end."""
+    return _levels(spark, d, 4)
+
+
+def bfs_levels_all(spark, d):
+    return _levels(spark, d, None)
 
 
 # --- reads ------------------------------------------------------------------------------------------
@@ -398,6 +406,7 @@ QUERIES = {
     "components": components,
     "component_count": component_count,
     "bfs_levels": bfs_levels,
+    "bfs_levels_all": bfs_levels_all,
     "minimizer_bins": minimizer_bins,
     "hamming_distances": hamming_distances,
 }

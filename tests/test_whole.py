@@ -53,3 +53,17 @@ def test_every_kmer_has_its_neighbors(spark, small):
     assert rows(QUERIES["predecessors_all"](spark, d)) == [w for w in want if w[1] < 4]
     assert rows(QUERIES["successors_all"](spark, d)) == [w for w in want if w[1] >= 4]
     assert len(want) == 8 * len(v) and any(w[3] for w in want)
+
+
+def test_levels_go_to_the_end(spark, small):
+    d, genomes, _ = small
+    v = set().union(*genomes(27))
+    after = lambda x: [x[1:] + b for b in "ACGT" if x[1:] + b in v]
+    before = lambda x: [b + x[:-1] for b in "ACGT" if b + x[:-1] in v]
+    front = {x for x in v if len(after(x)) > 1 or len(before(x)) > 1}
+    seen, want = set(), []
+    while front:
+        want.append((len(want), len(front)))
+        seen |= front
+        front = {y for x in front for y in after(x) + before(x)} - seen
+    assert rows(QUERIES["bfs_levels_all"](spark, d)) == want and len(want) > 5
