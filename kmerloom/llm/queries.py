@@ -95,13 +95,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d)
 
 
-def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
-    """Per record with a shared span: its length, the letters shared elsewhere and their share."""
+def _shares(spark: SparkSession, d: str, how: str) -> DataFrame:
     of_reads = reads(spark, d).select(F.lit("read").alias("rec_kind"), F.col("read_id").alias("rec_id"), F.length("read").alias("n_chars"))
     of_files = table(spark, d, "genomes").select(F.lit("file").alias("rec_kind"), F.col("genome_id").cast("bigint").alias("rec_id"), F.length("filename").alias("n_chars"))
     shared = _spans(spark, d).groupBy("rec_kind", "rec_id").agg(F.sum("span_len").alias("shared_chars"), F.count(F.lit(1)).alias("n_spans"))
-    all_ = of_reads.unionByName(of_files).join(shared, ["rec_kind", "rec_id"])
-    return all_.withColumn("share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
+    return of_reads.unionByName(of_files).join(shared, ["rec_kind", "rec_id"], how)
+
+
+def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    """Per record with a shared span, as the SQL has them: its length, the letters shared elsewhere and their share."""
+    return _shares(spark, d, "inner").withColumn("share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
+
+
+def p2_shared_share_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every record: one that shares nothing, be it short, empty or null, has a share of 0."""
+    all_ = _shares(spark, d, "left").fillna(0, ["shared_chars", "n_spans"])
+    share = F.when(F.col("shared_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0))
+    return all_.withColumn("share", share)
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +240,7 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
+    "p2_shared_share_all": p2_shared_share_all,
     "p8_packing": p8_packing,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
