@@ -341,7 +341,10 @@ def minimizer_bins(spark, d):
 
 
 def hamming_distances(spark, d):
-    """Mismatches between reads of one minimizer bin's neighbours: each read against its successor in the bin's order."""
+    """A demonstration of the bounded mismatch count, as the SQL has it; not a search for similar reads.
+
+    Each read is held against one other: its successor in alphabetical order among reads of its length and first four letters.
+    """
     from pyspark.sql import Window as W
 
     r = table(spark, d, "read_counts").where(F.length("read") > 0).groupBy("read_id").agg(F.max(codec.bases(c("read"))).alias("a"))
