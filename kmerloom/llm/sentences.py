@@ -1,43 +1,41 @@
-"""Sentence units of documents in many languages and scripts.
+"""Sentence units of documents in many languages and scripts, by document-centred disambiguation.
 
-Two passes. The first gathers evidence from unambiguous occurrences over the whole corpus: words whose
-period is followed by a small letter, digit or comma (abbreviations) or by the end of a paragraph (not
-so), words seen in small letters (common words) or capitalised within a sentence (names), and, for a
-script without full stops, pieces that begin or end paragraphs. The second pass splits each document:
-what the document itself says about a word decides, the corpus's evidence where it says nothing, and
-rules of the script settle terminators, quotations and numbers.
+Whether a period ends a sentence is decided by unambiguous occurrences elsewhere, not by lists of words:
 
-The corpus's evidence is summed per hashed slot, so what reaches the driver and the tasks is bounded by
-the number of slots, not by the vocabulary.
+* a word whose period is followed by a small letter, digit or comma is an abbreviation there; one whose
+  period ends a paragraph is not;
+* a capitalised word that stands in small letters elsewhere, or begins paragraphs, is a common word; one
+  that is capitalised after a small letter or comma is a name;
+* an abbreviation may end a sentence if words that begin paragraphs follow it.
+
+Two occurrences in the document that agree decide; otherwise the whole corpus's counts do (an abbreviation
+shows there by unambiguous occurrences, or by hardly ever ending a paragraph and never standing without its
+period); then a single occurrence in the document, and last the word's form (initials, inner periods).
+Terminators of scripts, quotations, numbers and Thai, which has no full stop, follow rules of their own.
+
+The first pass counts the evidence, per word and exactly, the second splits the documents. The corpus's
+verdicts travel to the tasks as sorted 64-bit hashes if there are at most LEXICON_WORDS of them; beyond that
+they are joined to the documents that ask for them.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOT_BITS = 18
+from ..session import cut
+
 FLUSH = 300_000  # counters that a task holds before it hands them on
+LEXICON_WORDS = 1 << 22  # verdicts that are shipped to every task (9 bytes each); more are joined
+SURE, LETTER = 0.7, 5.0  # a word of n letters is an abbreviation if it ends fewer paragraphs than usual by a log-likelihood of SURE * LETTER**n
 
-# Abbreviations that a name, number or further word follows; in small letters, without the last period.
-ABBREVIATIONS = set(
-    "dr mr mrs ms prof st sr sra srta hr fr mme mlle fig figs no nos nr nrn tab abb pat pats vgl cf pág págs pag p pp art abs ver vs"
-    " approx al ca bzw env aprox núm vol ed eds ch sec eq eqs ref refs fr bspw evtl ggf inkl sog zzgl mind max min ref"
-    " рис табл см поз п пп стр ок гл ст ср проф г-н акад д-р им ул डॉ श्री प्रो د أ م ص".split()
-)
-# Abbreviations that often end a sentence: a capital letter after them starts a new one.
-MAY_END = set("etc usw usf a.m p.m др пр т.д т.п т.д т.п d.c b.c".split())
-# Abbreviations after which only a capitalised common word starts a new sentence.
-MAY_END_COMMON = set("corp inc ltd co llc gmbh sa ag bv г гг в вв u.s".split())
-# Words before a number whose period makes it an ordinal.
-ORDINAL_AFTER = set("der die das den dem des am im vom zum zur beim jeder jede jedes dieser diese dieses ein eine einen einer".split())
 # Brackets and quotation marks by role.
 OPENERS = "([{«„“‚‘「『（【《〈\"'¿¡"
 CLOSERS = ")]}»”’」』）】》〉\"'“"
@@ -50,15 +48,13 @@ _TERM = re.compile(r"[.!?。！？।؟…](?:(?<!\.)|(?=\.)|(?![^\W\d_A-ZÀ-Ö
 _NUMBER = re.compile(r"\s*(?:[\[［【(（][^\]］】)）\n]{0,12}\d+[^\]］】)）\n]{0,6}[\]］】)）]|\d+\s*(?:[.)．、](?!\d)|(?=\s*$)))\s*")
 _BEFORE_WORD = frozenset("([«„“\"”»（「『】]" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()))
 _WORD = re.compile(r"[^\W\d_]+")
+_INITIAL = re.compile(r"(\w)\.\s*\w$")
+_EDGES = "()[]{}«»„“”‘’\"'（）「」『』【】《》〈〉¿¡.,;:!?…"
 _MID = re.compile(r"(?<=[a-zà-ÿа-яё,;] )[A-ZÀ-ÞЀ-Я][^\W\d_]+")
 _MARK = re.compile(r"\s*(?:\([A-Z]\d+\)\s*)+$")
 _THAI = re.compile(r"[฀-๿]")
 
 
-def slot(kind: str, word: str) -> int:
-    return zlib.crc32(f"{kind}\x00{word}".encode("utf-8", "surrogatepass")) & ((1 << SLOT_BITS) - 1)
-
-
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the stretches between lines without visible characters, outer blanks left out."""
     at = 0
@@ -73,18 +69,16 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 def left_word(text: str, start: int, dot: int) -> str:
     """The word before a period, in small letters, without brackets in front of it."""
-    at, least = dot, max(start, dot - 40)
-    while at > least and text[at - 1] not in _BEFORE_WORD:
+    at = dot
+    while at > start and text[at - 1] not in _BEFORE_WORD:
         at -= 1
     return text[at:dot].lower().strip("'’‘")
 
 
-def words(text: str) -> set[str]:
-    """The text's runs of letters; the pattern is run only where a piece between blanks has something else."""
-    out, mixed = set(), []
-    for w in set(text.split()):
-        out.add(w) if w.isalpha() else mixed.append(w)
-    out.update(_WORD.findall(" ".join(mixed)))
+def words(tokens: set[str]) -> set[str]:
+    """The tokens' runs of letters; the pattern is run only on tokens that have something else."""
+    out = {w for w in tokens if w.isalpha()}
+    out.update(_WORD.findall(" ".join(tokens - out)))
     return out
 
 
@@ -94,25 +88,98 @@ def _next_visible(text: str, at: int, end: int) -> int:
     return at
 
 
+ABBR, STOP, CAP, START = range(4)
+
+
+def first_words(paras: list[list[str]]) -> set[str]:
+    """The words that begin paragraphs, numbers and brackets in front of them left out."""
+    out = set()
+    for tokens in paras:
+        for t in tokens[:3]:
+            if (w := t.strip(_EDGES))[:1].isalpha():
+                out.add(w)
+                break
+    return out
+
+
+def observed(paras: list[list[str]], begins: Callable[[str], bool] | None = None) -> dict[str, list[int]]:
+    """Per word before a period: how often the period is inside a sentence for certain, how often it ends a
+    paragraph, how often a capital follows, and how often that capital's word ``begins`` sentences.
+
+    Initials in a row count as one word (``z.b``), and a number of one or two digits is known by the word before it (``der #``).
+    """
+    out: dict[str, list[int]] = {}
+    for tokens in paras:
+        for i in [i for i, t in enumerate(tokens) if "." in t[-2:]]:
+            t = tokens[i]
+            if t[-1] == ".":
+                w, after = t[:-1], tokens[i + 1] if i + 1 < len(tokens) else ""
+            elif t[-1] in ",;:":
+                w, after = t[:-2], ","
+            else:
+                continue
+            w = w.lstrip(_EDGES).lower()
+            if len(w) == 1 and w.isalpha():
+                if i and len(b := tokens[i - 1].lstrip(_EDGES)) == 2 and b[1] == "." and b[0].isalpha():
+                    w = f"{b[0].lower()}.{w}"
+            elif len(w) < 3 and w.isdigit():
+                w = tokens[i - 1].lstrip(_EDGES).lower() + " #" if i else ""
+            if not w[:1].isalpha():
+                continue
+            got = out.get(w)
+            if got is None:
+                got = out[w] = [0, 0, 0, 0]
+            ch = after[:1]
+            if not ch:
+                got[STOP] += 1
+            elif ch in ",;:" or ch.islower() or ch.isdigit():
+                got[ABBR] += 1
+            elif ch.isupper():
+                got[CAP] += 1
+                if begins and after[-1] != "." and begins(after.rstrip(_EDGES)):
+                    got[START] += 1
+    return out
+
+
 class Evidence:
-    """Counts per kind of evidence and word."""
+    """Counts per class of evidence, field and word."""
 
-    KINDS = ("abbr", "stop", "low", "name", "open", "close", "piece")
+    FIELDS = {  # "w": words before a period, "n": capitalised words, "o", "c": how Thai paragraphs open and close; "t": all in all
+        "w": ("abbr", "stop", "cap", "start", "dotted", "bare"), "n": ("low", "name", "next"), "o": ("open", "piece"), "c": ("close",), "t": ("stop", "cap"),
+    }
+    WIDTH = 6
 
     def __init__(self) -> None:
-        self.counts = {k: Counter() for k in self.KINDS}
+        self.counts = {(k, f): Counter() for k, fields in self.FIELDS.items() for f in range(len(fields))}
 
     def size(self) -> int:
         return sum(map(len, self.counts.values()))
 
     def add(self, text: str) -> None:
         """Unambiguous occurrences of one document."""
-        c = self.counts
-        c["low"].update(w for w in words(text) if w[0].islower())
-        c["name"].update(w.lower() for w in set(_MID.findall(text)))
-        for word, (abbr, stop) in periods(text).items():
-            c["abbr"][word] += abbr
-            c["stop"][word] += stop
+        c, paras = self.counts, [text[a:b].split() for a, b in paragraphs(text)]
+        tokens = set().union(*paras)
+        dotted = {t for t in tokens if t[-1] == "."}
+        plain, mid = words(tokens - dotted), set(_MID.findall(text))
+        low = {w for w in plain | words(dotted) if w[0].islower()}
+        firsts, after = first_words(paras), set()
+
+        def begins(word: str) -> bool:
+            after.add(small := word.lower())
+            return word[1:] == small[1:] and (word in firsts or (small in low and word not in mid))
+
+        fields = [c["w", f] for f in range(self.WIDTH)]
+        for word, got in observed(paras, begins).items():
+            for f, n in zip(fields, got):
+                if n:
+                    f[word] += n
+            fields[4][word] += 1
+            fields[5][word] += word in plain or word.capitalize() in plain
+            c["t", 0][""] += got[STOP]
+            c["t", 1][""] += got[CAP]
+        c["n", 0].update(low)
+        c["n", 1].update({w.lower() for w in mid})
+        c["n", 2].update(after)
         if _THAI.search(text):
             for start, end in paragraphs(text):
                 body = text[start:end]
@@ -120,99 +187,140 @@ class Evidence:
                     m = _NUMBER.match(body)
                     pieces = body[m.end() if m else 0 :].split()
                     if pieces:
-                        c["open"][pieces[0][:6]] += 1
-                        c["close"][pieces[-1][-6:]] += 1
-                        c["piece"].update(p[:6] for p in pieces)
+                        c["o", 0][pieces[0][:6]] += 1
+                        c["o", 1].update(p[:6] for p in pieces)
+                        c["c", 0][pieces[-1][-6:]] += 1
 
+    def rows(self) -> Iterator[tuple[str, str, list[int]]]:
+        """(class, word, counts)"""
+        for k, fields in self.FIELDS.items():
+            got: dict[str, list[int]] = {}
+            for f in range(len(fields)):
+                for w, n in self.counts[k, f].items():
+                    if n:
+                        got.setdefault(w, [0] * self.WIDTH)[f] = n
+            for w, n in got.items():
+                yield k, w, n
 
-def periods(text: str) -> dict[str, list[int]]:
-    """Per word before a period: how often what follows says abbreviation, and how often it says end of sentence."""
-    out: dict[str, list[int]] = {}
-    for m in _PERIOD.finditer(text):
-        gap, after = m[1], m[2]
-        word = text[max(0, m.start() - 24) : m.start()].rsplit(None, 1)[-1].lstrip("([{«„“\"'").lower()
-        if "." in word or not word[:1].isalpha():
-            continue
-        got = out.setdefault(word, [0, 0])
-        if not after or gap.count("\n") > 1:
-            got[1] += 1
-        elif after in ",;:" or (gap and (after.islower() or after.isdigit())):
-            got[0] += 1
-        elif gap and (after.isupper() or after in "\"«„“(¿¡"):
-            got[1] += after in "\"«„“(¿¡"  # a capital may begin a name
-    return out
 
+# What a verdict says: an abbreviation or not, and whether one may end a sentence; a common word or a name; a Thai opening or closing.
+YES, NO, MAY_END, COMMON, NAME, OPEN, CLOSE = 1, 2, 4, 1, 2, 1, 1
 
-_PERIOD = re.compile(r"\.(?<=[^\W\d_]\.)(?=[\s,;:]|$)(\s*)(\S?)")
 
+def verdict(cls: str, word: str, n: list, share: float) -> int:
+    """The corpus's verdict on a word by its counts; 0 if they say nothing. ``share``: of all periods before a capital or at a paragraph's end, the latter.
 
-class Lexicon:
-    """The corpus's verdicts by slot, as small arrays that are shipped to every task."""
+    A word is an abbreviation if unambiguous occurrences say so three times as often as not, or if it never stands
+    without its period and ends paragraphs far less often than words do (a likelihood ratio, the larger the longer the word is).
+    """
+    if cls == "w":
+        abbr, stop, cap, start, dotted, bare = n[:6]
+        many, usual = stop + cap, min(max(share, 0.01), 0.99)
+        seldom = 0.0
+        if many and stop * 8 < usual * many:
+            got = stop / many
+            seldom = many * ((got * np.log(got / usual) if got else 0.0) + (1 - got) * np.log((1 - got) / (1 - usual)))
+        if (abbr >= 2 and abbr > 3 * stop and abbr * 20 > cap) or (seldom > SURE * LETTER ** (2 if word.endswith(" #") else min(len(word), 40)) and bare * 20 <= dotted):
+            return YES | (MAY_END if start * 4 >= cap > 0 else 0)
+        return NO if stop else 0
+    if cls == "n":
+        return (COMMON if n[0] > n[1] else NAME if n[1] else 0) if n[2] else 0
+    if cls == "o":
+        return OPEN if n[0] >= 3 and n[0] * 50 >= n[1] else 0
+    return CLOSE if cls == "c" and n[0] >= 3 else 0
+
+
+def word_hash(cls: str, word: str) -> int:
+    return xxhash.xxh64_intdigest(f"{cls}\x00{word}".encode("utf-8", "surrogatepass"))
 
-    def __init__(self, counts: dict[str, np.ndarray]) -> None:
-        abbr, stop, low, name, open_, close, piece = (counts.get(k, np.zeros(1 << SLOT_BITS, np.int64)) for k in Evidence.KINDS)
-        many = abbr + stop
-        self.abbr = np.where((many >= 4) & (abbr * 2 > many), 1, np.where(many >= 4, -1, 0)).astype(np.int8)
-        self.stop = ((abbr == 0) & (stop >= 4)).astype(np.int8)
-        self.common = np.where(low > name, 1, np.where(name > 0, -1, 0)).astype(np.int8)
-        self.open = ((open_ >= 3) & (open_ * 50 >= piece)).astype(np.int8)
-        self.close = (close >= 3).astype(np.int8)
+
+class Lexicon:
+    """The corpus's verdicts by word: 64-bit hashes, ascending, with a code each. Two words share a verdict with a chance of 2**-64."""
+
+    def __init__(self, hashes: np.ndarray, codes: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.codes = hashes[order], codes[order]
+        self.known: dict[tuple[str, str], int] = {}
+
+    @classmethod
+    def of(cls, evidence: Evidence) -> Lexicon:
+        """Of a corpus that fits into one process."""
+        rows = list(evidence.rows())
+        stop, cap = next(((n[0], n[1]) for k, _, n in rows if k == "t"), (0, 0))
+        got = [(word_hash(k, w), v) for k, w, n in rows if (v := verdict(k, w, n, stop / max(1, stop + cap)))]
+        return cls(np.array([h for h, _ in got], np.uint64), np.array([v for _, v in got], np.int8))
+
+    def __call__(self, cls: str, word: str) -> int:
+        if (code := self.known.get((cls, word))) is None:
+            if len(self.known) > FLUSH:
+                self.known.clear()
+            h = np.uint64(word_hash(cls, word))
+            i = int(np.searchsorted(self.hashes, h))
+            code = self.known[cls, word] = int(self.codes[i]) if i < len(self.hashes) and self.hashes[i] == h else 0
+        return code
 
 
 class Document:
-    """The units of one document."""
+    """The units of one document. ``corpus(class, word)`` gives the corpus's verdicts."""
 
-    def __init__(self, text: str, lexicon: Lexicon) -> None:
-        self.text, self.lexicon = text, lexicon
-        self._low: str | None = None
+    def __init__(self, text: str, corpus: Callable[[str, str], int]) -> None:
+        self.text, self.corpus = text, corpus
+        self.paras = list(paragraphs(text))
         self._own: dict[str, list[int]] | None = None
+        self._abbr: dict[tuple[str, bool], bool] = {}
         self._words: set[str] | None = None
         self._mid: set[str] | None = None
 
-    def abbreviation(self, word: str) -> bool:
-        """By form and list, else by the document, else by the corpus."""
-        if word in ABBREVIATIONS or word in MAY_END or word in MAY_END_COMMON:
-            return True
-        if not word or not word[0].isalpha():
-            return False
-        if len(word) == 1 or "." in word:
-            return True
-        if len(word) > 8:
-            return False
-        if self._low is None:
-            self._low = self.text.lower()
-        if self._low.count(word + ".") >= 3:
-            if self._own is None:
-                self._own = periods(self.text)
-            abbr, stop = self._own.get(word, (0, 0))
-            if abbr + stop >= 3 and (abbr == 0 or stop == 0):
-                return stop == 0
-        return self.lexicon.abbr[slot("abbr", word)] > 0
-
-    def stops(self, word: str) -> bool:
-        """Whether sentences do end after a listed abbreviation or letter: unambiguously in the document, else in the corpus."""
+    def own(self, word: str) -> tuple[int, int]:
+        """Unambiguous occurrences in this document: (abbreviation, end of sentence)."""
         if self._own is None:
-            self._own = periods(self.text)
-        abbr, stop = self._own.get(word, (0, 0))
-        if abbr or stop >= 3:
-            return abbr == 0
-        return bool(self.lexicon.stop[slot("abbr", word)])
+            self._own = observed([self.text[a:b].split() for a, b in self.paras])
+        got = self._own.get(word)
+        return (got[ABBR], got[STOP]) if got else (0, 0)
+
+    def abbreviation(self, word: str, small: bool) -> bool:
+        """By two occurrences in the document that agree, else by the corpus, else by a single other occurrence, else by form.
+
+        ``small``: the occurrence in question is followed by a small letter; it doesn't speak for itself.
+        """
+        got = self._abbr.get((word, small))
+        if got is None:
+            got = self._abbr[word, small] = self._abbreviation(word, small)
+        return got
+
+    def _abbreviation(self, word: str, small: bool) -> bool:
+        if not word[:1].isalpha():
+            return False
+        abbr, stop = self.own(word)
+        if abbr + stop >= 2 and not (abbr and stop):
+            return stop == 0
+        if code := self.corpus("w", word):
+            return bool(code & YES)
+        if stop or (abbr and not small):
+            return abbr > 0
+        return len(word) == 1 or ("." in word and " " not in word)
+
+    def may_end(self, word: str) -> bool:
+        """Whether an abbreviation may stand at the end of a sentence: it ends paragraphs of the document, or words that begin paragraphs follow it in the corpus."""
+        return self.own(word)[1] > 0 or bool(self.corpus("w", word) & MAY_END)
 
     def common(self, word: str) -> bool | None:
         """Whether a capitalised word is an ordinary one that stands at the start of a sentence; None if nothing is known."""
         if self._words is None:
-            self._words = words(self.text)
+            self._words = words(set(self.text.split()))
             self._mid = set(_MID.findall(self.text))
         low = word.lower()
+        if word[1:] != low[1:]:
+            return None
         in_doc, as_name = low in self._words, word in self._mid
         if in_doc != as_name:
             return in_doc
-        verdict = self.lexicon.common[slot("low", low)]
-        return None if verdict == 0 else bool(verdict > 0)
+        code = self.corpus("n", low)
+        return None if code == 0 else code == COMMON
 
     def ends(self) -> Iterator[int]:
         """End positions of the units, ascending."""
-        for start, end in paragraphs(self.text):
+        for start, end in self.paras:
             yield from self._paragraph(start, end)
 
     def _paragraph(self, start: int, end: int) -> Iterator[int]:
@@ -299,29 +407,27 @@ class Document:
         if word and word[-1].isdigit() or (word and word[-1] in "%°") or not word:
             if word.isdigit() and len(word) <= 2:
                 before = left_word(text, unit, _back(text, dot - len(word), unit))
-                if before in ORDINAL_AFTER:
+                ordinal = before + " #"
+                if self.abbreviation(ordinal, first.islower()) and not (first.isupper() and self.may_end(ordinal) and self.common(_first_word(text, opener))):
                     return False
             if not blank:
                 return not first.isdigit() and not (first.islower() and first.isascii()) and (not first.isupper() or _small_next(text, opener))
             return not first.isdigit() and first not in "−-+=/·*"
+        if len(word) == 1 and (joined := _INITIAL.search(text, max(unit, dot - 6), dot)):
+            word = f"{joined[1].lower()}.{word}"
         if not blank:  # a missing blank
             if cased and not (first.isupper() and _small_next(text, opener)):
                 return False
-            if "." in word and word not in MAY_END:
-                return False
-            if len(word) < 2 or first.isdigit():
-                return False
-        joined = re.search(r"(\w)\.\s*(\w)$", text[max(unit, dot - 6) : dot])
-        pair = f"{joined[1]}.{joined[2]}".lower() if joined and len(word) == 1 else word
-        if word in MAY_END or pair in MAY_END:
-            return not (first.islower() or first.isdigit())
-        if word in MAY_END_COMMON:
-            return first.isupper() and self.common(_first_word(text, opener)) is True
-        if self.abbreviation(word):
-            if not first.isupper() or self.common(_first_word(text, opener)) is not True:
+            if ("." in word and not self.may_end(word)) or len(word) < 2 or first.isdigit():
                 return False
-            return (word not in ABBREVIATIONS and len(word) > 1) or self.stops(word)
-        return True
+        if not self.abbreviation(word, first.islower()):
+            return True
+        if first.islower() or first.isdigit() or not self.may_end(word):
+            return False
+        if not first.isupper():
+            return True
+        known = self.common(_first_word(text, opener))
+        return known is True or (known is None and not any(self.own(word)))
 
     def _closes(self, ch: str, unit: int, at: int) -> bool:
         """Whether a mark that opens and closes alike closes here."""
@@ -349,7 +455,7 @@ class Document:
 
     def _thai(self, start: int, end: int, cuts: list[int]) -> Iterator[int]:
         """Blanks that end a Thai sentence: the piece before can end one and the piece behind begins one."""
-        text, lex = self.text, self.lexicon
+        text, corpus = self.text, self.corpus
         body = text[start:end]
         if len(_THAI.findall(body)) * 3 <= len(body):
             return
@@ -360,9 +466,9 @@ class Document:
         for (a, b), (c, d) in zip(spans, spans[1:]):
             left, right = text[a:b], text[c:d]
             if not _THAI.match(left[-1]) or text.count('"', unit, b) % 2:
-                if not (left[-1] in ")»”" and lex.open[slot("open", right[:6])]):
+                if not (left[-1] in ")»”" and corpus("o", right[:6])):
                     continue
-            if left.endswith(THAI_FINAL) or (lex.open[slot("open", right[:6])] and (lex.close[slot("close", left[-6:])] or len(left) > 12)):
+            if left.endswith(THAI_FINAL) or (corpus("o", right[:6]) and (corpus("c", left[-6:]) or len(left) > 12)):
                 if right in ("ฯลฯ", "ก็ได้") or right.startswith(("ฯลฯ", "และ", "หรือ", "แล้ว", "โดยที่", "ซึ่ง")):
                     continue
                 yield b
@@ -386,13 +492,12 @@ def _back(text: str, at: int, unit: int) -> int:
 
 def _gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(e: Evidence) -> pa.RecordBatch:
-        kinds, slots, counts = [], [], []
-        for k, c in e.counts.items():
-            key = {"stop": "abbr", "name": "low", "piece": "open"}.get(k, k)  # kinds that are compared share a slot
-            for w, n in c.items():
-                if n:
-                    kinds.append(k), slots.append(slot(key, w)), counts.append(n)
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(slots, pa.int32()), pa.array(counts, pa.int64())], names=["kind", "slot", "n"])
+        rows = list(e.rows())
+        counts = np.array([n for _, _, n in rows], np.int64).reshape(-1, Evidence.WIDTH)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in rows], pa.string()), pa.array([w.encode("utf-8", "surrogatepass") for _, w, _ in rows], pa.binary()), *map(pa.array, counts.T)],
+            names=["cls", "word", *_COUNTS],
+        )
 
     e = Evidence()
     for b in stream:
@@ -404,38 +509,107 @@ def _gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(e)
 
 
+_COUNTS = [f"n{i}" for i in range(Evidence.WIDTH)]
+
+
+def _verdicts(share: float):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            counts = np.stack([b.column(c).to_numpy() for c in _COUNTS], axis=1).tolist()
+            rows = [(k, w, v) for k, w, n in zip(b.column("cls").to_pylist(), b.column("word").to_pylist(), counts) if (v := verdict(k, w.decode("utf-8", "surrogatepass"), n, share))]
+            hashes = [xxhash.xxh64_intdigest(k.encode() + b"\0" + w) for k, w, _ in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array([v for _, _, v in rows], pa.int8())], names=["h", "code"])
+
+    return run
+
+
+def corpus_verdicts(documents: DataFrame) -> DataFrame:
+    """(h, code): the verdicts on all words of which the documents say something, by 64-bit hash; counted exactly, one row a word is shuffled per flush."""
+    rows = documents.where(F.length("text") > 0).select("text").mapInArrow(_gather, "cls STRING, word BINARY, " + ", ".join(f"{c} BIGINT" for c in _COUNTS))
+    summed = cut(rows.groupBy("cls", "word").agg(*[F.sum(c).alias(c) for c in _COUNTS]))
+    stop, cap = (int(x or 0) for x in summed.where(F.col("cls") == "t").agg(F.sum("n0"), F.sum("n1")).first())
+    said = (F.col("cls") != "n") | (F.col("n2") > 0)
+    return summed.where(said).mapInArrow(_verdicts(stop / max(1, stop + cap)), "h BIGINT, code TINYINT")
+
+
+def _lexicon(table: pa.Table) -> Lexicon:
+    return Lexicon(table.column("h").to_numpy().view(np.uint64), table.column("code").to_numpy())
+
+
 def corpus_lexicon(documents: DataFrame) -> Lexicon:
-    """Evidence of all documents; at most 7 * 2^18 sums reach the driver."""
-    rows = documents.where(F.length("text") > 0).select("text").mapInArrow(_gather, "kind STRING, slot INT, n BIGINT")
-    summed = rows.groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = {k: np.zeros(1 << SLOT_BITS, np.int64) for k in Evidence.KINDS}
-    kinds = np.asarray(summed.column("kind").to_pylist(), dtype=object)
-    slots, n = summed.column("slot").to_numpy(), summed.column("n").to_numpy()
-    for k in counts:
-        counts[k][slots[kinds == k]] = n[kinds == k]
-    return Lexicon(counts)
-
-
-def _split(lexicon: Lexicon):
+    """All verdicts of a corpus in one process."""
+    return _lexicon(corpus_verdicts(documents).toArrow())
+
+
+def _units(ids: list, texts: list[str], lexicons: Iterator[Callable[[str, str], int]]) -> pa.RecordBatch:
+    out_ids, out_ends = [], []
+    for i, text, corpus in zip(ids, texts, lexicons):
+        got = list(Document(text, corpus).ends())
+        out_ids += [i] * len(got)
+        out_ends += got
+    return pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_ends, pa.int32())], names=["doc_id", "end_char"])
+
+
+def _split(hashes: np.ndarray, codes: np.ndarray):
+    """Splits documents by verdicts that are all here."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(hashes, codes)
         for b in stream:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
-                ids, ends = [], []
-                for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    got = list(Document(text, lexicon).ends())
-                    ids += [i] * len(got)
-                    ends += got
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int32())], names=["doc_id", "end_char"])
+                yield _units(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), iter(lambda: lexicon, None))
 
     return run
 
 
-def sentence_ends(documents: DataFrame) -> DataFrame:
+def _asked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, h): the words whose verdicts a document may ask for, whatever the answers are."""
+    for b in stream:
+        rows, hashes = [], []
+        for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
+            got = set()
+            tokens = text.split()
+            for w in observed([text[x:y].split() for x, y in paragraphs(text)]):
+                got.add(word_hash("w", w))
+            for m in re.finditer(r"[.…]", text):
+                word = left_word(text, 0, m.start())
+                got |= {word_hash("w", word), word_hash("w", word.rstrip("0123456789"))}
+                if word.isdigit():
+                    got.add(word_hash("w", left_word(text, 0, _back(text, m.start() - len(word), 0)) + " #"))
+                if len(word) == 1 and (joined := _INITIAL.search(text, max(0, m.start() - 6), m.start())):
+                    got.add(word_hash("w", f"{joined[1].lower()}.{word}"))
+            got |= {word_hash("n", w.lower()) for t in tokens if t[0].isupper() or not t[0].isalpha() for w in _WORD.findall(t)}
+            if _THAI.search(text):
+                got |= {word_hash("o", t[:6]) for t in tokens} | {word_hash("c", t[-6:]) for t in tokens}
+            rows += [row] * len(got)
+            hashes += got
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["row", "h"])
+
+
+def _split_joined(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in stream:
+        for s in range(0, b.num_rows, 500):
+            part = b.slice(s, 500)
+            told = ({x["h"] & 0xFFFFFFFFFFFFFFFF: x["code"] for x in v or ()} for v in part.column("verdicts").to_pylist())
+            lexicons = (lambda cls, word, t=t: t.get(word_hash(cls, word), 0) for t in told)
+            yield _units(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), lexicons)
+
+
+def sentence_ends(documents: DataFrame, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """(doc_id, end_char): one row per unit, the characters from the text's start through the unit's last one.
 
     Units are sentences, and headings or claims that stand as their own paragraph. Null, empty and blank
     texts have none. Positions count code points; the ``lang`` column isn't used, since it may be wrong.
+    More than ``lexicon_words`` verdicts are joined to the documents instead of being sent to every task.
     """
     docs = documents.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(_split(corpus_lexicon(docs)), "doc_id BIGINT, end_char INT")
+    verdicts = cut(corpus_verdicts(docs))
+    schema = "doc_id BIGINT, end_char INT"
+    if verdicts.count() <= lexicon_words:
+        table = verdicts.toArrow()
+        return docs.mapInArrow(_split(table.column("h").to_numpy().view(np.uint64), table.column("code").to_numpy()), schema)
+    rows = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    told = rows.select("row", "text").mapInArrow(_asked, "row BIGINT, h BIGINT").join(verdicts, "h")
+    per_row = told.groupBy("row").agg(F.collect_list(F.struct("h", "code")).alias("verdicts"))  # a document's own words
+    return rows.join(per_row, "row", "left").select("doc_id", "text", "verdicts").mapInArrow(_split_joined, schema)
