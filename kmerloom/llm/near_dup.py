@@ -38,8 +38,9 @@ UNIVERSE = 1 << SHIFT
 WORD = 7
 SKETCH = 5  # 64-bit words of the parity sketch
 BLOCK = 1 << 20
-BUNDLE = 64  # sets whose rows for one partition travel together
-PARTITION_ROWS = 1 << 23  # rows that a task holds at 16 bytes each
+BUNDLE = 1 << 13  # most sets whose rows for one partition travel together
+BATCH_BYTES = 1 << 26
+PARTITION_ROWS = 1 << 22  # rows that a task holds, at 16 bytes each and 52 more for each of their sets
 SALT_ROWS = 1 << 21  # a key that may have more rows is split
 SHORT = 40
 HOT_SHARE = 64  # a window in more than 1 of 64 sets makes its keys expensive
@@ -211,10 +212,11 @@ def _rarest(s: Sets, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, parts: int):
-    """Index and probe rows of all sets, bundled by block of BUNDLE sets and partition of the keys.
+    """Index and probe rows of all sets, bundled by block of at most BUNDLE sets and partition of the keys.
 
-    A bundle has each of its sets' number, size and sketch once, and 4 + 2 bytes a row. Keys are cut to 32
-    bits within their partition: equal keys by chance are no matter, since sketches are compared anyway.
+    A bundle has number, size and sketch (52 bytes) of each of the sets that have rows in it, once, and 4 + 2
+    bytes a row: at most 58 bytes a row, however many partitions there are. Keys are cut to 32 bits within
+    their partition: equal keys by chance are no matter, since sketches are compared anyway.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +257,27 @@ def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, par
                 key, owner = np.r_[key, more_key], np.r_[owner, owner[many[at]]]
                 role, deleted = np.r_[role, role[many[at]]], np.r_[deleted, deleted[many[at]]]
             part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            bundle = owner // BUNDLE
-            order = np.argsort(bundle * parts + part, kind="stable")
-            where = (bundle * parts + part)[order]
+            where = owner // BUNDLE * parts + part
+            order = np.lexsort((owner, where))
+            where, owner = where[order], owner[order]
             edges = np.r_[0, np.flatnonzero(where[1:] != where[:-1]) + 1, len(where)]
-            at = where[edges[:-1]]
-            word = ((owner % BUNDLE) << 3 | deleted | role).astype(np.uint16)[order]
-            b0, b1 = at // parts * BUNDLE, np.minimum(at // parts * BUNDLE + BUNDLE, s.n_sets)
-            sets = np.repeat(b0 - np.r_[0, np.cumsum(b1 - b0)[:-1]], b1 - b0) + np.arange((b1 - b0).sum())
-            set_edges = np.r_[0, np.cumsum(b1 - b0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((at % parts).astype(np.int32)), _binary((key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), edges), _binary(word, edges),
-                 _binary(ids[sets].astype(np.int64), set_edges), _binary(s.size[sets].astype(np.int32), set_edges), _binary(sketch[sets].ravel(), set_edges * SKETCH)],
-                names=["part", "keys", "roles", "ids", "sizes", "sketches"],
-            )
+            first = np.r_[True, (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]  # of each set in each bundle
+            sets, nth = owner[first], np.cumsum(first) - 1
+            set_edges = np.r_[nth[edges[:-1]], len(sets)]
+            local = nth - np.repeat(set_edges[:-1], np.diff(edges))
+            word = (local << 3 | (deleted | role)[order]).astype(np.uint16)
+            key, at = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), where[edges[:-1]] % parts
+            size = np.cumsum(np.diff(edges) * 6 + np.diff(set_edges) * (12 + 8 * SKETCH))
+            splits = np.flatnonzero(np.diff(size // BATCH_BYTES, prepend=0))
+            for x, y in zip([0, *splits], [*splits, len(at)]):
+                if y > x:
+                    e, g = edges[x : y + 1], set_edges[x : y + 1]
+                    held = sets[g[0] : g[-1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at[x:y].astype(np.int32)), _binary(key[e[0] : e[-1]], e - e[0]), _binary(word[e[0] : e[-1]], e - e[0]), _binary(ids[held].astype(np.int64), g - g[0]),
+                         _binary(s.size[held].astype(np.int32), g - g[0]), _binary(sketch[held].ravel(), (g - g[0]) * SKETCH)],
+                        names=["part", "keys", "roles", "ids", "sizes", "sketches"],
+                    )
 
     return run
 
