@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TARGET_IDS = 262_144  # identifiers to keep; the relative error of a count c is about 1 / sqrt(c * rate)
+RATE = 0.25  # share of all identifiers to keep; the relative error of an overlap c is about sqrt((1 - rate) / (c * rate))
 
 
 def identifier_sets(kmers: DataFrame) -> DataFrame:
@@ -28,8 +28,9 @@ def identifier_sets(kmers: DataFrame) -> DataFrame:
     return same.select("graph_id", "ident", F.array_sort(F.array_distinct(F.flatten("all"))).alias("sets"))
 
 
-def sampling_rate(n_rows: int, target: int = TARGET_IDS) -> float:
-    return min(1.0, target / max(1, n_rows))
+def rate_for(overlap: float, error: float) -> float:
+    """The rate at which an overlap of that size gets that relative standard error."""
+    return min(1.0, 1 / (1 + overlap * error * error))
 
 
 def sampled(ids: DataFrame, rate: float) -> DataFrame:
@@ -40,7 +41,7 @@ def sampled(ids: DataFrame, rate: float) -> DataFrame:
 
 
 def _pairs(sets: Column) -> Column:
-    """All (a, b), a < b, of a sorted array of set ids; its length is bounded by the number of sets."""
+    """All (a, b), a < b, of a sorted array of set ids: the answer's own cells, combined on the map side; sets, not identifiers, bound their number."""
     return F.flatten(
         F.transform(sets, lambda a: F.transform(F.filter(sets, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
     )
@@ -62,7 +63,7 @@ def _slack(n: Column, rate: float, z: float) -> Column:
     return (F.sqrt((n + z * z) * (1 - rate)) * z + z * z * (1 - rate)) / rate
 
 
-def estimated_overlaps(ids: DataFrame, rate: float, z: float = 2.6) -> DataFrame:
+def estimated_overlaps(ids: DataFrame, rate: float = RATE, z: float = 2.6) -> DataFrame:
     """(a, b, n_sampled, estimate, low, high) of every pair of sets that share a sampled identifier.
 
     ``low`` and ``high`` enclose the true size with a probability of at least 99 % for z = 2.6 (normal
@@ -75,7 +76,18 @@ def estimated_overlaps(ids: DataFrame, rate: float, z: float = 2.6) -> DataFrame
     )
 
 
-def sharing_at_least_half(ids: DataFrame, rate: float, z: float = 6.5) -> DataFrame:
+def interval_check(ids: DataFrame, rate: float = RATE, z: float = 6.5) -> DataFrame:
+    """(a, b, shared, within): the exact overlap of every pair of sets that share anything, and whether the estimate's interval holds it.
+
+    A pair without a sampled identifier is estimated as 0 and held against the same bound.
+    """
+    exact, told = cooccurrences(ids).withColumnRenamed("n", "shared"), estimated_overlaps(ids, rate, z).select("a", "b", "low", "high")
+    none = _slack(F.lit(0), rate, z)
+    inside = F.col("shared").between(F.coalesce("low", F.lit(0.0)), F.coalesce("high", none))
+    return exact.join(told, ["a", "b"], "left").select("a", "b", "shared", inside.alias("within"))
+
+
+def sharing_at_least_half(ids: DataFrame, rate: float = RATE, z: float = 6.5) -> DataFrame:
     """(a, b) with a < b: sets that share at least half of the identifiers of the smaller one.
 
     The sample proposes pairs whose upper bound (z = 6.5: below 1e-9 of missing one) reaches half of the

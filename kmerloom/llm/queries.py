@@ -167,33 +167,67 @@ def p4_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def p5_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Estimated distinct k-mers with 95 % interval per day, genome, day and genome, week, genome and week, and in all.
+P5_ERROR = 0.045  # relative standard error of the estimates: 512 registers
+_KINDS = ["day", "genome", "week", "genome_week", "all", "day_genome"]
 
-    The day, genome and week columns are null where they are not part of the group (``kind`` names the
-    group) and where the row's own value is null.
-    """
+
+def _p5_rows(spark: SparkSession, d: str) -> DataFrame:
     day = F.datediff(F.to_date("inserted_at"), F.lit("1970-01-01").cast("date"))
-    rows = _inserted(spark, d).withColumns({"day": day, "genome": F.col("id_genome")})
-    base = cut(distinct.merged(distinct.sketches(rows, ["day", "genome"], F.col("graph_id"), F.col("kmer")), ["day", "genome"]))
+    return _inserted(spark, d).withColumns({"day": day, "genome": F.col("id_genome")})
+
+
+def _p5_groups() -> list[F.Column]:
+    """(kind, day, genome, week) of each kind of group but the last, of rows with a day and a genome; -1 where a part isn't used or null."""
     none = F.lit(-1).cast("bigint")
-    week = F.when(F.col("day") < 0, none).otherwise(F.floor((F.col("day") + 3) / 7))  # weeks begin on Mondays
-    kinds = {"day": (F.col("day"), none, none), "genome": (none, F.col("genome"), none), "week": (none, none, week),
-             "genome_week": (none, F.col("genome"), week), "all": (none, none, none)}
-    names = [*kinds, "day_genome"]
-    groups = F.array(*[F.struct(F.lit(i).cast("bigint").alias("kind"), a.alias("day"), b.alias("genome"), c.alias("week")) for i, (a, b, c) in enumerate(kinds.values())])
-    unions = base.select(F.explode(groups).alias("g"), "registers").select("g.*", "registers")
-    combined = distinct.merged(unions, ["kind", "day", "genome", "week"])
-    cells = base.select(F.lit(len(kinds)).cast("bigint").alias("kind"), "day", "genome", none.alias("week"), "registers")
-    out = distinct.estimates(combined.unionByName(cells))
+    day, genome = F.coalesce(F.col("day").cast("bigint"), none), F.coalesce(F.col("genome").cast("bigint"), none)
+    week = F.when(day < 0, none).otherwise(F.floor((day + 3) / 7))  # weeks begin on Mondays
+    parts = [(day, none, none), (none, genome, none), (none, none, week), (none, genome, week), (none, none, none)]
+    return [F.struct(F.lit(i).cast("bigint").alias("kind"), a.alias("day"), b.alias("genome"), c.alias("week")) for i, (a, b, c) in enumerate(parts)]
+
+
+def _p5_estimates(spark: SparkSession, d: str, confidence: float) -> DataFrame:
+    m = distinct.registers_for(P5_ERROR)
+    parts = distinct.sketches(_p5_rows(spark, d), ["day", "genome"], F.col("graph_id"), F.col("kmer"), m=m)
+    base = cut(distinct.merged(parts, ["day", "genome"], m))
+    unions = base.select(F.explode(F.array(*_p5_groups())).alias("g"), "registers", "hashes").select("g.*", "registers", "hashes")
+    combined = distinct.united(unions, ["kind", "day", "genome", "week"], m)
+    cells = base.select(F.lit(len(_KINDS) - 1).cast("bigint").alias("kind"), "day", "genome", F.lit(-1).cast("bigint").alias("week"), "registers", "hashes")
+    return distinct.estimates(combined.unionByName(cells), confidence, m)
+
+
+def _p5_named(rows: DataFrame, *values: str) -> DataFrame:
     known = lambda c: F.when(F.col(c) >= 0, F.col(c).cast("int"))
-    return out.select(
-        F.element_at(F.array(*map(F.lit, names)), F.col("kind").cast("int") + 1).alias("kind"),
+    return rows.select(
+        F.element_at(F.array(*map(F.lit, _KINDS)), F.col("kind").cast("int") + 1).alias("kind"),
         F.date_add(F.lit("1970-01-01").cast("date"), known("day")).alias("day"), known("genome").alias("genome"),
-        F.date_add(F.lit("1970-01-01").cast("date"), known("week") * 7 - 3).alias("week"), "estimate", "low", "high",
+        F.date_add(F.lit("1970-01-01").cast("date"), known("week") * 7 - 3).alias("week"), *values,
     )
 
 
+def p5_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated distinct k-mers with 95 % interval per day, genome, day and genome, week, genome and week, and in all.
+
+    The day, genome and week columns are null where they are not part of the group (``kind`` names the
+    group) and where the row's own value is null.
+    """
+    return _p5_named(_p5_estimates(spark, d, 0.95), "estimate", "low", "high")
+
+
+def p5_interval_check(spark: SparkSession, d: str) -> DataFrame:
+    """Exact distinct k-mers of every group, and whether its interval (at a confidence of 1 - 1e-9) holds them."""
+    rows = _p5_rows(spark, d)
+    cell = F.struct(F.lit(len(_KINDS) - 1).cast("bigint").alias("kind"), F.coalesce(F.col("day").cast("bigint"), F.lit(-1).cast("bigint")).alias("day"),
+                    F.coalesce(F.col("genome").cast("bigint"), F.lit(-1).cast("bigint")).alias("genome"), F.lit(-1).cast("bigint").alias("week"))
+    keys = ["kind", "day", "genome", "week"]
+    distinct_ = rows.select(F.explode(F.array(*_p5_groups(), cell)).alias("g"), "graph_id", "kmer").select("g.*", "graph_id", "kmer").distinct()
+    exact = distinct_.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_kmers"))
+    told = _p5_estimates(spark, d, 1 - 1e-9)
+    both = exact.join(told, keys, "full").withColumn("within", F.coalesce(F.col("n_kmers").between(F.floor("low"), F.ceil("high")), F.lit(False)))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    named = _p5_named(both, "n_kmers", "within")
+    return named.select("kind", F.concat_ws("/", part("day"), part("genome"), part("week")).alias("of_day_genome_week"), "n_kmers", "within")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The 20 color sets that most rows of kmers have."""
     return p6_top_color_sets(spark, d).select("annot_hex")
@@ -205,20 +239,24 @@ def p6_top_color_sets(spark: SparkSession, d: str) -> DataFrame:
     return topk.most_frequent(rows, TOP).select(F.hex("value").alias("annot_hex"), "n_rows")
 
 
-def _kmer_sets(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
-    kmers = table(spark, d, "kmers")
-    return cut(overlap.identifier_sets(kmers)), overlap.sampling_rate(kmers.count())
+def _kmer_sets(spark: SparkSession, d: str) -> DataFrame:
+    return cut(overlap.identifier_sets(table(spark, d, "kmers")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Genomes sharing at least half of the distinct k-mers of the smaller one."""
-    found = overlap.sharing_at_least_half(*_kmer_sets(spark, d))
+    """Genomes sharing at least half of the distinct k-mers of the smaller one: proposed by the sample, then counted."""
+    found = overlap.sharing_at_least_half(_kmer_sets(spark, d))
     return found.select(F.col("a").alias("genome_a"), F.col("b").alias("genome_b"))
 
 
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Estimated overlap of every pair of genomes that shares a sampled k-mer, with its confidence interval."""
-    return overlap.estimated_overlaps(*_kmer_sets(spark, d)).withColumnsRenamed({"a": "genome_a", "b": "genome_b"})
+    return overlap.estimated_overlaps(_kmer_sets(spark, d)).withColumnsRenamed({"a": "genome_a", "b": "genome_b"})
+
+
+def p7_interval_check(spark: SparkSession, d: str) -> DataFrame:
+    """Exact overlap of every pair of genomes, and whether its estimate's interval (z = 6.5) holds it."""
+    return overlap.interval_check(_kmer_sets(spark, d)).withColumnsRenamed({"a": "genome_a", "b": "genome_b"})
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -250,10 +288,12 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_wrong_rate": p4_wrong_rate,
     "p5_distinct_counts": p5_distinct_counts,
+    "p5_interval_check": p5_interval_check,
     "p6_found": p6_found,
     "p6_top_color_sets": p6_top_color_sets,
     "p7_found": p7_found,
     "p7_overlaps": p7_overlaps,
+    "p7_interval_check": p7_interval_check,
 }
 
 _COLOR_SET_ROWS = """sets AS (SELECT hex(annot) AS annot_hex FROM kmers WHERE annot IS NOT NULL
@@ -314,8 +354,22 @@ ORACLES = {
     "p4_found": f"""WITH {_INSERTED}, ok AS (SELECT * FROM ins WHERE length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+'))
         SELECT DISTINCT insert_id FROM (SELECT insert_id, min(insert_id) OVER (PARTITION BY graph_id, kmer) AS first FROM ok)
         WHERE insert_id > first""",
+    "p5_interval_check": f"""WITH x AS (SELECT DISTINCT graph_id, kmer, day, genome FROM (SELECT i.graph_id, replace(upper(left(array_kmers, k)), 'U', 'T') AS kmer, k,
+        inserted_at::DATE AS day, id_genome AS genome FROM kmer_inserts i JOIN meta USING (graph_id)) WHERE length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+')),
+      y AS (SELECT graph_id, kmer, 'day' AS kind, day, NULL::INTEGER AS genome, NULL::DATE AS week FROM x
+        UNION ALL SELECT graph_id, kmer, 'genome', NULL, genome, NULL FROM x
+        UNION ALL SELECT graph_id, kmer, 'week', NULL, NULL, date_trunc('week', day)::DATE FROM x
+        UNION ALL SELECT graph_id, kmer, 'genome_week', NULL, genome, date_trunc('week', day)::DATE FROM x
+        UNION ALL SELECT graph_id, kmer, 'all', NULL, NULL, NULL FROM x
+        UNION ALL SELECT graph_id, kmer, 'day_genome', day, genome, NULL FROM x)
+      SELECT kind, coalesce(day::VARCHAR, '-') || '/' || coalesce(genome::VARCHAR, '-') || '/' || coalesce(week::VARCHAR, '-') AS of_day_genome_week,
+        count(*) AS n_kmers, true AS within FROM (SELECT DISTINCT * FROM y) GROUP BY 1, 2""",
     "p6_found": f"WITH {_COLOR_SET_ROWS} SELECT annot_hex FROM sets GROUP BY 1 ORDER BY count(*) DESC, annot_hex LIMIT {TOP}",
     "p6_top_color_sets": f"WITH {_COLOR_SET_ROWS} SELECT annot_hex, count(*) AS n_rows FROM sets GROUP BY 1 ORDER BY n_rows DESC, annot_hex LIMIT {TOP}",
+    "p7_interval_check": """
+        WITH own AS (SELECT DISTINCT graph_id, replace(upper(kmer), 'U', 'T') AS ident, unnest(colors) AS g FROM kmers)
+        SELECT a.g AS genome_a, b.g AS genome_b, count(*) AS shared, true AS within FROM own a JOIN own b
+        ON a.graph_id = b.graph_id AND a.ident = b.ident AND a.g < b.g GROUP BY 1, 2""",
     "p7_found": """
         WITH own AS (SELECT DISTINCT graph_id, replace(upper(kmer), 'U', 'T') AS ident, unnest(colors) AS g FROM kmers),
         size AS (SELECT g, count(*) AS n FROM own WHERE g IS NOT NULL GROUP BY g),

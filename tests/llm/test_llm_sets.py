@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, against_sql
 from pyspark.sql import functions as F
@@ -174,6 +175,22 @@ def test_distinct_counts(spark):
         assert abs(got[g].estimate / n - 1) < 0.2 and got[g].low < got[g].estimate < got[g].high
     assert sum(got[g].low <= n <= got[g].high for g, n in true.items()) >= 5
     assert distinct.sketches(df.limit(0), ["g"], F.col("h")).count() == 0
+    assert distinct.merged(distinct.sketches(df.limit(0), ["g"], F.col("h")), ["g"]).count() == 0
+
+
+def test_partial_sketches_are_small_and_merge_alike(spark, monkeypatch):
+    """However the rows are cut into chunks, the registers are the same; a hot group sends its registers, not its rows."""
+    df = spark.createDataFrame([(1, i) for i in range(20000)] + [(2, i % 50) for i in range(5000)], "g int, h int").repartition(2)
+    rows = lambda df: {r.g: bytes(r.registers) for r in df.collect()}
+    want = rows(distinct.merged(distinct.sketches(df, ["g"], F.col("h"), m=64), ["g"], 64))
+    monkeypatch.setattr(distinct, "CHUNK", 3000)
+    parts = distinct.sketches(df, ["g"], F.col("h"), m=64)
+    size = parts.select(F.sum(F.coalesce(F.octet_length("registers"), F.octet_length("hashes")))).first()[0]
+    assert size < 30 * 64 * 8 and parts.where("g = 2 AND hashes IS NULL AND octet_length(registers) <> 512").count() == 0
+    assert rows(distinct.merged(parts, ["g"], 64)) == rows(distinct.united(parts, ["g"], 64)) == want
+    assert distinct.registers_for(0.045) == 512 and distinct.registers_for(0.01) == 16384
+    fine = distinct.estimates(distinct.merged(distinct.sketches(df, ["g"], F.col("h"), m=4096), ["g"], 4096), m=4096).collect()
+    assert all(abs(r.estimate / {1: 20000, 2: 50}[r.g] - 1) < 0.08 for r in fine)
 
 
 def test_union_of_sketches_is_the_sketch_of_the_union():
@@ -240,3 +257,22 @@ def test_every_record_has_a_share(spark, tmp_path):
         assert (got[k].shared_chars, got[k].n_spans, got[k].share) == (0, 0, 0.0)
     part = queries.p2_shared_share(spark, str(tmp_path)).collect()
     assert {(r.rec_kind, r.rec_id): r for r in part} == {k: r for k, r in got.items() if r.share > 0} and len(part) >= 3
+
+
+def test_rows_of_sets_are_bounded_for_any_number_of_partitions():
+    """At most 58 bytes a row: a set's sketch travels once a partition that it has rows in, not with all of its bundle."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ACGT", k=150)) for _ in range(1500)]
+    n = np.ones(near_dup.UNIVERSE, np.int64)
+    batch = pa.RecordBatch.from_pydict({"set_id": list(range(len(texts))), "seq": texts})
+    per_read = {}
+    for parts in (8, 128, 3600, 30000):
+        got = list(near_dup._rows(n, n, len(texts), np.zeros(near_dup.UNIVERSE, bool), parts)(iter([batch])))
+        for b in got:
+            b.validate(full=True)
+        rows = sum(len(k) // 4 for b in got for k in b.column("keys").to_pylist())
+        size = sum(b.column(c).nbytes for b in got for c in b.schema.names)
+        assert sum(len(k) for b in got for k in b.column("sketches").to_pylist()) <= 40 * rows
+        per_read[parts] = size / len(texts)
+    assert per_read[128] < 5 * per_read[8] and per_read[30000] < 1.6 * per_read[3600] < 1.6 * 64 * rows / len(texts)
+    print(per_read, rows / len(texts))
