@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fits
+
+DICTIONARY_BYTES = 8 << 20  # a dictionary of at most that size is sent to all tasks
+
 
 def dictionary_entries(color_dict: DataFrame) -> DataFrame:
     """(pos, entry) for every dictionary entry.
@@ -33,7 +37,13 @@ def color_set_rows(kmers: DataFrame, color_dict: DataFrame) -> DataFrame:
     ``annot`` wins over ``dict_pos``; rows with neither, or with a position outside the dictionary,
     have none and are left out.
     """
-    own = kmers.where(F.col("annot").isNotNull()).select(F.col("annot").alias("value"), row_key().alias("row_hash"))
-    pointing = kmers.where(F.col("annot").isNull() & F.col("dict_pos").isNotNull()).select("dict_pos", row_key().alias("row_hash"))
-    looked = pointing.join(dictionary_entries(color_dict), F.col("dict_pos") == F.col("pos"))
+    entries = dictionary_entries(color_dict)
+    key = row_key().alias("row_hash")
+    if fits(color_dict, "annot_array", DICTIONARY_BYTES):  # one scan: the dictionary goes to all tasks
+        asked = kmers.select("annot", F.when(F.col("annot").isNull(), F.col("dict_pos")).alias("dict_pos"), key)
+        looked = asked.join(F.broadcast(entries), F.col("dict_pos") == F.col("pos"), "left")
+        return looked.select(F.coalesce("annot", "entry").alias("value"), "row_hash").where(F.col("value").isNotNull())
+    own = kmers.where(F.col("annot").isNotNull()).select(F.col("annot").alias("value"), key)
+    pointing = kmers.where(F.col("annot").isNull() & F.col("dict_pos").isNotNull()).select("dict_pos", key)
+    looked = pointing.join(entries, F.col("dict_pos") == F.col("pos"))
     return own.unionByName(looked.select(F.col("entry").alias("value"), "row_hash"))

@@ -43,12 +43,28 @@ class EliasFano:
         bits[high.astype(np.int64) + np.arange(self.n)] = 1
         bits[self.n + buckets :] = 1  # padding isn't a bucket's end
         self.high = np.packbits(bits, bitorder="little").view(np.uint64)
-        zeros = 64 - np.bitwise_count(self.high).astype(np.int64)
-        self.zeros = np.concatenate([[0], np.cumsum(zeros)])
+        self._count_zeros()
 
     def nbytes(self) -> int:
         return self.low.nbytes + self.high.nbytes + self.zeros.nbytes
 
+    def to_bytes(self) -> bytes:
+        """Three numbers (members, low width, low words), the low words, the high words."""
+        return np.array([self.n, self.width, len(self.low)], np.int64).tobytes() + self.low.tobytes() + self.high.tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> EliasFano:
+        self = cls.__new__(cls)
+        self.n, self.width, n_low = (int(x) for x in np.frombuffer(data, np.int64, 3))
+        words = np.frombuffer(data, np.uint64, offset=24)
+        self.low, self.high = words[:n_low], words[n_low:]
+        self._count_zeros()
+        return self
+
+    def _count_zeros(self) -> None:
+        zeros = 64 - np.bitwise_count(self.high).astype(np.int64)
+        self.zeros = np.concatenate([[0], np.cumsum(zeros)])
+
     def _end(self, bucket: np.ndarray) -> np.ndarray:
         """Numbers in all buckets up to and including ``bucket``: the place of its 0 bit less the zeros before it."""
         word = np.searchsorted(self.zeros, bucket, side="right") - 1
@@ -105,5 +121,12 @@ class SeenSet:
             values = np.sort(np.concatenate([self.runs.pop().decode(), values]), kind="stable")
         self.runs.append(EliasFano(values, self.bits))
 
+    def whole(self) -> EliasFano:
+        """All members as one run."""
+        if len(self.runs) != 1:
+            values = [r.decode() for r in self.runs]
+            self.runs = [EliasFano(np.sort(np.concatenate(values), kind="stable") if values else np.zeros(0, np.uint64), self.bits)]
+        return self.runs[0]
+
     def nbytes(self) -> int:
         return sum(r.nbytes() for r in self.runs)

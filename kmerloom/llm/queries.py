@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.traverse import connected_components
-from ..session import cut, table
+from ..session import checkpoint_dir, cut, table
 from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, packing, seen, sentences, spans, topk
 
 TOP = 20
@@ -144,29 +147,59 @@ def _inserted(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose k-mer also occurs at a smaller insert_id."""
-    answers = seen.seen_before(_inserted(spark, d), F.col("insert_id"), F.col("graph_id"), F.col("kmer"))
+    sizes = table(spark, d, "kmer_inserts").select(F.col("insert_id").alias("id"))
+    answers = seen.seen_before(_inserted(spark, d), F.col("insert_id"), F.col("graph_id"), F.col("kmer"), sizes=sizes)
     return answers.where("seen").select(F.col("id").alias("insert_id")).distinct()
 
 
-def p4_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Per size of the remembered hashes: answers, wrong answers (against exact ones) and the stated bound."""
+def p4_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows, told by an index that is stored and takes the table in three batches of arrival."""
     rows = _inserted(spark, d).where(F.col("insert_id").isNotNull())
-    first = rows.groupBy("graph_id", "kmer").agg(F.min("insert_id").alias("first"), F.count_distinct("insert_id").alias("n"))
-    true_ = first.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.col("n") - 1)).first()
-    probes, keys, repeats = (int(x or 0) for x in true_)
+    low, high, n = table(spark, d, "kmer_inserts").agg(F.min("insert_id"), F.max("insert_id"), F.count(F.lit(1))).first()
+    low, high = low or 0, high or 0
+    index = seen.SeenIndex.create(spark, f"{checkpoint_dir(spark)}/seen-{uuid.uuid4()}", n)
+    edges = [low + (high + 1 - low) * i // 3 for i in range(4)]
+    parts = [index.append(rows.where((F.col("insert_id") >= a) & (F.col("insert_id") < b)), F.col("insert_id"), F.col("graph_id"), F.col("kmer")) for a, b in zip(edges, edges[1:])]
+    answers = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return answers.where("seen").select(F.col("id").alias("insert_id")).distinct()
+
+
+WANTED_WRONG = 400  # false answers that the smaller hashes of p4_wrong_rate are chosen for: enough to measure a rate
+
+
+def _p4_measured(spark: SparkSession, d: str) -> DataFrame:
+    """(bits, answers, repeats, missed, wrong, expected) for hashes of 64 bits and for hashes small enough to err."""
+    rows = cut(_inserted(spark, d).where(F.col("insert_id").isNotNull()).select("insert_id", "graph_id", "kmer").distinct())
+    first = rows.groupBy("graph_id", "kmer").agg(F.min("insert_id").alias("first"))
+    true_ = cut(rows.join(first, ["graph_id", "kmer"]).where(F.col("insert_id") > F.col("first")).select(F.col("insert_id").alias("id")).distinct())
+    probes, repeats = rows.select("insert_id").distinct().count(), true_.count()
+    keys = probes - repeats
+    small = min(63, max(16, math.floor(math.log2(max(1.0, keys * keys / 2 / WANTED_WRONG)))))
     out = None
-    for bits in (36, 64):
+    for bits in (small, 64):
         answers = seen.seen_before(rows, F.col("insert_id"), F.col("graph_id"), F.col("kmer"), bits=bits)
-        said = answers.where("seen").select("id").distinct().agg(F.count(F.lit(1)).alias("said_seen"))
-        one = said.select(
-            F.lit(bits).alias("bits"), F.lit(probes).alias("answers"), (F.col("said_seen") - repeats).alias("wrong"),
-            ((F.col("said_seen") - repeats) / max(1, probes)).alias("wrong_rate"),
-            F.lit(seen.expected_wrong(probes, keys, bits) / max(1, probes)).alias("stated_rate"),
+        said = cut(answers.where("seen").select("id").distinct())
+        both = said.withColumn("said", F.lit(True)).join(true_.withColumn("so", F.lit(True)), "id", "full")
+        one = both.agg(F.count_if(F.col("so").isNull()).alias("wrong"), F.count_if(F.col("said").isNull()).alias("missed")).select(
+            F.lit(bits).alias("bits"), F.lit(probes).cast("bigint").alias("answers"), F.lit(repeats).cast("bigint").alias("repeats"), "missed", "wrong",
+            F.lit(keys * (keys - 1) / 2 / 2.0**bits).alias("expected"),
         )
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def p4_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Per size of the remembered hashes: answers, wrong answers (against exact ones), their rate and the rate that is expected."""
+    share = lambda c: (F.col(c) / F.greatest("answers", F.lit(1))).alias(f"{c}_rate")
+    return _p4_measured(spark, d).select("bits", "answers", "missed", "wrong", share("wrong"), share("expected"))
+
+
+def p4_rate_check(spark: SparkSession, d: str) -> DataFrame:
+    """Answers and true repeats; repeats that small hashes, and large ones, miss; whether their wrong answers are as many as stated (six standard deviations)."""
+    as_stated = F.abs(F.col("wrong") - F.col("expected")) <= 6 * F.sqrt("expected") + 1
+    return _p4_measured(spark, d).groupBy("answers", "repeats").agg(F.sum("missed").alias("missed"), F.bool_and(as_stated).alias("as_stated"))
+
+
 P5_ERROR = 0.045  # relative standard error of the estimates: 512 registers
 _KINDS = ["day", "genome", "week", "genome_week", "all", "day_genome"]
 
@@ -286,7 +319,9 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_units_per_language": p10_units_per_language,
     "p4_found": p4_found,
+    "p4_appended": p4_appended,
     "p4_wrong_rate": p4_wrong_rate,
+    "p4_rate_check": p4_rate_check,
     "p5_distinct_counts": p5_distinct_counts,
     "p5_interval_check": p5_interval_check,
     "p6_found": p6_found,
@@ -342,6 +377,10 @@ _NEAR = """r AS (SELECT read_id, replace(upper(arg_max(read, loaded_at)), 'U', '
       size AS (SELECT s, count(*) AS n FROM tok GROUP BY s),
       near AS (SELECT a.s AS a, b.s AS b, a.read_id AS ra, b.read_id AS rb, count(*) AS c FROM tok a JOIN tok b ON a.t = b.t AND a.read_id < b.read_id GROUP BY ALL)"""
 
+_SEEN = f"""WITH {_INSERTED}, ok AS (SELECT * FROM ins WHERE length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+'))
+    SELECT DISTINCT insert_id FROM (SELECT insert_id, min(insert_id) OVER (PARTITION BY graph_id, kmer) AS first FROM ok)
+    WHERE insert_id > first"""
+
 ORACLES = {
     "p1_found": f"""WITH {_NEAR} SELECT DISTINCT ra AS read_id_a, rb AS read_id_b FROM near JOIN size x ON x.s = a JOIN size y ON y.s = b
         WHERE 3 * c >= x.n + y.n""",
@@ -351,9 +390,10 @@ ORACLES = {
         FROM spans JOIN recs USING (rec_kind, rec_id) GROUP BY rec_kind, rec_id, text""",
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p9_leaked_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs FROM leaks GROUP BY item_id",
-    "p4_found": f"""WITH {_INSERTED}, ok AS (SELECT * FROM ins WHERE length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+'))
-        SELECT DISTINCT insert_id FROM (SELECT insert_id, min(insert_id) OVER (PARTITION BY graph_id, kmer) AS first FROM ok)
-        WHERE insert_id > first""",
+    "p4_found": _SEEN,
+    "p4_rate_check": f"""WITH {_INSERTED}, ok AS (SELECT * FROM ins WHERE insert_id IS NOT NULL AND length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+')),
+      x AS (SELECT insert_id, bool_or(insert_id > first) AS again FROM (SELECT insert_id, min(insert_id) OVER (PARTITION BY graph_id, kmer) AS first FROM ok) GROUP BY 1)
+      SELECT count(*) AS answers, count(*) FILTER (again) AS repeats, 0::BIGINT AS missed, true AS as_stated FROM x""",
     "p5_interval_check": f"""WITH x AS (SELECT DISTINCT graph_id, kmer, day, genome FROM (SELECT i.graph_id, replace(upper(left(array_kmers, k)), 'U', 'T') AS kmer, k,
         inserted_at::DATE AS day, id_genome AS genome FROM kmer_inserts i JOIN meta USING (graph_id)) WHERE length(kmer) = k AND regexp_full_match(kmer, '[ACGT]+')),
       y AS (SELECT graph_id, kmer, 'day' AS kind, day, NULL::INTEGER AS genome, NULL::DATE AS week FROM x
@@ -364,6 +404,7 @@ ORACLES = {
         UNION ALL SELECT graph_id, kmer, 'day_genome', day, genome, NULL FROM x)
       SELECT kind, coalesce(day::VARCHAR, '-') || '/' || coalesce(genome::VARCHAR, '-') || '/' || coalesce(week::VARCHAR, '-') AS of_day_genome_week,
         count(*) AS n_kmers, true AS within FROM (SELECT DISTINCT * FROM y) GROUP BY 1, 2""",
+    "p4_appended": _SEEN,
     "p6_found": f"WITH {_COLOR_SET_ROWS} SELECT annot_hex FROM sets GROUP BY 1 ORDER BY count(*) DESC, annot_hex LIMIT {TOP}",
     "p6_top_color_sets": f"WITH {_COLOR_SET_ROWS} SELECT annot_hex, count(*) AS n_rows FROM sets GROUP BY 1 ORDER BY n_rows DESC, annot_hex LIMIT {TOP}",
     "p7_interval_check": """

@@ -153,6 +153,25 @@ def test_seen_against_brute_force(spark):
         seen.seen_before(df, F.col("id"), F.col("k"), bits=8)
 
 
+def test_stored_index_goes_on_where_it_stopped(spark, tmp_path):
+    """Batch after batch, from a folder that is opened anew, the answers are those of one pass; the rows of earlier batches aren't read."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["hot", None, f"k{rng.randrange(1500)}"])) for i in range(4000)] + [(17, "hot"), (None, "x")]
+    df = lambda r: spark.createDataFrame(r, "id long, k string").repartition(3)
+    want = {r.id for r in seen.seen_before(df(rows), F.col("id"), F.col("k")).where("seen").collect()}
+    seen.SeenIndex.create(spark, str(tmp_path / "i"), 2000)
+    got, answered = set(), 0
+    for a, b in ((0, 900), (900, 900), (900, 1000), (1000, 4000)):
+        part = [r for r in rows if r[0] is not None and a <= r[0] < b]
+        out = seen.SeenIndex(spark, str(tmp_path / "i")).append(df(part), F.col("id"), F.col("k"))
+        got |= {r.id for r in out.where("seen").collect()}
+        answered += out.select("id").distinct().count()
+    index = seen.SeenIndex(spark, str(tmp_path / "i"))
+    assert got == want and answered == 4000 and index.version == 4
+    assert index.n_keys() == len({k for i, k in rows if i is not None})
+    assert eliasfano.EliasFano.from_bytes(eliasfano.EliasFano(np.array([3, 9], np.uint64), 20).to_bytes()).decode().tolist() == [3, 9]
+
+
 def test_runs_that_cross_batches_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(seen, "CHUNK", 50)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
