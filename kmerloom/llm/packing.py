@@ -5,7 +5,9 @@ lengths and the work grows in proportion to the items. Each block is solved on s
 population of packings. A child takes a packing, injects whole well-filled containers of another one,
 drops its own containers that hold any of the same items, and puts the displaced items back by best fit,
 longest first. After an epoch each island's elite migrates to the next island of its block (one small row
-per island is shuffled); in the end the best packing of the block's islands is taken.
+per island is shuffled); in the end the best packing of the block's islands is taken. Then the blocks give up
+their emptiest containers, whose items form new blocks and are solved once more: what the cut into blocks
+costs is made up for.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -26,23 +29,19 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 CHILDREN = 40  # per island and epoch
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+POOLED = 8  # every eighth container, the emptiest ones, is solved once more
+# Fixed value: the public word pattern that belongs to byte-level BPE vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def pattern_of_vocabulary() -> str:
-    """The word pattern that belongs to the public vocabulary files."""
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
-def _count_tokens(path: str, pattern: str):
+def _count_tokens(name: str, pattern: str):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in stream:
@@ -52,10 +51,14 @@ def _count_tokens(path: str, pattern: str):
     return run
 
 
-def token_counts(documents: DataFrame, path: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n): tokens of every non-empty text by the tokenizer whose vocabulary lies at ``path``."""
+def token_counts(documents: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n): tokens of every non-empty text by the byte-level BPE whose ranks the driver's file ``path`` has.
+
+    The file is shipped to the executors with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(path)
     docs = documents.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(_count_tokens(path, pattern or pattern_of_vocabulary()), "doc_id BIGINT, n BIGINT")
+    return docs.mapInArrow(_count_tokens(path.rsplit("/", 1)[-1], pattern), "doc_id BIGINT, n BIGINT")
 
 
 class Packing:
@@ -163,6 +166,28 @@ _STATE = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("items", _LI
 _STATE_SQL = "block BIGINT, island INT, items ARRAY<BIGINT>, sizes ARRAY<BIGINT>, population ARRAY<ARRAY<BIGINT>>, best ARRAY<BIGINT>, fitness DOUBLE"
 
 
+def _solved(items: DataFrame, n_items: int, capacity: int, epochs: int, islands: int) -> DataFrame:
+    """(item, n_tokens, block, bin, load) of ``items(item, n_tokens)``: each block's best packing."""
+    blocks = max(1, -(-n_items // BLOCK_ITEMS))
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks).cast("bigint"))
+    held = F.array_sort(F.collect_list(F.struct("item", "n_tokens")))  # a block: bounded, whatever the texts
+    state = items.groupBy(block.alias("block")).agg(held.alias("x")).select(
+        "block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("x.item").alias("items"), F.col("x.n_tokens").alias("sizes"),
+        F.lit(None).cast("array<array<bigint>>").alias("population"), F.lit(None).cast("array<bigint>").alias("elite"),
+    )
+    for epoch in range(epochs):
+        # as many tasks as there are cores, not as bytes: the state is small and the work on it isn't
+        spread = state.repartition(min(blocks * islands, _slots(items) * 3), "block", "island")
+        evolved = cut(spread.mapInArrow(_islands(capacity, epoch), _STATE_SQL))
+        elites = evolved.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("best").alias("elite"))
+        state = evolved.join(elites, ["block", "island"])
+    best = evolved.groupBy("block").agg(F.max_by(F.struct("items", "sizes", "best"), F.struct("fitness", -F.col("island"))).alias("b"))
+    spots = best.select("block", F.explode(F.arrays_zip("b.items", "b.sizes", "b.best")).alias("p"))
+    spots = spots.select("block", F.col("p.items").alias("item"), F.col("p.sizes").alias("n_tokens"), F.col("p.best").alias("bin"))
+    loads = spots.groupBy("block", "bin").agg(F.sum("n_tokens").alias("load"))
+    return spots.join(loads, ["block", "bin"])
+
+
 def pack(counts: DataFrame, capacity: int = CAPACITY, epochs: int = EPOCHS, islands: int = ISLANDS) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, container, position) of ``counts(doc_id, n)``.
 
@@ -178,22 +203,16 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, epochs: int = EPOCHS, isla
     )
     pieces = cut(cut_up.withColumn("item", F.monotonically_increasing_id()))  # numbered once and for all
     full, rest = pieces.where(F.col("n_tokens") == c), pieces.where(F.col("n_tokens") < c)
-    blocks = max(1, -(-rest.count() // BLOCK_ITEMS))
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks).cast("bigint"))
-    held = F.array_sort(F.collect_list(F.struct("item", "n_tokens")))  # a block: bounded, whatever the texts
-    state = rest.groupBy(block.alias("block")).agg(held.alias("x")).select(
-        "block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("x.item").alias("items"), F.col("x.n_tokens").alias("sizes"),
-        F.lit(None).cast("array<array<bigint>>").alias("population"), F.lit(None).cast("array<bigint>").alias("elite"),
-    )
-    for epoch in range(epochs):
-        # as many tasks as there are cores, not as bytes: the state is small and the work on it isn't
-        spread = state.repartition(min(blocks * islands, _slots(counts) * 3), "block", "island")
-        evolved = cut(spread.mapInArrow(_islands(capacity, epoch), _STATE_SQL))
-        elites = evolved.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("best").alias("elite"))
-        state = evolved.join(elites, ["block", "island"])
-    best = evolved.groupBy("block").agg(F.max_by(F.struct("items", "best"), F.struct("fitness", -F.col("island"))).alias("b"))
-    spots = best.select("block", F.explode(F.arrays_zip("b.items", "b.best")).alias("p"))
-    placed = spots.select(F.col("p.items").alias("item"), (F.col("block") * (1 << 20) + F.col("p.best")).alias("container")).join(rest, "item")
+    first = _solved(rest.select("item", "n_tokens"), rest.count(), capacity, epochs, islands)
+    # a block's containers: bounded; the emptiest ones give up their items
+    by_load = W.partitionBy("block").orderBy("load", "bin")
+    bins = first.select("block", "bin", "load").distinct().withColumn("nth", F.row_number().over(by_load))
+    bins = bins.withColumn("again", F.col("nth") * POOLED <= F.max("nth").over(W.partitionBy("block")) + POOLED - 1).select("block", "bin", "again")
+    first = cut(first.join(bins, ["block", "bin"]))
+    kept, pool = first.where(~F.col("again")), first.where("again").select("item", "n_tokens")
+    second = _solved(pool, pool.count(), capacity, epochs, islands)
+    number = (F.col("block") * (1 << 20) + F.col("bin")) * 2
+    placed = kept.select("item", number.alias("container")).unionByName(second.select("item", (number + 1).alias("container"))).join(rest, "item")
     ordered = placed.groupBy("container").agg(F.sort_array(F.collect_list(F.struct("n_tokens", "doc_id", "piece", "first_token")), asc=False).alias("x"))
     rows = ordered.select("container", F.posexplode("x").alias("position", "p")).select("p.*", "container", "position")
     cols = ["doc_id", "piece", "first_token", "n_tokens", "container", "position"]

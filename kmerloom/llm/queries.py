@@ -117,20 +117,41 @@ def p2_shared_share_all(spark: SparkSession, d: str) -> DataFrame:
     return all_.withColumn("share", share)
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # the driver's file; it is shipped to the executors
+
+
+def _token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return cut(packing.token_counts(table(spark, d, "documents"), VOCABULARY))
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     """Container and place of every text, or piece of a text longer than 2,048 tokens."""
-    return packing.pack(cut(packing.token_counts(table(spark, d, "documents"))))
+    return packing.pack(_token_counts(spark, d))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens and the share of the containers' space that is used."""
+    """Containers, the least number that could hold all tokens, tokens and the share of the containers' space that is used."""
     loads = p8_packing(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("load"))
     return loads.agg(
-        F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"), F.max("load").alias("fullest"),
+        F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("load") / packing.CAPACITY).alias("least"), F.sum("load").alias("tokens"), F.max("load").alias("fullest"),
         (F.sum("load") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("fill"),
     )
 
 
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Per text whether its tokens are all packed, once and in order, split only if it is longer than a container, and into containers that hold no more than they may."""
+    counts = _token_counts(spark, d)
+    rows = cut(packing.pack(counts))
+    full = F.lit(packing.CAPACITY)
+    per_bin = rows.groupBy("container").agg((F.sum("n_tokens") <= full).alias("fits"), F.max("position").alias("last"), F.count_distinct("position").alias("n"))
+    pieces = rows.join(per_bin, "container").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("k"), F.max("piece").alias("last_piece"),
+        F.bool_and(F.col("fits") & (F.col("last") + 1 == F.col("n")) & (F.col("first_token") == F.col("piece") * full) & (F.col("n_tokens") <= full)).alias("ok"),
+    )
+    valid = (F.col("packed") == F.col("n")) & (F.col("k") == F.ceil(F.col("n") / full)) & (F.col("last_piece") == F.col("k") - 1) & F.col("ok")
+    return counts.where("n > 0").join(pieces, "doc_id", "left").select("doc_id", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and evaluation items that share 50 consecutive letters or digits."""
     return leak.leaked_pairs(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -314,6 +335,7 @@ QUERIES = {
     "p2_shared_share_all": p2_shared_share_all,
     "p8_packing": p8_packing,
     "p8_fill": p8_fill,
+    "p8_valid": p8_valid,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
     "p10_found": p10_found,
@@ -388,6 +410,7 @@ ORACLES = {
     "p2_shared_share": f"""WITH {_SPANS} SELECT rec_kind, rec_id, CAST(length(text) AS INTEGER) AS n_chars,
         CAST(sum(span_len) AS BIGINT) AS shared_chars, count(*) AS n_spans, round(sum(span_len) / length(text), 6) AS share
         FROM spans JOIN recs USING (rec_kind, rec_id) GROUP BY rec_kind, rec_id, text""",
+    "p8_valid": "SELECT doc_id, true AS valid FROM documents WHERE length(text) > 0",
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p9_leaked_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs FROM leaks GROUP BY item_id",
     "p4_found": _SEEN,

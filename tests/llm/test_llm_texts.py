@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm import leak, packing, queries, sentences
 
-SQL = ["p9_found", "p9_leaked_items"]
+SQL = ["p8_valid", "p9_found", "p9_leaked_items"]
 
 
 @pytest.mark.parametrize("name", SQL)
@@ -69,7 +69,7 @@ def test_genetic_steps():
 
 def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "Hello world, 東京 <|endoftext|>"), (2, ""), (3, None)], "doc_id long, text string")
-    rows = packing.token_counts(docs).collect()
+    rows = packing.token_counts(docs, queries.VOCABULARY).collect()
     assert [r.doc_id for r in rows] == [1] and 5 < rows[0].n < 30
 
 
