@@ -37,11 +37,20 @@ def test_leaks_against_brute_force(spark):
     assert leak.leaked_pairs(D.limit(0), B).count() == 0 and leak.leaked_pairs(D, B.limit(0)).count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leak, "BLOCK_LETTERS", 100)
-    B = spark.createDataFrame([(i, chr(97 + i) * 60) for i in range(5)], "item_id long, text string")
-    D = spark.createDataFrame([(9, "c" * 55 + "." + "e" * 50)], "doc_id long, text string")
-    assert sorted(map(tuple, leak.leaked_pairs(D, B).collect())) == [(9, 2), (9, 4)]
+def test_many_items_saturate_the_filter(spark, monkeypatch):
+    """A filter that lets nearly everything through costs work, not rows."""
+    monkeypatch.setattr(leak, "MOST_BITS", 16)
+    rng = random.Random(3)
+    items = [(i, "".join(rng.choices("abcdefgh", k=900))) for i in range(60)] + [(70, None), (None, "q" * 80)]
+    docs = [(i, items[i][1][100:170] + "z" + "".join(rng.choices("abcdefgh", k=200))) for i in range(0, 60, 7)] + [(99, "q" * 90), (None, items[1][1])]
+    B, D = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, leak.leaked_pairs(D, B).collect())) == [(i, i) for i in range(0, 60, 7)]
+
+
+def test_filter_knows_all_its_tokens(spark):
+    tokens = np.random.default_rng(0).integers(0, 2**64 - 1, 3000, dtype=np.uint64)
+    bloom = leak.Bloom.of(spark.createDataFrame([(int(x),) for x in tokens.view(np.int64)], "token long"))
+    assert len(bloom.hits(tokens)) == 3000 and len(bloom.hits(mixed := tokens * np.uint64(3) + np.uint64(1))) < len(mixed) / 50
 
 
 def test_packing_keeps_every_token_once(spark):
