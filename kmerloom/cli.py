@@ -6,7 +6,7 @@
 Options run in the order given: -add_genomes (kmers|kmers_comp) LIST OUT, -query_kmers (kmers|kmers_comp) LIST,
 -query_sequences THRESHOLD (canonical|non_canonical) LIST, -query_branching (kmers|kmers_comp) LIST,
 -extract_kmers (kmers|kmers_comp) OUT. LIST is a file with one path a line; results of queries are written
-next to each input, as a folder named after it with the extension .csv.
+next to each input, as a folder named after it with the extension .csv: a header line, then a line a query.
 """
 
 from __future__ import annotations
@@ -33,8 +33,7 @@ def _paths(spark: SparkSession, list_file: str) -> list[str]:
 
 def _query_kmers(spark: SparkSession, path: str, kind: str, k: int) -> DataFrame:
     if KINDS[kind]:
-        rows = readers.kmer_packed(spark, path, k).select("kmer")
-        return rows.withColumn("query_id", F.monotonically_increasing_id())
+        return readers.kmer_packed(spark, path, k).select(F.col("pos").alias("query_id"), "kmer")
     return readers.sequences(spark, path).select("query_id", F.substring("seq", 1, k).alias("kmer"))
 
 
@@ -52,7 +51,6 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
         raise ValueError(f"unknown command {args[0]!r}")
     while rest:
         option, rest = rest[0], rest[1:]
-        ids = [r.genome_id for r in graph.genomes.orderBy("genome_id").collect()]
         if option == "-add_genomes":
             (kind, list_file, out), rest = rest[:3], rest[3:]
             graph.add_files(_paths(spark, list_file), KINDS[kind]).save(out)
@@ -61,14 +59,14 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
             (kind, list_file), rest = rest[:2], rest[2:]
             for path in _paths(spark, list_file):
                 rows = search.kmer_presence(graph, _query_kmers(spark, path, kind, graph.k))
-                sinks.write_matrix(search.presence_matrix(rows, ids), str(Path(path).with_suffix(".csv")))
+                sinks.write_matrix(search.presence_rows(rows, graph.genomes), graph.genomes, str(Path(path).with_suffix(".csv")))
         elif option == "-query_sequences":
             (threshold, mode, list_file), rest = rest[:3], rest[3:]
             for path in _paths(spark, list_file):
                 queries = readers.sequences(spark, path)
                 found = search.sequence_containment(graph, queries, float(threshold), mode == "canonical").select("query_id", "genome_id")
                 rows = queries.select("query_id").join(found, "query_id", "left")
-                sinks.write_matrix(search.presence_matrix(rows, ids), str(Path(path).with_suffix(".csv")))
+                sinks.write_matrix(search.presence_rows(rows, graph.genomes), graph.genomes, str(Path(path).with_suffix(".csv")))
         elif option == "-query_branching":
             (kind, list_file), rest = rest[:2], rest[2:]
             for path in _paths(spark, list_file):

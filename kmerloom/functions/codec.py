@@ -50,7 +50,7 @@ def last_non_base(seq: Column) -> Column:
 PIECE = 256
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once: a lambda's variable isn't evaluated again for every element."""
     return F.get(F.transform(F.array(value), body), 0)
 
@@ -67,9 +67,9 @@ def kmers(seq: Column, k: int) -> Column:
 
     def of_text(t: Column) -> Column:
         starts = F.sequence(F.lit(1), F.length(t) - k + 1, F.lit(PIECE))
-        return F.flatten(F.transform(starts, lambda i: _let(F.substring(t, i, F.lit(PIECE + k - 1)), of_piece)))
+        return F.flatten(F.transform(starts, lambda i: let(F.substring(t, i, F.lit(PIECE + k - 1)), of_piece)))
 
-    return F.when(F.length(seq) >= k, _let(bases(seq), of_text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(seq) >= k, let(bases(seq), of_text)).otherwise(F.array().cast("array<string>"))
 
 
 def n_windows(seq: Column, k: int) -> Column:
@@ -150,4 +150,4 @@ def minimizer(seq: Column, m: int) -> Column:
         both = F.concat(kmers(b, m), kmers(reverse_complement(b), m))
         return F.array_min(F.filter(both, lambda x: x.rlike("^[ACGT]+$") & ~x.rlike("AAA|CCC|GGG|TTT")))
 
-    return _let(bases(seq), least)
+    return let(bases(seq), least)

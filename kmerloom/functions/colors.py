@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import codec
+
 _EMPTY = "array<int>"
 
 
@@ -69,15 +71,61 @@ def decode(annot: Column) -> Column:
 
     Numbers take 6-bit groups, high first; further bytes of a number carry flag 2 (runs) or 1 (list).
     """
-    h = F.hex(annot)
     n = F.octet_length(annot)
-    byte = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    flag = F.element_at(byte, 1).bitwiseAND(F.lit(3))
-    bits = F.filter(F.sequence(F.lit(0), n * 8 - 3), lambda i: _bit(byte, i + 2))
-    numbers = _numbers(byte, flag)
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(numbers) / 2, F.lit(1)).cast("int") - 1),
-        lambda i: F.sequence(F.get(numbers, i * 2), F.get(numbers, i * 2 + 1))))
-    return F.when(n > 0, F.when(flag == 0, bits).when(flag == 1, runs).when(flag == 2, numbers))
+
+    def bytes_of(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+
+    def pairs(numbers: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(numbers) / 2, F.lit(1)).cast("int") - 1),
+            lambda i: F.sequence(F.get(numbers, i * 2), F.get(numbers, i * 2 + 1))))
+
+    def of_bytes(byte: Column) -> Column:
+        flag = F.element_at(byte, 1).bitwiseAND(F.lit(3))
+        bits = F.filter(F.sequence(F.lit(0), n * 8 - 3), lambda i: _bit(byte, i + 2))
+        numbers = _numbers(byte, flag)
+        return F.when(flag == 0, bits).when(flag == 1, codec.let(numbers, pairs)).when(flag == 2, numbers)
+
+    return F.when(n > 0, codec.let(F.hex(annot), lambda h: codec.let(bytes_of(h), of_bytes)))
+
+
+def _number(n: Column, first: int, further: int) -> Column:
+    """Hex text of a number below 2^30 in 6-bit groups, high first."""
+    group = lambda j: F.pmod(F.floor(n / F.lit(64**j)), F.lit(64)).cast("int")
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    parts = [F.when(n >= 64**j, two(group(j) * 4 + F.when(n < 64 ** (j + 1), first).otherwise(further))).otherwise("") for j in range(4, 0, -1)]
+    return F.concat(*parts, two(group(0) * 4 + F.when(n < 64, first).otherwise(further)))
+
+
+def encodings(colors: Column) -> list[Column]:
+    """Hex texts of the three encodings of a non-empty set of ids below 2^30: bitmap, runs, id list; each in one pass over the ids."""
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    state = lambda text, at, now: F.struct(text.alias("text"), at.cast("int").alias("at"), now.cast("int").alias("now"))
+
+    def bit(s: Column, i: Column) -> Column:  # at: the byte that is being filled, now: its bits so far
+        where = F.floor((i + 2) / 8).cast("int")
+        value = F.pow(F.lit(2), F.pmod(i + 2, F.lit(8))).cast("int")
+        filled = F.concat(s["text"], two(s["now"]), F.repeat(F.lit("00"), where - s["at"] - 1))
+        return F.when(where == s["at"], state(s["text"], s["at"], s["now"] + value)).otherwise(state(filled, where, value))
+
+    def run(s: Column, i: Column) -> Column:  # at, now: the run that is going on
+        ended = F.concat(s["text"], _number(s["at"], 1, 2), _number(s["now"], 1, 2))
+        return F.when(s["at"] < 0, state(F.lit(""), i, i)).when(i == s["now"] + 1, state(s["text"], s["at"], i)).otherwise(state(ended, i, i))
+
+    bitmap = F.aggregate(colors, state(F.lit(""), F.lit(0), F.lit(0)), bit, lambda s: F.concat(s["text"], two(s["now"])))
+    runs = F.aggregate(colors, state(F.lit(""), F.lit(-1), F.lit(-1)), run, lambda s: F.concat(s["text"], _number(s["at"], 1, 2), _number(s["now"], 1, 2)))
+    return [bitmap, runs, F.array_join(F.transform(colors, lambda i: _number(i, 2, 1)), "")]
+
+
+def encode(colors: Column) -> Column:
+    """The shortest encoding of a set of ids (of equally short ones the bitmap, then the id list); null for an empty or null set."""
+
+    def shortest(ids: Column) -> Column:
+        bitmap, runs, listed = encodings(ids)
+        best = lambda t: F.when(F.length(t["b"]) <= F.least(F.length(t["r"]), F.length(t["l"])), t["b"]).when(F.length(t["l"]) <= F.length(t["r"]), t["l"]).otherwise(t["r"])
+        return codec.let(F.struct(bitmap.alias("b"), runs.alias("r"), listed.alias("l")), best)
+
+    return F.unhex(codec.let(color_list(colors), lambda ids: F.when(F.size(ids) > 0, shortest(ids))))
 
 
 def _bit(byte: Column, i: Column) -> Column:

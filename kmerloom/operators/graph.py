@@ -10,8 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..functions.colors import encode
+from ..session import fits
 from ..sources import readers
 
+REGISTRY_BYTES = 16 << 20  # names of at most that size are sent to all tasks
 GENOMES, COLORS = "genome_id INT, genome_name STRING", "kmer STRING, genome_id INT"
 
 
@@ -50,7 +53,8 @@ class ColoredGraph:
     def from_sequences(cls, sequences: DataFrame, k: int) -> ColoredGraph:
         """From ``sequences(genome_name, seq)``: one distinct, combined on the map side, is the only large shuffle."""
         genomes = registry(sequences)
-        rows = sequences.join(F.broadcast(genomes), "genome_name") if genomes.count() <= 1_000_000 else sequences.join(genomes, "genome_name")
+        small = F.broadcast(genomes) if fits(genomes, "genome_name", REGISTRY_BYTES) else genomes
+        rows = sequences.join(small, "genome_name")
         return cls(valid_k(k), genomes, window_rows(rows, k, "genome_id").select("kmer", "genome_id").distinct())
 
     def n_genomes(self) -> int:
@@ -144,9 +148,9 @@ class ColoredGraph:
         return hits.where(F.col("n") == len(set(ids))).select("kmer")
 
     def color_dictionary(self) -> tuple[DataFrame, DataFrame]:
-        """(color_id, colors, n_kmers) of the distinct color sets, and (kmer, color_id): a star schema."""
+        """(color_id, colors, n_kmers) of the distinct color sets, and (kmer, color_id): a star schema. Ids have 128 bits."""
         sets = self.kmers()
-        ident = F.xxhash64(F.array_join("colors", ",")).alias("color_id")
+        ident = F.md5(F.array_join("colors", ",")).alias("color_id")
         dictionary = sets.groupBy(ident, "colors").agg(F.count(F.lit(1)).alias("n_kmers"))
         return dictionary, sets.select("kmer", ident)
 
@@ -155,6 +159,11 @@ class ColoredGraph:
         c = self.counts().agg(F.count(F.lit(1)).alias("n_kmers"), F.coalesce(F.sum("n_colors"), F.lit(0)).alias("n_pairs"), F.coalesce(F.max("n_colors"), F.lit(0)).alias("largest_set"))
         return c.select("n_kmers", F.col("n_pairs").cast("bigint").alias("n_pairs"), "largest_set", F.lit(self.k).alias("k"))
 
+    def color_bytes(self) -> DataFrame:
+        """Bytes of all color sets in their shortest encodings, one a k-mer and one a distinct set."""
+        sized = self.color_dictionary()[0].select("n_kmers", F.octet_length(encode(F.col("colors"))).cast("bigint").alias("n"))
+        return sized.agg(F.coalesce(F.sum(F.col("n") * F.col("n_kmers")), F.lit(0)).alias("per_kmer"), F.coalesce(F.sum("n"), F.lit(0)).alias("per_set"))
+
     def map_kmers(self, f: Callable, schema: str) -> DataFrame:
         """``f`` over batches of (kmer, colors, n_colors), as pandas frames."""
         return self.kmers().mapInPandas(f, schema)
@@ -179,6 +188,13 @@ def prefix_match(kmers: DataFrame, prefix: str, k: int) -> DataFrame:
     return kmers.where(F.col("kmer").startswith(p))
 
 
+def prefix_page(kmers: DataFrame, prefix: str, k: int, n: int, after: str | None = None) -> DataFrame:
+    """The next ``n`` k-mers that start with a prefix, in order, behind ``after``: the last one of a page resumes the walk."""
+    rows = prefix_match(kmers, prefix, k)
+    rows = rows if after is None else rows.where(F.col("kmer") > after)
+    return rows.orderBy("kmer").limit(n)
+
+
 def with_marks(kmers: DataFrame) -> DataFrame:
     """State (kmer, flag) with all flags 0."""
     return kmers.select("kmer", F.lit(0).cast("tinyint").alias("flag"))

@@ -1,4 +1,4 @@
-"""Iterative graph operators: non-branching paths by pointer doubling, components by stars, breadth-first levels.
+"""Iterative graph operators: non-branching paths by pointer doubling, components by stars, breadth-first levels by stations and chains.
 
 Every round is one or two equi-joins, written to the shared checkpoint folder; what reaches the driver
 is one number a round.
@@ -11,66 +11,67 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .graph import ColoredGraph
-from .search import degrees, edges
+from .search import Form, vertex_degrees, vertex_edges
 
 
-def _doubled(state: DataFrame) -> DataFrame:
-    """ptr jumps to ptr's ptr; distances add up; the least k-mer met so far is kept."""
-    to = state.select(F.col("kmer").alias("ptr"), F.col("ptr").alias("p2"), F.col("dist").alias("d2"), F.col("least").alias("l2"))
-    out = state.join(to, "ptr", "left")
-    return out.select("kmer", F.coalesce("p2", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), F.least("least", "l2").alias("least"))
+def _doubled(open_: DataFrame, all_: DataFrame) -> DataFrame:
+    """ptr jumps to ptr's ptr; distances add up; the least vertex met so far is kept; whose ptr is done is done."""
+    to = all_.select(F.col("v").alias("ptr"), F.col("ptr").alias("p2"), F.col("dist").alias("d2"), F.col("least").alias("l2"), F.col("done").alias("done2"))
+    return open_.join(to, "ptr").select("v", F.col("p2").alias("ptr"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("least", "l2").alias("least"), F.col("done2").alias("done"))
 
 
 def _ranked(pred: DataFrame) -> DataFrame:
-    """(kmer, head, dist) of ``pred(kmer, pred)`` (pred null for heads), cycles cut at their least k-mer.
+    """(v, head, dist) of ``pred(v, pred)`` (pred null for heads), cycles cut at their least vertex.
 
-    A vertex at distance d reaches its head in log2(d) rounds, and every round settles some vertex as long
-    as any vertex of a chain is left; what is left then lies on cycles.
+    A vertex at distance d reaches its head in log2(d) rounds; only vertices that haven't go on, and every round
+    settles some vertex as long as any vertex of a chain is left. What is left then lies on cycles.
     """
-    start = lambda p: cut(p.select("kmer", F.coalesce("pred", "kmer").alias("ptr"), F.when(F.col("pred").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.least("kmer", "pred").alias("least")))
-    heads = cut(pred.where(F.col("pred").isNull()).select(F.col("kmer").alias("ptr")))
-    state, settled = start(pred), -1
-    while True:
-        done = state.join(heads, "ptr", "left_semi").count()
-        if done == settled:
+    head = F.col("pred").isNull()
+    start = lambda p: p.select("v", F.coalesce("pred", "v").alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("dist"), F.least("v", "pred").alias("least"), head.alias("done"))
+    left = lambda df: df.agg(F.count_if(~F.col("done"))).first()[0]
+    state = cut(start(pred))
+    settled, n = state.where("done"), left(state)
+    while n:
+        open_ = state.where(~F.col("done"))
+        state = cut(_doubled(open_, settled.unionByName(open_)))
+        now = left(state)
+        if now == n:
             break
-        settled = done
-        state = cut(_doubled(state))
-    finished = state.join(heads, "ptr", "left_semi").select("kmer", F.col("ptr").alias("head"), "dist")
-    rest = cut(state.join(heads, "ptr", "left_anti").select("kmer"))
-    if not rest.limit(1).count():
+        settled, n = settled.unionByName(state.where("done")), now
+    finished = settled.select("v", F.col("ptr").alias("head"), "dist")
+    if not n:
         return finished
-    # cycles: the least k-mer of each spreads in as many rounds; its own predecessor is then forgotten
-    ring = cut(pred.join(rest, "kmer", "left_semi"))
-    state = start(ring)
+    # cycles: the least vertex of each spreads in as many rounds; its own predecessor is then forgotten
+    ring = cut(pred.join(state.where(~F.col("done")).select("v"), "v", "left_semi"))
+    state = cut(start(ring))
     while True:
-        again = cut(_doubled(state))
-        moved = again.select("kmer", F.col("least").alias("now")).join(state.select("kmer", "least"), "kmer").where(F.col("now") != F.col("least"))
+        again = cut(_doubled(state, state))
+        moved = again.select("v", F.col("least").alias("now")).join(state.select("v", "least"), "v").where(F.col("now") != F.col("least"))
         state = again
         if not moved.limit(1).count():
             break
-    opened = ring.join(state.select("kmer", "least"), "kmer").select("kmer", F.when(F.col("kmer") != F.col("least"), F.col("pred")).alias("pred"))
+    opened = ring.join(state.select("v", "least"), "v").select("v", F.when(F.col("v") != F.col("least"), F.col("pred")).alias("pred"))
     return finished.unionByName(_ranked(cut(opened)))
 
 
-def eligible_edges(graph: ColoredGraph, ratio: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vertices(kmer), edges(u, v)) of the path problem.
+def eligible_edges(graph: ColoredGraph, ratio: float | None = None) -> tuple[DataFrame, DataFrame, Form]:
+    """(vertices(v), edges(u, v), form) of the path problem.
 
     Vertices branch neither way in the whole graph. With a ratio they are in at least m = trunc(ratio * genomes)
     genomes, and an edge's two k-mers have at least m genomes in common.
     """
-    k = graph.k
-    kmers = graph.vertices()
-    plain = cut(degrees(kmers, k).where((F.col("indegree") < 2) & (F.col("outdegree") < 2)).select("kmer"))
+    form = Form(graph.k)
+    v = form.of(F.col("kmer")).alias("v")
+    plain = vertex_degrees(graph.vertices().select(v), form).where((F.col("indegree") < 2) & (F.col("outdegree") < 2)).select("v")
     m = 0 if ratio is None else int(ratio * graph.n_genomes())
     if m <= 0:
-        return plain, edges(plain, k)
-    sets = graph.kmers().where(F.col("n_colors") >= m).join(plain, "kmer", "left_semi").select("kmer", "colors")
-    sets = cut(sets)
-    e = edges(sets, k)
-    u, v = sets.select(F.col("kmer").alias("u"), F.col("colors").alias("cu")), sets.select(F.col("kmer").alias("v"), F.col("colors").alias("cv"))
-    both = e.join(u, "u").join(v, "v").where(F.size(F.array_intersect("cu", "cv")) >= m)
-    return sets.select("kmer"), both.select("u", "v")
+        plain = cut(plain)
+        return plain, vertex_edges(plain, form), form
+    sets = cut(graph.kmers().where(F.col("n_colors") >= m).select(v, "colors").join(plain, "v", "left_semi"))
+    e = vertex_edges(sets.select("v"), form)
+    a, b = sets.select(F.col("v").alias("u"), F.col("colors").alias("cu")), sets.select("v", F.col("colors").alias("cv"))
+    both = e.join(a, "u").join(b, "v").where(F.size(F.array_intersect("cu", "cv")) >= m)
+    return sets.select("v"), both.select("u", "v"), form
 
 
 def simple_paths(graph: ColoredGraph, ratio: float | None = None) -> DataFrame:
@@ -79,13 +80,11 @@ def simple_paths(graph: ColoredGraph, ratio: float | None = None) -> DataFrame:
     A lone vertex is a path of length k; a cycle is one path that begins at its least k-mer. A path's text is
     one value and so one row's size, whatever the plan.
     """
-    vertices, e = eligible_edges(graph, ratio)
-    pred = vertices.join(e.select(F.col("v").alias("kmer"), F.col("u").alias("pred")), "kmer", "left")
-    ranked = _ranked(cut(pred))
-    last = F.substring("kmer", -1, 1)
-    steps = ranked.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("dist", last.alias("c")))).alias("x"))
-    tail = F.array_join(F.transform(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), lambda s: s["c"]), "")
-    return steps.select("head", F.concat("head", tail).alias("path"), F.size("x").alias("n_kmers"))
+    vertices, e, form = eligible_edges(graph, ratio)
+    ranked = _ranked(cut(vertices.join(e.select("v", F.col("u").alias("pred")), "v", "left")))
+    steps = ranked.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("dist", form.last(F.col("v")).alias("c")))).alias("x"))
+    letters = F.translate(F.array_join(F.transform(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), lambda s: s["c"].cast("string")), ""), "0123", "ACGT")
+    return steps.withColumn("head", form.text(F.col("head"))).select("head", F.concat("head", letters).alias("path"), F.size("x").alias("n_kmers"))
 
 
 def connected_components(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -116,22 +115,51 @@ def connected_components(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def graph_components(kmers: DataFrame, k: int) -> DataFrame:
     """(kmer, component): weakly connected components of the graph that the k-mers induce; named by their least k-mer."""
-    v = kmers.select("kmer").distinct()
-    e = edges(v, k).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    return connected_components(e, v.select(F.col("kmer").alias("v"))).withColumnRenamed("v", "kmer")
+    form = Form(k)
+    v = cut(kmers.select(form.of(F.col("kmer")).alias("v")).distinct())
+    e = vertex_edges(v, form).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return connected_components(e, v).select(form.text(F.col("v")).alias("kmer"), form.text(F.col("component")).alias("component"))
 
 
 def bfs_levels(kmers: DataFrame, k: int, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(kmer, level): steps from the nearest seed along edges in either direction, for what is reached."""
-    e = edges(kmers, k)
-    both = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    reached = cut(kmers.join(seeds.select("kmer").distinct(), "kmer", "left_semi").select("kmer", F.lit(0).alias("level")))
-    front, level = reached, 0
-    while most is None or level < most:
-        level += 1
-        step = front.select(F.col("kmer").alias("u")).join(both, "u").select(F.col("v").alias("kmer")).distinct()
-        front = cut(step.join(reached, "kmer", "left_anti").select("kmer", F.lit(level).alias("level")))
-        if not front.limit(1).count():
+    """(kmer, level): steps from the nearest seed along edges in either direction, for what is reached.
+
+    Seeds and vertices with more than one way in or out are stations; the chains between them are ranked once, in
+    log2(length) rounds, and walked in one step each, so rounds are needed only from station to station.
+    """
+    form = Form(k)
+    v = cut(kmers.select(form.of(F.col("kmer")).alias("v")).distinct())
+    seed = v.join(seeds.select(form.of(F.col("kmer")).alias("v")).distinct(), "v", "left_semi").withColumn("seed", F.lit(True))
+    e = cut(vertex_edges(v, form).where(F.col("u") != F.col("v")))
+    deg = vertex_degrees(v, form).join(seed, "v", "left")
+    station = cut(deg.where((F.col("indegree") > 1) | (F.col("outdegree") > 1) | F.col("seed").isNotNull()).select("v", F.coalesce("seed", F.lit(False)).alias("seed")))
+    at = lambda c: station.select(F.col("v").alias(c), F.lit(True).alias(f"s{c}"))
+    marked = cut(e.join(at("u"), "u", "left").join(at("v"), "v", "left").select("u", "v", F.coalesce("su", F.lit(False)).alias("su"), F.coalesce("sv", F.lit(False)).alias("sv")))
+    inner = marked.where(~F.col("su") & ~F.col("sv"))
+    links = inner.select("v", F.col("u").alias("pred"))
+    rank = cut(_ranked(cut(v.join(station.select("v"), "v", "left_anti").join(links, "v", "left"))))
+    length = rank.groupBy("head").agg(F.max("dist").alias("far"))
+    # where a chain touches stations: ahead of its head and behind its last vertex
+    ahead = marked.where(F.col("su") & ~F.col("sv")).join(rank, "v").select("head", F.col("u").alias("a"))
+    last = rank.join(length, "head").where(F.col("dist") == F.col("far")).select(F.col("v").alias("u"), "head", "far")
+    behind = marked.where(~F.col("su") & F.col("sv")).join(last, "u").select("head", "far", F.col("v").alias("b"))
+    through = ahead.join(behind, "head").select("a", "b", (F.col("far") + 2).alias("w"))
+    direct = marked.where(F.col("su") & F.col("sv")).select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1).cast("bigint").alias("w"))
+    one = through.unionByName(direct)
+    ways = cut(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+    best = cut(station.where("seed").select("v", F.lit(0).cast("bigint").alias("level")))
+    front = best
+    while True:  # stations: shortest ways, round by round
+        told = front.join(ways, F.col("v") == F.col("a")).groupBy("b").agg(F.min(F.col("level") + F.col("w")).alias("level")).select(F.col("b").alias("v"), "level")
+        better = told.join(best.select("v", F.col("level").alias("had")), "v", "left").where(F.col("had").isNull() | (F.col("level") < F.col("had")))
+        front = cut(better.select("v", "level"))
+        if front.isEmpty():
             break
-        reached = cut(reached.unionByName(front))
-    return reached
+        best = cut(best.unionByName(front).groupBy("v").agg(F.min("level").alias("level")))
+    from_head = ahead.join(best.withColumnRenamed("v", "a"), "a").groupBy("head").agg(F.min("level").alias("x"))
+    from_last = behind.join(best.withColumnRenamed("v", "b"), "b").groupBy("head").agg(F.min("level").alias("y"))
+    inside = rank.join(length, "head").join(from_head, "head", "left").join(from_last, "head", "left")
+    inside = inside.select("v", F.least(F.col("x") + 1 + F.col("dist"), F.col("y") + 1 + F.col("far") - F.col("dist")).alias("level")).where(F.col("level").isNotNull())
+    out = best.unionByName(inside)
+    out = out if most is None else out.where(F.col("level") <= most)
+    return out.select(form.text(F.col("v")).alias("kmer"), F.col("level").cast("int").alias("level"))

@@ -32,10 +32,6 @@ def ids(column) -> F.Column:
     return F.array_join(F.array_sort(column), ",")
 
 
-def names(spark: SparkSession, d: str) -> list[int]:
-    return list(range(table(spark, d, "documents").where(c("source").isNotNull()).select("source").distinct().count()))
-
-
 # --- registry, k-mers and codecs ------------------------------------------------------------------
 
 
@@ -52,7 +48,7 @@ def kmer_colors_count(spark, d):
 
 
 def kmer_color_sets(spark, d):
-    return source_graph(spark, d, 27).kmers().where(c("n_colors") >= 2).select("kmer", ids(c("colors")).alias("colors"), "n_colors")
+    return source_graph(spark, d, 27).kmers().select("kmer", ids(c("colors")).alias("colors"), "n_colors")
 
 
 def color_set_dictionary(spark, d):
@@ -60,6 +56,12 @@ def color_set_dictionary(spark, d):
     return dictionary.select(ids(c("colors")).alias("colors"), "n_kmers")
 
 
+def colors_by_dictionary(spark, d):
+    """Color sets of all k-mers, looked up in the dictionary."""
+    dictionary, links = source_graph(spark, d, 27).color_dictionary()
+    return links.join(dictionary, "color_id").select("kmer", ids(c("colors")).alias("colors"))
+
+
 def _nine(spark, d):
     return source_graph(spark, d, 9).vertices()
 
@@ -99,27 +101,23 @@ def iupac_codes(spark, d):
 
 
 def _query_kmers(spark, d, k):
-    q = benchmark_queries(spark, d).select("query_id", F.posexplode(codec.kmers(c("seq"), k)).alias("pos", "kmer"))
-    return q.select((c("query_id") * 100000 + c("pos")).alias("query_id"), "kmer")
+    """(query_id STRUCT<item_id, pos>, kmer): all windows of the benchmark's texts."""
+    q = benchmark_queries(spark, d).select(c("query_id").alias("item_id"), F.posexplode(codec.kmers(c("seq"), k)).alias("pos", "kmer"))
+    return q.select(F.struct("item_id", "pos").alias("query_id"), "kmer")
 
 
 def kmer_presence(spark, d):
     rows = search.kmer_presence(source_graph(spark, d, 18), _query_kmers(spark, d, 18))
-    return rows.groupBy("query_id", "kmer").agg(F.count("genome_id").alias("n_genomes"))
+    return rows.groupBy("query_id", "kmer").agg(F.count("genome_id").alias("n_genomes")).select("query_id.item_id", "query_id.pos", "kmer", "n_genomes")
 
 
 def kmer_presence_matrix(spark, d):
-    """The first eight genomes' columns, as the SQL has them; :func:`kmer_presence_matrix_all` has every genome's."""
-    rows = search.kmer_presence(source_graph(spark, d, 18), _query_kmers(spark, d, 18))
-    return search.presence_matrix(rows, names(spark, d)[:8])
-
-
-def kmer_presence_matrix_all(spark, d):
-    """Only the query k-mers' rows of the graph are shuffled, if their texts are small enough to be sent to all tasks."""
+    """A row a query k-mer with a 0 or 1 per genome. Only the query k-mers' rows of the graph are shuffled, if their texts are small enough to be sent to all tasks."""
     graph, q = source_graph(spark, d, 18), _query_kmers(spark, d, 18)
     asked = q.select("kmer").distinct()
     asked = F.broadcast(asked) if fits(asked, "kmer", 8 << 20) else asked
-    return search.presence_matrix(search.kmer_presence(graph.subset(asked), q), list(range(graph.n_genomes())))
+    rows = search.presence_rows(search.kmer_presence(graph.subset(asked), q), graph.genomes)
+    return rows.select("query_id.item_id", "query_id.pos", "present")
 
 
 def presence_count(spark, d):
@@ -141,13 +139,9 @@ def _sequence_rows(graph, queries):
 
 
 def sequence_matrix(spark, d):
-    """The first eight genomes' columns, as the SQL has them; :func:`sequence_matrix_all` has every genome's."""
-    return search.presence_matrix(_sequence_rows(source_graph(spark, d, 9), benchmark_queries(spark, d)), names(spark, d)[:8])
-
-
-def sequence_matrix_all(spark, d):
+    """A row a benchmark text with a 0 or 1 per genome."""
     graph = source_graph(spark, d, 9)
-    return search.presence_matrix(_sequence_rows(graph, benchmark_queries(spark, d)), list(range(graph.n_genomes())))
+    return search.presence_rows(_sequence_rows(graph, benchmark_queries(spark, d)), graph.genomes)
 
 
 def prefix_match(spark, d):
@@ -172,19 +166,8 @@ def query_branching_count(spark, d):
 
 
 def _neighbors(f):
-    """Of the k-mers in three genomes or more, as the SQL has them; :func:`_all_neighbors` asks for every k-mer's."""
-
-    def run(spark, d):
-        v = source_graph(spark, d, 27).counts()
-        v = cut(v)
-        return f(v.where(c("n_colors") >= 3).select("kmer"), v.select("kmer"), 27)
-
-    return run
-
-
-def _all_neighbors(f):
     def run(spark, d):
-        v = cut(source_graph(spark, d, 27).vertices())
+        v = source_graph(spark, d, 27).vertices()
         return f(v, v, 27)
 
     return run
@@ -275,6 +258,12 @@ def decoded_annotations(spark, d):
     return k.select(codec.bases(c("kmer")).alias("kmer"), "graph_id", ids(F.array_distinct(colors.decode(c("annot")))).alias("colors"))
 
 
+def encoded_annotations(spark, d):
+    """Color sets in their shortest encoding, from kmers.colors."""
+    k = table(spark, d, "kmers").where(c("annot").isNotNull())
+    return k.select(codec.bases(c("kmer")).alias("kmer"), "graph_id", F.hex(colors.encode(c("colors"))).alias("annot_hex"))
+
+
 def index_stats(spark, d):
     return source_graph(spark, d, 27).statistics()
 
@@ -291,7 +280,7 @@ def vertex_marks(spark, d):
 
 def simple_path_stats(spark, d):
     graph = source_graph(spark, d, 27)
-    v, e = traverse.eligible_edges(graph)
+    v, e, _ = traverse.eligible_edges(graph)
     one = v.select(F.lit(1).alias("v"), F.lit(0).alias("e")).unionByName(e.select(F.lit(0).alias("v"), F.lit(1).alias("e")))
     return one.agg(F.sum("v").alias("vertices"), F.sum("e").alias("edges"))
 
@@ -306,30 +295,32 @@ def core_simple_paths(spark, d):
 
 
 def components(spark, d):
-    """Components of the subgraph of k-mers in three genomes or more."""
-    x = source_graph(spark, d, 27).counts().where(c("n_colors") >= 3).select("kmer")
-    return traverse.graph_components(cut(x), 27)
+    """Component of every k-mer of the graph, named by its least k-mer."""
+    return traverse.graph_components(source_graph(spark, d, 27).vertices(), 27)
+
+
+def subgraph_components(spark, d):
+    """Components of the subgraph of the k-mers that two given genomes share."""
+    return traverse.graph_components(source_graph(spark, d, 9).covering([0, 1]), 9)
+
+
+def subgraph_levels(spark, d):
+    """Steps within that subgraph from its branching k-mers."""
+    v = cut(source_graph(spark, d, 9).covering([0, 1]))
+    return traverse.bfs_levels(v, 9, search.branching(search.degrees(v, 9)))
 
 
 def component_count(spark, d):
     """Components of the whole graph: their number and the largest one's size."""
-    x = traverse.graph_components(cut(source_graph(spark, d, 27).vertices()), 27)
+    x = traverse.graph_components(source_graph(spark, d, 27).vertices(), 27)
     return x.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), F.sum("n").alias("vertices"))
 
 
-def _levels(spark, d, most):
+def bfs_levels(spark, d):
+    """K-mers by their steps from the nearest branching k-mer, to the end."""
     v = cut(source_graph(spark, d, 27).vertices())
     seeds = search.branching(search.degrees(v, 27))
-    return traverse.bfs_levels(v, 27, seeds, most).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-
-
-def bfs_levels(spark, d):
-    """Steps from branching k-mers, four at most, as the SQL has them; :func:`bfs_levels_all` goes to the end."""
-    return _levels(spark, d, 4)
-
-
-def bfs_levels_all(spark, d):
-    return _levels(spark, d, None)
+    return traverse.bfs_levels(v, 27, seeds).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- reads ------------------------------------------------------------------------------------------
@@ -358,6 +349,7 @@ QUERIES = {
     "kmer_colors_count": kmer_colors_count,
     "kmer_color_sets": kmer_color_sets,
     "color_set_dictionary": color_set_dictionary,
+    "colors_by_dictionary": colors_by_dictionary,
     "kmer_encode_int": kmer_encode_int,
     "kmer_encode_bytes": kmer_encode_bytes,
     "reverse_complement": reverse_complement,
@@ -366,7 +358,6 @@ QUERIES = {
     "iupac_codes": iupac_codes,
     "kmer_presence": kmer_presence,
     "kmer_presence_matrix": kmer_presence_matrix,
-    "kmer_presence_matrix_all": kmer_presence_matrix_all,
     "presence_count": presence_count,
     "sequence_containment_t30": _containment(9, 0.3),
     "sequence_containment_t50": _containment(9, 0.5),
@@ -374,7 +365,6 @@ QUERIES = {
     "sequence_containment_k18_t30": _containment(18, 0.3),
     "sequence_containment_canonical": _containment(9, 0.5, True),
     "sequence_matrix": sequence_matrix,
-    "sequence_matrix_all": sequence_matrix_all,
     "prefix_match": prefix_match,
     "degree_histogram": degree_histogram,
     "branching_kmers": branching_kmers,
@@ -382,9 +372,6 @@ QUERIES = {
     "predecessors": _neighbors(search.predecessors),
     "successors": _neighbors(search.successors),
     "neighbors": _neighbors(search.neighbors),
-    "predecessors_all": _all_neighbors(search.predecessors),
-    "successors_all": _all_neighbors(search.successors),
-    "neighbors_all": _all_neighbors(search.neighbors),
     "core_kmers": core_kmers,
     "dispensable_kmers": dispensable_kmers,
     "singleton_kmers": singleton_kmers,
@@ -401,15 +388,17 @@ QUERIES = {
     "add_genome": add_genome,
     "add_colors": add_colors,
     "decoded_annotations": decoded_annotations,
+    "encoded_annotations": encoded_annotations,
     "index_stats": index_stats,
     "vertex_marks": vertex_marks,
     "simple_path_stats": simple_path_stats,
     "simple_paths": simple_paths,
     "core_simple_paths": core_simple_paths,
     "components": components,
+    "subgraph_components": subgraph_components,
+    "subgraph_levels": subgraph_levels,
     "component_count": component_count,
     "bfs_levels": bfs_levels,
-    "bfs_levels_all": bfs_levels_all,
     "minimizer_bins": minimizer_bins,
     "hamming_distances": hamming_distances,
 }
@@ -434,7 +423,7 @@ def _sql(k: int, tail: str, *more: str) -> str:
 
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
-_QK = "qk AS (SELECT query_id * 100000 + p - 1 AS query_id, substr(seq, p, 18) AS kmer FROM (SELECT query_id, seq, " + _windows("seq", 18) + " AS p FROM q))"
+_QK = "qk AS (SELECT query_id AS item_id, (p - 1)::INTEGER AS pos, substr(seq, p, 18) AS kmer FROM (SELECT query_id, seq, " + _windows("seq", 18) + " AS p FROM q))"
 
 
 def _contain(k: int, t: float, canonical: bool = False) -> str:
@@ -455,13 +444,15 @@ def _degrees(k: int) -> str:
         LEFT JOIN i ON i.x = substr(kmer, 1, {k - 1}))"""
 
 
-def _near(where: str) -> str:
+def _near(sides: str) -> str:
+    ahead = [f"SELECT kmer, {i}::INTEGER AS pos, '{x}' || substr(kmer, 1, 26) AS neighbor FROM v" for i, x in enumerate("ACGT")]
+    after = [f"SELECT kmer, {4 + i}::INTEGER AS pos, substr(kmer, 2) || '{x}' AS neighbor FROM v" for i, x in enumerate("ACGT")]
+    rows = {"ahead": ahead, "after": after, "both": ahead + after}[sides]
     return _sql(
         27,
-        f"""SELECT x.kmer, pos::INTEGER AS pos, neighbor, (y.kmer IS NOT NULL) AS present FROM (SELECT kmer, pos,
-            CASE WHEN pos < 4 THEN substr('ACGT', pos + 1, 1) || substr(kmer, 1, 26) ELSE substr(kmer, 2) || substr('ACGT', pos - 3, 1) END AS neighbor
-            FROM (SELECT kmer, unnest(range(8)) AS pos FROM km WHERE n_colors >= 3)) x LEFT JOIN km y ON y.kmer = neighbor WHERE {where}""",
-    )
+        "SELECT x.kmer, pos, neighbor, (y.kmer IS NOT NULL) AS present FROM x LEFT JOIN v y ON y.kmer = neighbor",
+        "v AS MATERIALIZED (SELECT DISTINCT kmer FROM kc)", "x AS (" + " UNION ALL ".join(rows) + ")",
+    )
 
 
 _THREE = """t AS (SELECT x.kmer, x.colors AS s, a.colors AS a, b.colors AS b FROM km x JOIN km a ON a.kmer = substr(x.kmer, 2) || 'A'
@@ -476,13 +467,38 @@ def _three(expr: str) -> str:
 
 _PATHS = """nb AS (SELECT kmer FROM deg WHERE indegree < 2 AND outdegree < 2),
       e AS (SELECT u.kmer AS u, v.kmer AS v FROM nb u JOIN nb v ON substr(u.kmer, 2) = substr(v.kmer, 1, 26))"""
+# Chains of k-mers that branch neither way, each walked once from its head (walk has every such k-mer), and the contracted graph that is left.
+_CHAINS = """vv AS MATERIALIZED (SELECT DISTINCT kmer FROM {of}),
+      e AS MATERIALIZED (SELECT a.kmer AS u, b.kmer AS w FROM vv a JOIN vv b ON substr(a.kmer, 2) = substr(b.kmer, 1, {k1})),
+      many AS MATERIALIZED (SELECT u AS kmer FROM e GROUP BY 1 HAVING count(*) > 1 UNION SELECT w FROM e GROUP BY 1 HAVING count(*) > 1),
+      inner_ AS MATERIALIZED (SELECT u, w FROM e WHERE u NOT IN (SELECT kmer FROM many) AND w NOT IN (SELECT kmer FROM many)),
+      walk AS (SELECT kmer AS head, kmer AS last, 1 AS n FROM vv WHERE kmer NOT IN (SELECT kmer FROM many) AND kmer NOT IN (SELECT w FROM inner_)
+        UNION ALL SELECT head, w, n + 1 FROM walk JOIN inner_ ON u = last),
+      paths AS (SELECT head || coalesce(string_agg(right(last, 1), '' ORDER BY n) FILTER (n > 1), '') AS path, count(*)::INTEGER AS n_kmers, head, max(n) AS far FROM walk GROUP BY head),
+      node AS MATERIALIZED (SELECT last AS kmer, head AS node FROM walk UNION ALL SELECT kmer, kmer FROM many),
+      least AS (SELECT node, min(kmer) AS least FROM node GROUP BY 1),
+      ways AS MATERIALIZED (SELECT DISTINCT x.node AS a, y.node AS b FROM e JOIN node x ON x.kmer = u JOIN node y ON y.kmer = w WHERE x.node <> y.node),
+      both_ AS MATERIALIZED (SELECT a, b FROM ways UNION SELECT b, a FROM ways),
+      cc(node, component) USING KEY (node) AS (SELECT node, least AS component FROM least
+        UNION SELECT x.node, x.component FROM (SELECT b AS node, min(component) AS component FROM cc JOIN both_ ON a = node GROUP BY 1) x
+        JOIN recurring.cc r ON r.node = x.node WHERE x.component < r.component)"""
+_NAMED = "SELECT kmer, component FROM node JOIN cc USING (node)"
+_LEVELS = """SELECT kmer, 0 AS level FROM many UNION ALL SELECT last, least(CASE WHEN head IN (SELECT w FROM e) THEN n END,
+        CASE WHEN tip IN (SELECT u FROM e) THEN far - n + 1 END)::INTEGER FROM walk JOIN (SELECT head, far, last AS tip FROM paths JOIN walk USING (head) WHERE n = far) USING (head)"""
+
+
+def _chains(k: int, of: str, tail: str) -> str:
+    return "WITH RECURSIVE " + ", ".join([_base(k), _CHAINS.format(of=of, k1=k - 1)]) + " " + tail
+
+
 _WIDE = "wide AS (SELECT item_id, upper(regexp_replace(text, '[^ACGTNRacgtnr]', '', 'g')) AS seq FROM benchmark)"
 
 ORACLES = {
     "genomes": _sql(9, "SELECT genome_id, genome_name FROM g"),
     "genome_base_names": "SELECT genome_id, regexp_extract(trim(filename), '([^/]*)$', 1) AS base FROM genomes",
     "kmer_colors_count": _sql(27, "SELECT genome_id, count(*) AS n_kmers FROM kc GROUP BY 1"),
-    "kmer_color_sets": _sql(27, "SELECT kmer, array_to_string(colors, ',') AS colors, n_colors FROM km WHERE n_colors >= 2"),
+    "kmer_color_sets": _sql(27, "SELECT kmer, array_to_string(colors, ',') AS colors, n_colors FROM km"),
+    "colors_by_dictionary": _sql(27, "SELECT kmer, array_to_string(colors, ',') AS colors FROM km"),
     "color_set_dictionary": _sql(27, "SELECT array_to_string(colors, ',') AS colors, count(*) AS n_kmers FROM km GROUP BY 1"),
     "kmer_encode_int": _sql(9, """SELECT kmer, list_sum(list_transform(range(9), lambda i: (strpos('ACGT', substr(kmer, i + 1, 1)) - 1) * (4 ** (8 - i))))::BIGINT AS packed,
         kmer AS back FROM km"""),
@@ -494,23 +510,26 @@ ORACLES = {
         FROM (SELECT item_id, substr(seq, p, 18) AS w FROM (SELECT item_id, seq, {_windows("seq", 18)} AS p FROM wide)) GROUP BY 1""",
     "iupac_codes": f"""WITH {_WIDE} SELECT item_id, md5(translate(seq, 'ACGTMRWSYKVHDBN', '0123456789ABCDE')) AS packed, true AS back,
         (length(regexp_extract(seq, '^(.*[^ACGT])', 1)) - 1)::INTEGER AS last_non_base FROM wide""",
-    "kmer_presence": _sql(18, "SELECT query_id, qk.kmer, count(genome_id) AS n_genomes FROM qk LEFT JOIN kc USING (kmer) GROUP BY 1, 2", _QK),
+    "kmer_presence": _sql(18, "SELECT item_id, pos, qk.kmer, count(genome_id) AS n_genomes FROM qk LEFT JOIN kc USING (kmer) GROUP BY 1, 2, 3", _QK),
     "presence_count": _sql(18, "SELECT count(*) AS n_present FROM qk WHERE kmer IN (SELECT kmer FROM km)", _QK),
     "sequence_containment_t30": _contain(9, 0.3),
     "sequence_containment_t50": _contain(9, 0.5),
     "sequence_containment_t90": _contain(9, 0.9),
     "sequence_containment_k18_t30": _contain(18, 0.3),
     "sequence_containment_canonical": _contain(9, 0.5, True),
-    "kmer_presence_matrix": _sql(18, "SELECT query_id, " + ", ".join(f"coalesce(max((genome_id = {i})::INTEGER), 0) AS g{i}" for i in range(8)) + " FROM qk LEFT JOIN kc USING (kmer) GROUP BY 1", _QK),
-    "sequence_matrix": "WITH f AS (" + _contain(9, 0.5) + ") SELECT item_id AS query_id, " + ", ".join(f"coalesce(max((genome_id = {i})::INTEGER), 0) AS g{i}" for i in range(8)) + " FROM benchmark LEFT JOIN f ON f.query_id = item_id GROUP BY 1",
+    "kmer_presence_matrix": _sql(18, """SELECT item_id, pos, string_agg(CASE WHEN kc.kmer IS NULL THEN '0' ELSE '1' END, ',' ORDER BY g.genome_id) AS present
+        FROM qk CROSS JOIN g LEFT JOIN kc ON kc.kmer = qk.kmer AND kc.genome_id = g.genome_id GROUP BY 1, 2""", _QK),
+    "sequence_matrix": "WITH f AS (" + _contain(9, 0.5) + """), g AS (SELECT row_number() OVER (ORDER BY source) - 1 AS genome_id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
+        SELECT item_id AS query_id, string_agg(CASE WHEN f.genome_id IS NULL THEN '0' ELSE '1' END, ',' ORDER BY g.genome_id) AS present
+        FROM benchmark CROSS JOIN g LEFT JOIN f ON f.query_id = item_id AND f.genome_id = g.genome_id GROUP BY 1""",
     "prefix_match": _sql(18, "SELECT kmer FROM km WHERE kmer LIKE 'ACG%'"),
     "degree_histogram": _sql(18, "SELECT indegree, outdegree, count(*) AS n FROM deg GROUP BY 1, 2", _degrees(18)),
     "branching_kmers": _sql(27, "SELECT * FROM deg WHERE indegree > 1 OR outdegree > 1", _degrees(27)),
     "query_branching_count": _sql(18, """SELECT count(*) AS n_branching FROM qk LEFT JOIN o ON o.x = substr(kmer, 2) LEFT JOIN i ON i.x = substr(kmer, 1, 17)
         WHERE coalesce(o.n, 0) > 1 OR coalesce(i.n, 0) > 1""", _degrees(18), _QK),
-    "predecessors": _near("pos < 4"),
-    "successors": _near("pos >= 4"),
-    "neighbors": _near("true"),
+    "predecessors": _near("ahead"),
+    "successors": _near("after"),
+    "neighbors": _near("both"),
     "core_kmers": _sql(9, "SELECT kmer FROM km WHERE n_colors = (SELECT count(*) FROM g)"),
     "dispensable_kmers": _sql(9, "SELECT kmer FROM km WHERE n_colors < (SELECT count(*) FROM g)"),
     "singleton_kmers": _sql(9, "SELECT kmer FROM km WHERE n_colors = 1"),
@@ -533,6 +552,7 @@ ORACLES = {
         UNION ALL SELECT kmer, unnest([0, 1]) FROM km WHERE kmer LIKE 'ACG%') GROUP BY 1) GROUP BY 1"""),
     "decoded_annotations": """SELECT replace(upper(kmer), 'U', 'T') AS kmer, graph_id, array_to_string(list_sort(list_distinct(colors)), ',') AS colors
         FROM kmers WHERE annot IS NOT NULL""",
+    "encoded_annotations": "SELECT replace(upper(kmer), 'U', 'T') AS kmer, graph_id, hex(annot) AS annot_hex FROM kmers WHERE annot IS NOT NULL",
     "index_stats": _sql(27, "SELECT count(*) AS n_kmers, sum(n_colors)::BIGINT AS n_pairs, max(n_colors) AS largest_set, 27 AS k FROM km"),
     "vertex_marks": _sql(27, """SELECT CASE WHEN indegree = 0 THEN 1 WHEN outdegree > 1 OR indegree > 1 THEN 2 ELSE 0 END AS flag, count(*) AS n FROM deg GROUP BY 1""", _degrees(27)),
     "simple_path_stats": _sql(27, "SELECT (SELECT count(*) FROM nb) AS vertices, (SELECT count(*) FROM e) AS edges", _degrees(27), _PATHS),
@@ -540,14 +560,10 @@ ORACLES = {
       e AS MATERIALIZED (SELECT u.kmer AS u, v.kmer AS v FROM nb u JOIN nb v ON substr(u.kmer, 2) = substr(v.kmer, 1, 26) WHERE len(list_intersect(u.colors, v.colors)) >= 2),
       walk AS (SELECT kmer AS last, kmer AS path, 1 AS n FROM nb WHERE kmer NOT IN (SELECT v FROM e)
         UNION ALL SELECT v, path || substr(v, 27, 1), n + 1 FROM walk JOIN e ON u = last)"""]) + " SELECT path, n::INTEGER AS n_kmers FROM walk WHERE last NOT IN (SELECT u FROM e)",
-    "components": "WITH RECURSIVE " + ", ".join([_base(27), """v AS MATERIALIZED (SELECT kmer FROM km WHERE n_colors >= 3),
-      e AS MATERIALIZED (SELECT a.kmer AS u, b.kmer AS w FROM v a JOIN v b ON substr(a.kmer, 2) = substr(b.kmer, 1, 26)),
-      l AS MATERIALIZED (SELECT u, w FROM e UNION SELECT w, u FROM e),
-      reach AS (SELECT kmer, kmer AS component FROM v UNION SELECT w, component FROM reach JOIN l ON u = kmer)"""]) + " SELECT kmer, min(component) AS component FROM reach GROUP BY 1",
-    "bfs_levels": "WITH RECURSIVE " + ", ".join([_base(27), _degrees(27), """e AS MATERIALIZED (SELECT a.kmer AS u, b.kmer AS w FROM v a JOIN v b ON substr(a.kmer, 2) = substr(b.kmer, 1, 26)),
-      l AS MATERIALIZED (SELECT u, w FROM e UNION SELECT w, u FROM e),
-      reach AS (SELECT kmer, 0 AS level FROM deg WHERE indegree > 1 OR outdegree > 1 UNION SELECT w, level + 1 FROM reach JOIN l ON u = kmer WHERE level < 4)"""]) + """
-      SELECT level, count(*) AS n FROM (SELECT kmer, min(level) AS level FROM reach GROUP BY 1) GROUP BY 1""",
+    "simple_paths": _chains(27, "kc", "SELECT path, n_kmers FROM paths"),
+    "bfs_levels": _chains(27, "kc", "SELECT level, count(*) AS n FROM (" + _LEVELS + ") WHERE level IS NOT NULL GROUP BY 1"),
+    "subgraph_components": _chains(9, "(SELECT kmer FROM km WHERE list_contains(colors, 0) AND list_contains(colors, 1))", _NAMED),
+    "subgraph_levels": _chains(9, "(SELECT kmer FROM km WHERE list_contains(colors, 0) AND list_contains(colors, 1))", "SELECT * FROM (" + _LEVELS + ") WHERE level IS NOT NULL"),
     "minimizer_bins": """WITH r AS (SELECT DISTINCT read_id, replace(upper(read), 'U', 'T') AS seq FROM read_counts),
       m AS (SELECT read_id, min(w) AS minimizer FROM (SELECT read_id, substr(s, p, 7) AS w FROM (SELECT read_id, s, unnest(range(1, greatest(length(s) - 5, 1)::BIGINT)) AS p
         FROM (SELECT read_id, seq AS s FROM r UNION ALL SELECT read_id, reverse(translate(seq, 'ACGTUMRWSYKVHDBN', 'TGCAAKYWSRMBDHVN')) FROM r)))

@@ -89,3 +89,25 @@ def test_annotation_encodings(spark):
     ids = bytes(sum((groups(n, 2, 1) for n in (4, 145, 70000)), []))
     df = spark.createDataFrame([(1, bytes(bitmap)), (2, runs), (3, ids), (4, None), (5, b"")], "i int, a binary").withColumn("ids", colors.decode(F.col("a")))
     assert {r.i: r.ids for r in df.collect()} == {1: [0, 5, 14], 2: [3, 4, 5, 6, 100, 101, 102], 3: [4, 145, 70000], 4: None, 5: None}
+
+
+def test_color_encodings(spark):
+    """Every encoding decodes to its set, and the shortest is taken; sets of all shapes and very large ids."""
+    import random
+
+    from kmerloom.functions import colors
+
+    rng = random.Random(4)
+    sets = [[], None, [0], [5, 6, 7], [63], [64], [4095, 4096], [2**30 - 1], list(range(40, 400)), [0, 2, 4, 6, 8, 10], [7, 7, 3, None]]
+    sets += [sorted(rng.sample(range(10 ** rng.randint(1, 6)), rng.randint(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame([(s,) for s in sets], "s array<int>")
+    one = colors.color_list(F.col("s"))
+    small = F.coalesce(F.array_max("s"), F.lit(0)) < 10**5  # a bitmap of a very large id is long
+    got = df.select(one.alias("s"), colors.decode(colors.encode(F.col("s"))).alias("back"), F.hex(colors.encode(F.col("s"))).alias("e"),
+                    F.when(small & (F.size(one) > 0), F.array(*colors.encodings(one))).alias("all")).collect()
+    for r in got:
+        assert (r.back or []) == r.s
+        if r.all:
+            assert len(r.e) == min(map(len, r.all)) and r.e in r.all
+    every = df.where(small & (F.size(one) > 0)).select(one.alias("s"), F.transform(F.array(*colors.encodings(one)), lambda x: colors.decode(F.unhex(x))).alias("b"))
+    assert all(b == r.s for r in every.collect() for b in r.b)

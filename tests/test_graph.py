@@ -165,18 +165,57 @@ def test_files_and_command_line(spark, tmp_path):
     assert back.kmer_colors.count() == 28
     with pytest.raises(Exception, match="packed for k = 9"):
         ColoredGraph.empty(spark, 18).add_files([str(tmp_path / "packed")], packed=True).kmer_colors.count()
-    csv = spark.read.option("header", True).csv(str(tmp_path / "queries.csv"))
-    assert sorted(map(tuple, csv.collect())) == [("0", "1", "0", "1"), ("1", "0", "0", "0")]
+    lines = [r.value for r in spark.read.text(str(tmp_path / "queries.csv")).collect()]
+    assert sorted(lines) == ["0,1,0,1", "1,0,0,0", 'query_id,"g0.txt","g1.txt","g2.txt"']
     assert sinks.write_paths(traverse.simple_paths(ColoredGraph.load(spark, str(tmp_path / "graph2"))), str(tmp_path / "paths")) == 17
 
 
+def test_fasta_in_splits(spark, tmp_path):
+    rng = __import__("random").Random(1)
+    want, text = [], "\n"
+    for i in range(400):
+        seq = "".join(rng.choices("ACGTN", k=rng.choice([0, 1, 30, 700])))
+        want.append((f"s{i}", "a b\x0cc" if i % 3 else None, seq))
+        text += f">s{i}" + ("\t a b\x0cc " if i % 3 else "") + "\r\n" * (i % 2) + "\n" * (1 - i % 2) + "\n".join(seq[j : j + 50] for j in range(0, len(seq), 50)) + "\n"
+    (tmp_path / "x.fa").write_text(text, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = readers.fasta(spark, str(tmp_path / "x.fa"))
+        assert rows.rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, rows.select("name", "comment", "seq").collect())) == sorted(want, key=lambda r: r[0])
+        (tmp_path / "lines").write_text("\n".join(f"l{i}" * (i % 7 + 1) for i in range(5000)) + "\n")
+        got = [(r.query_id, r.seq) for r in readers.sequences(spark, str(tmp_path / "lines")).collect()]
+        assert sorted(got) == [(i, f"l{i}" * (i % 7 + 1)) for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_packed_in_pieces(spark, tmp_path):
+    kmers = spark.createDataFrame([("".join("ACGT"[(i >> 2 * j) & 3] for j in range(9)),) for i in range(3000)], "kmer string").repartition(3)
+    assert sinks.write_packed(kmers, 9, str(tmp_path / "p q")) == 3000 == sinks.write_packed(kmers, 9, str(tmp_path / "p q"))
+    for piece in (1 << 22, 100):
+        got = readers.kmer_packed(spark, str(tmp_path / "p q"), 9, piece)
+        assert sorted(r.kmer for r in got.collect()) == sorted(r.kmer for r in kmers.collect())
+    one = got.where(F.col("path").endswith("part-00000")).orderBy("pos")
+    assert [r.pos for r in one.collect()] == list(range(one.count()))
+    assert sinks.write_packed(kmers.limit(0), 9, str(tmp_path / "none")) == 0
+
+
 def test_fastx(spark, tmp_path):
     f = tmp_path / "x.fq"
-    f.write_text(">a first\nACGT\nAC\n@b\nACGT\n+\nII@I\n@c x y\nAC\n+\nI\n")
+    f.write_text(">a\tfirst\nACGT\nAC\n@b\nACGT\n+\nII@I\n@c x y\nAC\n+\nI\n")
     got = sorted(map(tuple, readers.fastx(spark, str(f)).select("name", "comment", "seq", "qual").collect()))
     assert got == [("a", "first", "ACGTAC", None), ("b", None, "ACGT", "II@I"), ("c", "x y", "AC", None)]
 
 
+def test_prefix_pages(toy):
+    v, got, last = toy.vertices(), [], None
+    while page := [r.kmer for r in g.prefix_page(v, "T", 9, 2, last).collect()]:
+        got, last = got + page, page[-1]
+    assert got == sorted(col(g.prefix_match(v, "T", 9), "kmer")) and len(got) > 4
+    assert all(x > 0 for x in toy.color_bytes().first())
+
+
 def test_stream_append(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("ACG", 0), ("ACG", 0), ("CGT", 1)], "kmer string, genome_id int").write.parquet(str(src))

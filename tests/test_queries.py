@@ -4,7 +4,7 @@ from conftest import DATA, against_sql
 from kmerloom.plans import graph_queries
 
 SOME = ["genomes", "kmer_colors_count", "sequence_containment_t30", "sequence_containment_canonical", "sequence_matrix", "degree_histogram", "genome_jaccard",
-        "color_symdiff", "merge_graphs", "decoded_annotations", "components", "core_simple_paths", "minimizer_bins", "hamming_distances"]
+        "color_symdiff", "merge_graphs", "decoded_annotations", "kmer_presence_matrix", "neighbors", "subgraph_components", "bfs_levels", "simple_paths", "core_simple_paths", "minimizer_bins", "hamming_distances"]
 
 
 @pytest.mark.parametrize("name", SOME)
