@@ -6,7 +6,11 @@ is one number a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -113,12 +117,70 @@ def connected_components(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.join(root, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
+LOCAL_EDGES = 1 << 20  # edges that a task contracts at once
+SEED_LETTERS = 11  # words of this length choose where an edge is contracted
+
+
+def _place(mid: Column, form: Form) -> Column:
+    """The least hash of a (k-1)-mer's words: neighbouring (k-1)-mers mostly have the same, so chains mostly stay together."""
+    m = min(SEED_LETTERS, form.k - 1)
+    at = range(form.k - 1 - m + 1)
+    word = (lambda i: F.shiftright(mid, 2 * i).bitwiseAND(F.lit((1 << 2 * m) - 1).cast("bigint"))) if form.packed else (lambda i: F.substring(mid, i + 1, m))
+    hashes = [F.xxhash64(word(i)) for i in at]
+    return F.least(*hashes) if len(hashes) > 1 else hashes[0]
+
+
+def _contracted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (a, b), in chunks: every vertex with the least vertex that the chunk's edges link it to."""
+
+    def roots(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        a, b = (t.column(c).to_numpy() for c in ("a", "b"))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(ids))
+        while len(x):
+            lx, ly = label[x], label[y]
+            apart = lx != ly
+            x, y, lx, ly = x[apart], y[apart], lx[apart], ly[apart]
+            np.minimum.at(label, lx, ly)
+            np.minimum.at(label, ly, lx)
+            while not np.array_equal(up := label[label], label):
+                label = up
+        return pa.RecordBatch.from_arrays([pa.array(ids, t.schema.field("a").type), pa.array(ids[label], t.schema.field("a").type)], names=["v", "root"])
+
+    held, rows = [], 0
+    for batch in stream:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= LOCAL_EDGES:
+            yield roots(held)
+            held, rows = [], 0
+    if rows:
+        yield roots(held)
+
+
 def graph_components(kmers: DataFrame, k: int) -> DataFrame:
-    """(kmer, component): weakly connected components of the graph that the k-mers induce; named by their least k-mer."""
+    """(kmer, component): weakly connected components of the graph that the k-mers induce; named by their least k-mer.
+
+    Edges that lie close together on a chain are brought together by a word that their (k-1)-mers share and contracted
+    where they are; only what the contracted pieces have in common goes through the rounds of :func:`connected_components`.
+    """
     form = Form(k)
     v = cut(kmers.select(form.of(F.col("kmer")).alias("v")).distinct())
-    e = vertex_edges(v, form).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    return connected_components(e, v).select(form.text(F.col("v")).alias("kmer"), form.text(F.col("component")).alias("component"))
+    mid = F.col("mid")
+    e = vertex_edges(v, form).select(F.col("u").alias("a"), F.col("v").alias("b"), form.tail(F.col("u")).alias("mid"))
+    kind = "BIGINT" if form.packed else "STRING"
+    near = e.withColumn("place", _place(mid, form)).repartition("place").select("a", "b").mapInArrow(_contracted, f"v {kind}, root {kind}")
+    stars = cut(near)
+    lowest = cut(stars.groupBy("v").agg(F.min("root").alias("root"), F.max("root").alias("most")))
+    several = lowest.where(F.col("root") < F.col("most")).select("v", F.col("root").alias("a"))
+    links = stars.join(several, "v").where(F.col("root") != F.col("a")).select("a", F.col("root").alias("b"))
+    links = cut(links.distinct())
+    roots = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    named = connected_components(links, roots).withColumnRenamed("v", "root")
+    whole = v.join(lowest.select("v", "root"), "v", "left").join(named, "root", "left")
+    return whole.select(form.text(F.col("v")).alias("kmer"), form.text(F.coalesce("component", "root", "v")).alias("component"))
 
 
 def bfs_levels(kmers: DataFrame, k: int, seeds: DataFrame, most: int | None = None) -> DataFrame:

@@ -99,3 +99,25 @@ def test_levels_of_any_seeds(spark, k):
         got = traverse.bfs_levels(V, k, spark.createDataFrame([(x,) for x in seeds], "kmer string"))
         assert {r.kmer: r.level for r in got.collect()} == want
     assert {r.kmer for r in traverse.bfs_levels(V, k, V.limit(1), 1).collect()} <= set(v)
+
+
+@pytest.mark.parametrize("k, chunk", [(9, 1 << 20), (9, 7), (33, 50)])
+def test_components_of_contracted_chunks(spark, monkeypatch, k, chunk):
+    from kmerloom.operators import traverse
+
+    monkeypatch.setattr(traverse, "LOCAL_EDGES", chunk)
+    rng = random.Random(chunk)
+    texts = ["".join(rng.choices("ACGT", k=rng.randint(k, 150))) for _ in range(9)] + ["A" * (k + 4), "ACGTTGCATC" * 9]
+    texts += [texts[0][-k:] + texts[1][:40], texts[3][20 : 20 + k] + texts[4][-k:]]
+    v = set().union(*(windows(t, k) for t in texts))
+    label = {x: x for x in v}
+    for _ in v:
+        before = dict(label)
+        for x in v:
+            for y in (x[1:] + b for b in "ACGT"):
+                if y in v:
+                    label[x] = label[y] = min(label[x], label[y])
+        if label == before:
+            break
+    got = traverse.graph_components(spark.createDataFrame([(x,) for x in v] * 2, "kmer string"), k)
+    assert {r.kmer: r.component for r in got.collect()} == label and got.count() == len(v)
