@@ -114,6 +114,19 @@ def test_spans_against_brute_force(spark, length):
     assert spans.shared_spans(df.limit(0), length).count() == 0
 
 
+def test_spans_in_many_chunks(spark, monkeypatch):
+    """A piece that a third of the records hold, in chunks and partitions of a few places each."""
+    monkeypatch.setattr(spans, "PLACES", 50)
+    monkeypatch.setattr(spans, "FLUSH", 200)
+    monkeypatch.setattr(spans, "PART_LETTERS", 300)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("ACGT", k=n))
+    hot = text(40)
+    records = [(i, text(rng.randint(0, 30)) + (hot[rng.randint(0, 9) :] if i % 3 == 0 else "") + text(10)) for i in range(90)]
+    got = [tuple(r) for r in spans.shared_spans(spark.createDataFrame(records, "rec_id long, text string").repartition(5), 24).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(records, 24) and len(got) >= 30
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for bits, n in ((10, 0), (10, 1), (10, 900), (40, 5000), (64, 3000), (58, 1)):
