@@ -98,23 +98,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d)
 
 
-def _shares(spark: SparkSession, d: str, how: str) -> DataFrame:
+def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    """Per record its length, the letters that other records share and their share; a record that shares nothing, be it short, empty or null, has a share of 0."""
     of_reads = reads(spark, d).select(F.lit("read").alias("rec_kind"), F.col("read_id").alias("rec_id"), F.length("read").alias("n_chars"))
     of_files = table(spark, d, "genomes").select(F.lit("file").alias("rec_kind"), F.col("genome_id").cast("bigint").alias("rec_id"), F.length("filename").alias("n_chars"))
     shared = _spans(spark, d).groupBy("rec_kind", "rec_id").agg(F.sum("span_len").alias("shared_chars"), F.count(F.lit(1)).alias("n_spans"))
-    return of_reads.unionByName(of_files).join(shared, ["rec_kind", "rec_id"], how)
-
-
-def p2_shared_share(spark: SparkSession, d: str) -> DataFrame:
-    """Per record with a shared span, as the SQL has them: its length, the letters shared elsewhere and their share."""
-    return _shares(spark, d, "inner").withColumn("share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
-
-
-def p2_shared_share_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of every record: one that shares nothing, be it short, empty or null, has a share of 0."""
-    all_ = _shares(spark, d, "left").fillna(0, ["shared_chars", "n_spans"])
+    all_ = of_reads.unionByName(of_files).join(shared, ["rec_kind", "rec_id"], "left").fillna(0, ["shared_chars", "n_spans"])
     share = F.when(F.col("shared_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0))
-    return all_.withColumn("share", share)
+    return all_.withColumn("n_chars", F.coalesce("n_chars", F.lit(0))).withColumn("share", share)
 
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # the driver's file; it is shipped to the executors
@@ -332,7 +323,6 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_shared_share": p2_shared_share,
-    "p2_shared_share_all": p2_shared_share_all,
     "p8_packing": p8_packing,
     "p8_fill": p8_fill,
     "p8_valid": p8_valid,
@@ -406,10 +396,23 @@ _SEEN = f"""WITH {_INSERTED}, ok AS (SELECT * FROM ins WHERE length(kmer) = k AN
 ORACLES = {
     "p1_found": f"""WITH {_NEAR} SELECT DISTINCT ra AS read_id_a, rb AS read_id_b FROM near JOIN size x ON x.s = a JOIN size y ON y.s = b
         WHERE 3 * c >= x.n + y.n""",
+    "p1_groups": f"""WITH RECURSIVE {_NEAR}, txt AS MATERIALIZED (SELECT seq, -row_number() OVER () AS s FROM (SELECT DISTINCT seq FROM seqs WHERE length(seq) >= 9)),
+      mem AS MATERIALIZED (SELECT read_id, s FROM seqs JOIN txt USING (seq)),
+      win AS MATERIALIZED (SELECT DISTINCT s, t FROM (SELECT s, substr(seq, p, 9) AS t FROM (SELECT *, unnest(range(1, length(seq) - 7)) AS p FROM txt)) WHERE regexp_full_match(t, '[ACGT]{{9}}')),
+      many AS MATERIALIZED (SELECT s, count(*) AS n FROM win GROUP BY 1),
+      pair AS MATERIALIZED (SELECT a, b FROM (SELECT x.s AS a, y.s AS b, count(*) AS c FROM win x JOIN win y ON x.t = y.t AND x.s < y.s GROUP BY 1, 2)
+        JOIN many x ON x.s = a JOIN many y ON y.s = b WHERE 3 * c >= x.n + y.n),
+      link AS MATERIALIZED (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+      way AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT read_id, s FROM mem UNION ALL SELECT s, read_id FROM mem),
+      cc(node, least) USING KEY (node) AS (SELECT node, node AS least FROM (SELECT read_id AS node FROM r) UNION
+        SELECT x.node, x.least FROM (SELECT b AS node, min(least) AS least FROM cc JOIN way ON a = node GROUP BY 1) x
+        LEFT JOIN recurring.cc k ON k.node = x.node WHERE k.node IS NULL OR x.least < k.least),
+      links AS (SELECT read_id, count(*) AS n FROM mem JOIN link ON a = s GROUP BY 1)
+      SELECT r.read_id, cc.least AS group_id, coalesce(links.n, 0) AS n_links FROM r JOIN cc ON node = r.read_id LEFT JOIN links ON links.read_id = r.read_id""",
     "p2_found": f"WITH {_SPANS} SELECT rec_kind, rec_id, span_start, span_len FROM spans",
-    "p2_shared_share": f"""WITH {_SPANS} SELECT rec_kind, rec_id, CAST(length(text) AS INTEGER) AS n_chars,
-        CAST(sum(span_len) AS BIGINT) AS shared_chars, count(*) AS n_spans, round(sum(span_len) / length(text), 6) AS share
-        FROM spans JOIN recs USING (rec_kind, rec_id) GROUP BY rec_kind, rec_id, text""",
+    "p2_shared_share": f"""WITH {_SPANS}, x AS (SELECT rec_kind, rec_id, sum(span_len) AS shared, count(*) AS n FROM spans GROUP BY 1, 2)
+        SELECT rec_kind, rec_id, coalesce(length(text), 0)::INTEGER AS n_chars, coalesce(shared, 0)::BIGINT AS shared_chars, coalesce(n, 0) AS n_spans,
+        coalesce(round(shared / length(text), 6), 0) AS share FROM recs LEFT JOIN x USING (rec_kind, rec_id)""",
     "p8_valid": "SELECT doc_id, true AS valid FROM documents WHERE length(text) > 0",
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p9_leaked_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs FROM leaks GROUP BY item_id",

@@ -283,12 +283,11 @@ def test_every_record_has_a_share(spark, tmp_path):
     stamped = spark.createDataFrame(reads_, "read_id long, read string").selectExpr("*", "1 AS occ_count", "timestamp'2024-01-01' AS loaded_at", "timestamp'2024-01-01' AS seen_at")
     stamped.write.parquet(f"{tmp_path}/read_counts.parquet")
     spark.createDataFrame(files, "genome_id int, filename string").write.parquet(f"{tmp_path}/genomes.parquet")
-    got = {(r.rec_kind, r.rec_id): r for r in queries.p2_shared_share_all(spark, str(tmp_path)).collect()}
+    got = {(r.rec_kind, r.rec_id): r for r in queries.p2_shared_share(spark, str(tmp_path)).collect()}
     assert set(got) == {*(("read", i) for i, _ in reads_), *(("file", i) for i, _ in files)}
     for k in [("read", 3), ("read", 4), ("read", 5), ("file", 2)]:
         assert (got[k].shared_chars, got[k].n_spans, got[k].share) == (0, 0, 0.0)
-    part = queries.p2_shared_share(spark, str(tmp_path)).collect()
-    assert {(r.rec_kind, r.rec_id): r for r in part} == {k: r for k, r in got.items() if r.share > 0} and len(part) >= 3
+    assert sum(r.share > 0 for r in got.values()) >= 3
 
 
 def test_rows_of_sets_are_bounded_for_any_number_of_partitions():
