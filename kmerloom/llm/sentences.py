@@ -104,7 +104,8 @@ def first_words(paras: list[list[str]]) -> set[str]:
 
 def observed(paras: list[list[str]], begins: Callable[[str], bool] | None = None) -> dict[str, list[int]]:
     """Per word before a period: how often the period is inside a sentence for certain, how often it ends a
-    paragraph, how often a capital follows, and how often that capital's word ``begins`` sentences.
+    paragraph, how often a capital follows, and how often that capital's word ``begins`` sentences (or stands behind
+    small single letters: a name's initials are capitals).
 
     Initials in a row count as one word (``z.b``), and a number of one or two digits is known by the word before it (``der #``).
     """
@@ -118,10 +119,12 @@ def observed(paras: list[list[str]], begins: Callable[[str], bool] | None = None
                 w, after = t[:-2], ","
             else:
                 continue
-            w = w.lstrip(_EDGES).lower()
+            raw = w.lstrip(_EDGES)
+            w, small = raw.lower(), False
             if len(w) == 1 and w.isalpha():
+                small = raw.islower()
                 if i and len(b := tokens[i - 1].lstrip(_EDGES)) == 2 and b[1] == "." and b[0].isalpha():
-                    w = f"{b[0].lower()}.{w}"
+                    w, small = f"{b[0].lower()}.{w}", small and b[0].islower()
             elif len(w) < 3 and w.isdigit():
                 w = tokens[i - 1].lstrip(_EDGES).lower() + " #" if i else ""
             if not w[:1].isalpha():
@@ -136,7 +139,7 @@ def observed(paras: list[list[str]], begins: Callable[[str], bool] | None = None
                 got[ABBR] += 1
             elif ch.isupper():
                 got[CAP] += 1
-                if begins and after[-1] != "." and begins(after.rstrip(_EDGES)):
+                if begins and after[-1] != "." and (begins(after.rstrip(_EDGES)) or small):
                     got[START] += 1
     return out
 
@@ -221,7 +224,8 @@ def verdict(cls: str, word: str, n: list, share: float) -> int:
             got = stop / many
             seldom = many * ((got * np.log(got / usual) if got else 0.0) + (1 - got) * np.log((1 - got) / (1 - usual)))
         if (abbr >= 2 and abbr > 3 * stop and abbr * 20 > cap) or (seldom > SURE * LETTER ** (2 if word.endswith(" #") else min(len(word), 40)) and bare * 20 <= dotted):
-            return YES | (MAY_END if start * 4 >= cap > 0 else 0)
+            letters = len(word) == 1 or word[1:2] == "."
+            return YES | (MAY_END if start * 4 >= cap > 0 and not (letters and abbr * 20 > cap) else 0)
         return NO if stop else 0
     if cls == "n":
         return (COMMON if n[0] > n[1] else NAME if n[1] else 0) if n[2] else 0
