@@ -135,6 +135,11 @@ def bits_needed(n: Column) -> Column:
     return F.ceil(F.log2(n)).cast("int")
 
 
+def reverse_bits(n: Column, width: int) -> Column:
+    """A number of at most ``width`` (62) bits with their order turned round."""
+    return F.conv(F.reverse(F.lpad(F.bin(n), width, "0")), 2, 10).cast("bigint")
+
+
 def popcount(n: Column) -> Column:
     return F.bit_count(n)
 

@@ -76,6 +76,13 @@ def kmer_encode_bytes(spark, d):
     return _nine(spark, d).select("kmer", F.hex(v).alias("packed"), codec.unpack_bytes(v, 9).alias("back"))
 
 
+def bit_helpers(spark, d):
+    """Bits set, bits needed, bits turned round, and the hex text with its nibbles swapped, of every packed 9-mer."""
+    v = _nine(spark, d).select("kmer", codec.pack_int(c("kmer")).alias("p"))
+    return v.select("kmer", codec.popcount(c("p")).cast("int").alias("n_set"), codec.bits_needed(c("p") + 1).alias("n_needed"), codec.reverse_bits(c("p"), 18).alias("turned"),
+                    codec.swap_nibbles(codec.pack_ambiguous(c("kmer"))).alias("swapped"))
+
+
 def reverse_complement(spark, d):
     return _nine(spark, d).select("kmer", codec.reverse_complement(c("kmer")).alias("rc"))
 
@@ -331,6 +338,15 @@ def minimizer_bins(spark, d):
     return reads.minimizer_bins(r, 7).select("read_id", "minimizer", "bin")
 
 
+def rebuilt_reads(spark, d):
+    """The first occurrence of every read: its letters with the occurrence's mismatches put at their places, void ones left out."""
+    r = table(spark, d, "read_counts").groupBy("read_id").agg(F.max_by(F.struct("read", "occ_count"), F.coalesce("loaded_at", "seen_at")).alias("r"))
+    r = r.where(c("r.read").isNotNull()).select("read_id", codec.bases(c("r.read")).alias("seq"), F.coalesce("r.occ_count", F.lit(1)).alias("occ"))
+    m = table(spark, d, "mismatches").where("id_read = 0 AND length(mismatch_char) = 1").join(r.where("occ > 0").select("read_id", F.length("seq").alias("n")), "read_id")
+    m = m.where((c("position") >= 0) & (c("position") < c("n"))).groupBy("read_id", "position").agg(F.max(codec.bases(c("mismatch_char"))).alias("ch"))
+    return reads.put_mismatches(r.select("read_id", "seq"), m)
+
+
 def hamming_distances(spark, d):
     """A demonstration of the bounded mismatch count, as the SQL has it; not a search for similar reads.
 
@@ -352,6 +368,7 @@ QUERIES = {
     "colors_by_dictionary": colors_by_dictionary,
     "kmer_encode_int": kmer_encode_int,
     "kmer_encode_bytes": kmer_encode_bytes,
+    "bit_helpers": bit_helpers,
     "reverse_complement": reverse_complement,
     "canonical_kmers": canonical_kmers,
     "iupac_windows": iupac_windows,
@@ -400,6 +417,7 @@ QUERIES = {
     "component_count": component_count,
     "bfs_levels": bfs_levels,
     "minimizer_bins": minimizer_bins,
+    "rebuilt_reads": rebuilt_reads,
     "hamming_distances": hamming_distances,
 }
 
@@ -504,6 +522,10 @@ ORACLES = {
         kmer AS back FROM km"""),
     "kmer_encode_bytes": _sql(9, """SELECT kmer, array_to_string(list_transform(range(3), lambda b: printf('%02X', list_sum(list_transform(range(4), lambda i:
         greatest(strpos('ACGT', substr(kmer, b * 4 + i + 1, 1)) - 1, 0) * CASE WHEN b * 4 + i < 9 THEN 4 ** i ELSE 0 END))::BIGINT)), '') AS packed, kmer AS back FROM km"""),
+    "bit_helpers": _sql(9, """SELECT kmer, bit_count(p)::INTEGER AS n_set, ceil(log2(p + 1))::INTEGER AS n_needed,
+        list_sum(list_transform(range(18), lambda i: ((p >> i) & 1) << (17 - i)))::BIGINT AS turned,
+        regexp_replace(translate(kmer, 'ACGT', '0123') || '0', '(.)(.)', '\\2\\1', 'g') AS swapped
+        FROM (SELECT kmer, list_sum(list_transform(range(9), lambda i: (strpos('ACGT', substr(kmer, i + 1, 1)) - 1) * (4 ** (8 - i))))::BIGINT AS p FROM km)"""),
     "reverse_complement": _sql(9, f"SELECT kmer, {_RC.format('kmer')} AS rc FROM km"),
     "canonical_kmers": _sql(9, f"SELECT least(kmer, {_RC.format('kmer')}) AS canonical, count(*) AS n FROM km GROUP BY 1"),
     "iupac_windows": f"""WITH {_WIDE} SELECT item_id, count(*) AS n_windows, count(*) FILTER (regexp_matches(w, '[NR]')) AS n_skipped
@@ -570,6 +592,13 @@ ORACLES = {
         WHERE regexp_full_match(w, '[ACGT]+') AND NOT regexp_matches(w, 'AAA|CCC|GGG|TTT') GROUP BY 1)
       SELECT read_id, minimizer, coalesce(list_sum(list_transform(range(7), lambda i: (strpos('ACGT', substr(minimizer, i + 1, 1)) - 1) * (4 ** (6 - i))))::BIGINT, 0) AS bin
       FROM r LEFT JOIN m USING (read_id)""",
+    "rebuilt_reads": """WITH r AS (SELECT read_id, replace(upper(arg_max(read, loaded_at)), 'U', 'T') AS read, coalesce(arg_max(struct_pack(o := occ_count), loaded_at).o, 1) AS occ
+        FROM read_counts GROUP BY read_id),
+      m AS (SELECT read_id, position AS p, max(replace(upper(mismatch_char), 'U', 'T')) AS ch FROM mismatches JOIN r USING (read_id)
+        WHERE mismatch_char IS NOT NULL AND id_read = 0 AND occ > 0 AND position >= 0 AND position < length(read) GROUP BY 1, 2),
+      x AS (SELECT read_id, string_agg(coalesce(ch, substr(read, p + 1, 1)), '' ORDER BY p) AS seq
+        FROM (SELECT read_id, read, unnest(range(length(read))) AS p FROM r) LEFT JOIN m USING (read_id, p) GROUP BY 1)
+      SELECT read_id, coalesce(seq, '') AS seq FROM r LEFT JOIN x USING (read_id) WHERE read IS NOT NULL""",
     "hamming_distances": """WITH r AS (SELECT read_id, max(replace(upper(read), 'U', 'T')) AS a FROM read_counts WHERE length(read) > 0 GROUP BY 1),
       p AS (SELECT read_id, a, lead(a) OVER (PARTITION BY length(a), substr(a, 1, 4) ORDER BY a, read_id) AS b FROM r)
       SELECT read_id, CASE WHEN hamming(a, b) > 5 THEN -1 ELSE hamming(a, b) END::INTEGER AS mismatches FROM p WHERE b IS NOT NULL""",

@@ -111,3 +111,8 @@ def test_color_encodings(spark):
             assert len(r.e) == min(map(len, r.all)) and r.e in r.all
     every = df.where(small & (F.size(one) > 0)).select(one.alias("s"), F.transform(F.array(*colors.encodings(one)), lambda x: colors.decode(F.unhex(x))).alias("b"))
     assert all(b == r.s for r in every.collect() for b in r.b)
+
+
+def test_reversed_bits(spark):
+    df = spark.createDataFrame([(0,), (1,), (6,), (2**61,), (None,)], "n long")
+    assert [r[0] for r in df.select(codec.reverse_bits(F.col("n"), 62)).collect()] == [0, 2**61, 3 << 59, 1, None]
