@@ -45,9 +45,10 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(read_id, set_id) of all reads' occurrences, and the similar pairs of sets."""
+    """(read_id, set_id, whole) of all reads' occurrences (whether the text has a window without non-bases), and the similar pairs of sets."""
     numbered = near_dup.number_sequences(texts)
-    return texts.join(numbered, "seq").select("read_id", "set_id"), near_dup.similar_pairs(numbered)
+    members = texts.join(numbered, "seq").select("read_id", "set_id", F.col("seq").rlike("[ACGT]{9}").alias("whole"))
+    return members, near_dup.similar_pairs(numbered)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,13 +56,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
     By its definition it lists every pair, those of exact copies included; :func:`p1_groups` doesn't.
     """
-    texts = variants(spark, d)
-    members, pairs = _similar(texts)
+    members, pairs = _similar(variants(spark, d))
+    # copies of a text that has a window at all are similar: they meet as members of one set
+    copies = members.where("whole").groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
     a, b = members.select(F.col("read_id").alias("ra"), F.col("set_id").alias("a")), members.select(F.col("read_id").alias("rb"), F.col("set_id").alias("b"))
-    near = pairs.select("a", "b").join(a, "a").join(b, "b").select("ra", "rb")
-    whole = texts.where(F.col("seq").rlike("[ACGT]{9}"))  # copies are similar if they have a window at all
-    same = whole.select(F.col("read_id").alias("ra"), "seq").join(whole.select(F.col("read_id").alias("rb"), "seq"), "seq").where(F.col("ra") < F.col("rb"))
-    both = near.unionByName(same.select("ra", "rb")).where(F.col("ra") != F.col("rb"))
+    both = pairs.select("a", "b").unionByName(copies).join(a, "a").join(b, "b").where(F.col("ra") != F.col("rb"))
     return both.select(F.least("ra", "rb").alias("read_id_a"), F.greatest("ra", "rb").alias("read_id_b")).distinct()
 
 
@@ -74,7 +73,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """
     texts = variants(spark, d)
     members, pairs = _similar(texts)
-    members, pairs = cut(members), cut(pairs.select("a", "b"))
+    members, pairs = cut(members.select("read_id", "set_id")), cut(pairs.select("a", "b"))
     hub = members.groupBy("read_id").agg(F.min("set_id").alias("a"))
     own = members.join(hub, "read_id").select("a", F.col("set_id").alias("b"))
     groups = connected_components(pairs.unionByName(own), members.select(F.col("set_id").alias("v")).distinct())
