@@ -76,9 +76,10 @@ def left_word(text: str, start: int, dot: int) -> str:
 
 
 def words(tokens: set[str]) -> set[str]:
-    """The tokens' runs of letters; the pattern is run only on tokens that have something else."""
-    out = {w for w in tokens if w.isalpha()}
-    out.update(_WORD.findall(" ".join(tokens - out)))
+    """The tokens' runs of letters; the pattern is run only on tokens that have something else within."""
+    bare = {t.strip(_EDGES) for t in tokens}
+    out = {w for w in bare if w.isalpha()}
+    out.update(_WORD.findall(" ".join(bare - out)))
     return out
 
 
