@@ -13,23 +13,31 @@ some segment with units the two differ in fewer than v windows: they are equal (
 one deletion on one side (v = 2). So equal segments and one-deletion neighbourhoods are indexed, and
 each set buys its units where they cost least, by counted frequencies of keys and windows for its size.
 
-Short keys often match by chance, so every set travels with a 320-bit parity sketch, whose number of
-differing bits never exceeds the number of differing windows: chance matches die before they leave the
-task. Sets whose segments hold too few units (tiny or repetitive ones) use the finest partition, one
+A segment of at most three windows travels as one row of 4 + 2 bytes; its key and those of its deletions are
+made where rows meet, all rows of a 7-base word in one task.
+
+Short keys often match by chance, so every set has a 320-bit parity sketch, whose number of differing bits
+never exceeds the number of differing windows: chance matches die before they leave the task. Sketches are
+written to the shared folder once, by the tasks that make the rows, and each task reads those of its sets (where Python
+cannot open that folder, they travel with the rows). Sets whose segments hold too few units (tiny or repetitive ones) use the finest partition, one
 window a segment. All candidates are verified exactly.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import pyarrow.feather
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import checkpoint_dir, dropped, stored
 from .codes import flat, mix, runs_below
 
 K = 9
@@ -38,10 +46,10 @@ UNIVERSE = 1 << SHIFT
 WORD = 7
 SKETCH = 5  # 64-bit words of the parity sketch
 BLOCK = 1 << 20
-BUNDLE = 1 << 13  # most sets whose rows for one partition travel together
+BUNDLE = 1 << 12  # most sets whose rows for one partition travel together
 BATCH_BYTES = 1 << 26
 PARTITION_ROWS = 1 << 22  # rows that a task holds, at 16 bytes each and 52 more for each of their sets
-SALT_ROWS = 1 << 21  # a key that may have more rows is split
+SALT_ROWS = 1 << 21  # a key, or the segments of a word, that may have more rows are split
 SHORT = 40
 HOT_SHARE = 64  # a window in more than 1 of 64 sets makes its keys expensive
 
@@ -56,12 +64,30 @@ def allowed_difference(s, l):  # noqa: E741
 RANKS = [7, 4, 1, 3, 12, 10, 0, 14, 13, 11, 15, 8, 9, 5, 2, 6]
 
 
+def _places() -> np.ndarray:
+    t = np.arange(UNIVERSE, dtype=np.uint64)
+    pairs = np.stack([t >> np.uint64(SHIFT - 4 - 2 * i) & np.uint64(15) for i in range(K - 1)]).astype(np.int64)
+    return np.array(RANKS)[pairs].argmin(axis=0) % (K - WORD + 1)
+
+
 def segment_table() -> np.ndarray:
     """Segment of every window: one of its three 7-base words, chosen by the place (modulo 3) of its lowest-ranked pair of bases."""
     t = np.arange(UNIVERSE, dtype=np.uint64)
-    pairs = np.stack([t >> np.uint64(SHIFT - 4 - 2 * i) & np.uint64(15) for i in range(K - 1)]).astype(np.int64)
-    place = np.array(RANKS)[pairs].argmin(axis=0) % (K - WORD + 1)
-    return t >> (2 * (K - WORD - place)).astype(np.uint64) & np.uint64((1 << 2 * WORD) - 1)
+    return t >> (2 * (K - WORD - _places())).astype(np.uint64) & np.uint64((1 << 2 * WORD) - 1)
+
+
+def code_table() -> np.ndarray:
+    """Six bits that tell a window from the others of its segment: the place of the word and the two bases beside it."""
+    t, place = np.arange(UNIVERSE), _places()
+    behind = 2 * (K - WORD - place)
+    return (place << 4 | t >> (2 * WORD + behind) << behind | t & ((1 << behind) - 1)).astype(np.uint32)
+
+
+def window_table() -> np.ndarray:
+    """The window at 64 times its segment plus its code."""
+    out = np.zeros(64 << 2 * WORD, np.int64)
+    out[segment_table().astype(np.int64) << 6 | code_table()] = np.arange(UNIVERSE)
+    return out
 
 
 class Sets:
@@ -93,6 +119,7 @@ class Sets:
         self.seg_start = np.flatnonzero(new)
         self.z = np.diff(np.r_[self.seg_start, len(packed)])
         self.seg_owner = self.owner[self.seg_start]
+        self.word = (packed[self.seg_start] >> np.uint64(SHIFT) & np.uint64((1 << 2 * WORD) - 1)).astype(np.int64)
 
     def need(self) -> np.ndarray:
         return allowed_difference(self.size, self.size) + 1
@@ -115,7 +142,7 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
     for b in stream:
         ids, texts = b.column("set_id").to_numpy(), b.column("seq").to_pylist()
         sizes = np.cumsum([len(t) for t in texts])
-        edges = np.flatnonzero(np.diff(sizes // BLOCK, prepend=0))
+        edges = np.union1d(np.flatnonzero(np.diff(sizes // BLOCK, prepend=0)), np.flatnonzero(np.diff(ids) != 1) + 1)  # numbers of a block follow each other
         for s, e in zip([0, *edges], [*edges, len(texts)]):
             if e > s:
                 yield ids[s:e], texts[s:e]
@@ -169,6 +196,7 @@ def _probed(n: np.ndarray):
 
 # What a row of a key does: it only probes, it does both (with two units or one), or it is only indexed.
 PROBE, BOTH2, BOTH1, INDEX = 0, 1, 2, 3
+DELETED, SEGMENT = 4, 8  # a key with one window deleted; a segment's windows and its units instead of a key and a role
 _BUNDLE = "part INT, keys BINARY, roles BINARY, ids BINARY, sizes BINARY, sketches BINARY"
 
 
@@ -211,95 +239,184 @@ def _rarest(s: Sets, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rarest, left
 
 
-def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, parts: int):
+def _salted(rows: list[np.ndarray], salts: np.ndarray, home: np.ndarray, again: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows with a salt each: the home one, and for rows that probe (``again``) all others as well."""
+    home = (mix(home.astype(np.uint64), 53) % salts.astype(np.uint64)).astype(np.int64)
+    many = np.flatnonzero((salts > 1) & again)
+    at = np.repeat(many, salts[many])
+    salt = np.arange(len(at)) - np.repeat(np.cumsum(salts[many]) - salts[many], salts[many])
+    at, salt = at[salt != home[at]], salt[salt != home[at]]
+    return [np.r_[r, r[at]] for r in rows], np.r_[home, salt]
+
+
+def _segment_rows(s: Sets, v: np.ndarray, ids: np.ndarray, h: np.ndarray, codes: np.ndarray, word_rows: np.ndarray) -> tuple:
+    """(key, word of owner and flags, number that gives the partition) of all segments. Rows of one word meet in one partition, or in one a salt."""
+    small = np.flatnonzero(s.z <= 3)
+    first, last = s.seg_start[small], s.seg_start[small] + s.z[small] - 1
+    middle = np.minimum(first + 1, last)
+    key = (s.word[small] << 18).astype(np.uint32) | codes[s.token[first]] << 12 | codes[s.token[middle]] << 6 | codes[s.token[last]]
+    total = np.add.reduceat(h, s.seg_start)
+    large = np.flatnonzero(s.z > 3)
+    less = np.flatnonzero(s.z[s.seg] > 3)  # each of their windows deleted once
+    units = np.array([INDEX, BOTH1, BOTH2])
+    hashed = mix(np.r_[total[large], total[s.seg[less]] - h[less]], 41)
+    key = np.r_[key, (hashed & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
+    seg = np.r_[small, large, s.seg[less]]
+    flags = np.r_[SEGMENT | v[small], units[v[large]], DELETED | np.where(v[s.seg[less]] == 2, BOTH2, INDEX)]
+    owner, word = s.seg_owner[seg], s.word[seg]
+    (key, owner, flags, word), salt = _salted([key, owner, flags, word], 1 + word_rows[word] // SALT_ROWS, ids[owner], v[seg] > 0)
+    return key, owner, flags, mix((word << 32 | salt).astype(np.uint64), 59)
+
+
+def _window_rows(s: Sets, n: np.ndarray, deep: np.ndarray, probed: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple:
+    """The same of single windows, the finest partition: ``deep`` ones probe for sets that lack units; the windows probed with are indexed for all sets."""
+    at = np.r_[deep, np.flatnonzero(probed[s.token])]
+    flags = np.r_[np.full(len(deep), PROBE), np.full(len(at) - len(deep), INDEX)]
+    hashed, owner = mix(h[at] + np.uint64(1), 41), s.owner[at]
+    (hashed, owner, flags), salt = _salted([hashed, owner, flags], 1 + n[s.token[at]] // SALT_ROWS, ids[owner], flags == PROBE)
+    return (hashed & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner, flags, mix(hashed + salt.astype(np.uint64), 59)
+
+
+def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, parts: int, folder: str | None = None):
     """Index and probe rows of all sets, bundled by block of at most BUNDLE sets and partition of the keys.
 
-    A bundle has number, size and sketch (52 bytes) of each of the sets that have rows in it, once, and 4 + 2
-    bytes a row: at most 58 bytes a row, however many partitions there are. Keys are cut to 32 bits within
-    their partition: equal keys by chance are no matter, since sketches are compared anyway.
+    A bundle has 4 + 2 bytes a row and the number of its first set; sizes and sketches go to ``folder``. Without one it has
+    number, size and sketch (52 bytes) of each of the sets that have rows in it, once: at most 58 bytes a row, however many
+    partitions there are. Keys are cut to 32 bits: equal keys by chance are no matter, since sketches are compared anyway.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, pick = segment_table(), _fallback_tokens(n)
-        units = np.array([INDEX, BOTH1, BOTH2])
+        segments, codes, pick = segment_table(), code_table(), _fallback_tokens(n)
+        word_rows = np.bincount(segments.astype(np.int64), n, 1 << 2 * WORD).astype(np.int64)
+        kept = []
         for ids, texts in _blocks(stream):
             s = Sets(texts, segments)
             if not len(s.token):
                 continue
             h = mix(s.token.astype(np.uint64), 31)
-            total, v, sketch = np.add.reduceat(h, s.seg_start), _purchases(s, n, alone, n_sets), s.sketches()
-            rarest, left = _rarest(s, n)
-            cut_one = np.flatnonzero(s.z[s.seg] >= 3)  # what is left keeps two windows or more
-            left_one = np.flatnonzero((s.z[s.seg] == 2) & (v[s.seg] == 2))  # what is left only probes
-            deep = pick(s)  # the finest partition, for sets that lack units; their windows are indexed for all sets
-            known = np.flatnonzero(probed[s.token])
-            groups = [  # key, owner, role, deletion or not, upper bound of the key's rows: a function of the key
-                (total, s.seg_owner, units[v], 0, rarest),
-                (total[s.seg[cut_one]] - h[cut_one], s.owner[cut_one], np.where(v[s.seg[cut_one]] == 2, BOTH2, INDEX), 4, left[cut_one]),
-                (total[s.seg[left_one]] - h[left_one], s.owner[left_one], np.full(len(left_one), PROBE), 4, left[left_one]),
-                (h[deep] + np.uint64(1), s.owner[deep], np.full(len(deep), PROBE), 0, n[s.token[deep]]),
-                (h[known] + np.uint64(1), s.owner[known], np.full(len(known), INDEX), 0, n[s.token[known]]),
-            ]
-            key, owner, role = (np.concatenate([g[i] for g in groups]) for i in range(3))
-            deleted = np.concatenate([np.full(len(g[0]), g[3]) for g in groups])
-            salts = 1 + np.concatenate([g[4] for g in groups]) // SALT_ROWS
-            key = mix(key, 41)
-            many = np.flatnonzero(salts > 1)
-            if len(many):  # rows of a very frequent key: indexed under one of its salts, probing under all of them
-                home = (mix(ids[owner[many]].astype(np.uint64), 53) % salts[many].astype(np.uint64)).astype(np.int64)
-                again = np.flatnonzero(role[many] != INDEX)
-                at = np.repeat(again, salts[many[again]])
-                first = np.cumsum(salts[many[again]]) - salts[many[again]]
-                salt = np.arange(len(at)) - np.repeat(first, salts[many[again]])
-                at, salt = at[salt != home[at]], salt[salt != home[at]]
-                more_key = mix(key[many[at]] + salt.astype(np.uint64), 59)
-                key[many] = mix(key[many] + home.astype(np.uint64), 59)
-                key, owner = np.r_[key, more_key], np.r_[owner, owner[many[at]]]
-                role, deleted = np.r_[role, role[many[at]]], np.r_[deleted, deleted[many[at]]]
-            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            where = owner // BUNDLE * parts + part
-            order = np.lexsort((owner, where))
+            v, sketch = _purchases(s, n, alone, n_sets), s.sketches()
+            groups = _segment_rows(s, v, ids, h, codes, word_rows), _window_rows(s, n, pick(s), probed, ids, h)
+            key, owner, flags, spot = (np.concatenate(x) for x in zip(*groups))
+            where = owner // BUNDLE * parts + (spot % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(where * len(ids) + owner, kind="stable")
             where, owner = where[order], owner[order]
             edges = np.r_[0, np.flatnonzero(where[1:] != where[:-1]) + 1, len(where)]
-            first = np.r_[True, (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]  # of each set in each bundle
-            sets, nth = owner[first], np.cumsum(first) - 1
-            set_edges = np.r_[nth[edges[:-1]], len(sets)]
-            local = nth - np.repeat(set_edges[:-1], np.diff(edges))
-            word = (local << 3 | (deleted | role)[order]).astype(np.uint16)
-            key, at = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), where[edges[:-1]] % parts
-            size = np.cumsum(np.diff(edges) * 6 + np.diff(set_edges) * (12 + 8 * SKETCH))
+            if folder:
+                kept.append((ids, s.size.astype(np.int32), sketch))
+                sets, set_edges, local = where[edges[:-1]] // parts * BUNDLE, np.arange(len(edges)), owner % BUNDLE
+            else:
+                first = np.r_[True, (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]  # of each set in each bundle
+                sets, nth = owner[first], np.cumsum(first) - 1
+                set_edges = np.r_[nth[edges[:-1]], len(sets)]
+                local = nth - np.repeat(set_edges[:-1], np.diff(edges))
+            word = (local << 4 | flags[order]).astype(np.uint16)
+            key, at = key[order], where[edges[:-1]] % parts
+            carried = 0 if folder else 1
+            size = np.cumsum(np.diff(edges) * 6 + np.diff(set_edges) * (8 + carried * (4 + 8 * SKETCH)))
             splits = np.flatnonzero(np.diff(size // BATCH_BYTES, prepend=0))
             for x, y in zip([0, *splits], [*splits, len(at)]):
                 if y > x:
                     e, g = edges[x : y + 1], set_edges[x : y + 1]
                     held = sets[g[0] : g[-1]]
+                    there = held[: carried * len(held)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(at[x:y].astype(np.int32)), _binary(key[e[0] : e[-1]], e - e[0]), _binary(word[e[0] : e[-1]], e - e[0]), _binary(ids[held].astype(np.int64), g - g[0]),
-                         _binary(s.size[held].astype(np.int32), g - g[0]), _binary(sketch[held].ravel(), (g - g[0]) * SKETCH)],
+                         _binary(s.size[there].astype(np.int32), (g - g[0]) * carried), _binary(sketch[there].ravel(), (g - g[0]) * SKETCH * carried)],
                         names=["part", "keys", "roles", "ids", "sizes", "sketches"],
                     )
+        if kept:
+            _keep_sketches(folder, kept)
 
     return run
 
 
+def _keep_sketches(folder: str, kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """A task's sketches (52 bytes a set) as one file; it appears whole, and a repeated task puts the same in its place."""
+    ids, size, sketch = (np.concatenate(x) for x in zip(*kept))
+    order = np.argsort(ids)
+    words = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * SKETCH), len(ids), [None, pa.py_buffer(np.ascontiguousarray(sketch[order]))])
+    table = pa.table({"id": ids[order].astype(np.int64), "size": size[order], "sketch": words})
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path)
+    written = f"{path}/.{uuid.uuid4()}"
+    with fs.open_output_stream(written) as out:
+        pa.feather.write_feather(table, out, compression="lz4")
+    task = TaskContext.get()
+    fs.move(written, f"{path}/{task.partitionId() if task else 0}.arrow")
+
+
+def _sketches_of(ids: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and sketches of the sets with these sorted numbers."""
+    size, sketch, n = np.zeros(len(ids), np.int32), np.zeros((len(ids), SKETCH), np.uint64), 0
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    for info in fs.get_file_info(pa.fs.FileSelector(path)):
+        if info.base_name.startswith("."):
+            continue
+        with fs.open_input_file(info.path) as f, pa.ipc.open_file(f) as parts:
+            for i in range(parts.num_record_batches):
+                b = parts.get_batch(i)
+                there = b.column("id").to_numpy()
+                lo, hi = np.searchsorted(ids, [there[0], there[-1]], side="left") + [0, 1]
+                at = np.searchsorted(there, ids[lo:hi])
+                hit = np.flatnonzero(there[np.minimum(at, len(there) - 1)] == ids[lo:hi])
+                words = b.column("sketch")
+                words = np.frombuffer(words.buffers()[1], np.uint64).reshape(-1, SKETCH)[words.offset : words.offset + len(words)]
+                size[lo + hit], sketch[lo + hit] = b.column("size").to_numpy()[at[hit]], words[at[hit]]
+                n += len(hit)
+    if n != len(ids):
+        raise RuntimeError(f"sketches of {len(ids) - n} of {len(ids)} sets are missing or double in {folder}")
+    return size, sketch
+
+
+def _expanded(key: np.ndarray, units: np.ndarray, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, key, flags) of the keys of segments that travelled as their windows: whole ones, then those with one window deleted."""
+    word = (key >> np.uint32(18)).astype(np.int64) << 6
+    codes = [(key >> np.uint32(s)).astype(np.int64) & 63 for s in (12, 6, 0)]
+    z = 1 + (codes[0] != codes[1]).astype(np.int64) + (codes[1] != codes[2])
+    h = [mix(windows[word | c].astype(np.uint64), 31) for c in codes]
+    low = lambda total: (mix(total, 41) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    total = h[0] + np.where(z > 1, h[1], np.uint64(0)) + np.where(z > 2, h[2], np.uint64(0))
+    yield np.arange(len(key)), low(total), np.array([INDEX, BOTH1, BOTH2])[units]
+    for z_of, at in ((3, np.flatnonzero(z == 3)), (2, np.flatnonzero((z == 2) & (units == 2)))):  # what is left of two windows only probes
+        for x in h[:z_of]:
+            flags = np.where(units[at] == 2, BOTH2, INDEX) if z_of == 3 else np.full(len(at), PROBE)
+            yield at, low(total[at] - x[at]), DELETED | flags
+
+
 class _Part:
     """All rows of a partition, sorted by key and, within a key, by the sets' size and number."""
 
-    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+    def __init__(self, batches: list[pa.RecordBatch], folder: str | None = None) -> None:
         def joined(name: str, kind: type) -> np.ndarray:
             return np.concatenate([np.frombuffer(b"".join(b.column(name).to_pylist()), kind) for b in batches])
 
         rows = np.concatenate([pc.binary_length(b.column("keys")).to_numpy() for b in batches]) // 4
-        sets = np.concatenate([pc.binary_length(b.column("ids")).to_numpy() for b in batches]) // 8
-        ids, size, sketch = joined("ids", np.int64), joined("sizes", np.int32), joined("sketches", np.uint64).reshape(-1, SKETCH)
-        word = joined("roles", np.uint16)
-        owner = np.repeat(np.cumsum(sets) - sets, rows) + (word >> 3)
+        ids, word, key = joined("ids", np.int64), joined("roles", np.uint16), joined("keys", np.uint32)
+        if folder:
+            ids, owner = np.unique(np.repeat(ids, rows) + (word >> 4), return_inverse=True)
+            size, sketch = _sketches_of(ids, folder)
+        else:
+            sets = np.concatenate([pc.binary_length(b.column("ids")).to_numpy() for b in batches]) // 8
+            owner = np.repeat(np.cumsum(sets) - sets, rows) + (word >> 4)
+            size, sketch = joined("sizes", np.int32), joined("sketches", np.uint64).reshape(-1, SKETCH)
         order = np.lexsort((ids, size))
         rank = np.empty(len(ids), np.uint64)
         rank[order] = np.arange(len(ids), dtype=np.uint64)
         self.ids, self.size, self.sketch = ids[order], size[order], np.ascontiguousarray(sketch[order])
-        flags = word.astype(np.uint64)
-        row = joined("keys", np.uint32).astype(np.uint64) << np.uint64(32) | (flags & np.uint64(4)) << np.uint64(29) | rank[owner] << np.uint64(2) | flags & np.uint64(3)
+        rank = rank[owner]
+
+        def packed(key: np.ndarray, rank: np.ndarray, flags: np.ndarray) -> np.ndarray:
+            flags = flags.astype(np.uint64)
+            return key.astype(np.uint64) << np.uint64(32) | (flags & np.uint64(DELETED)) << np.uint64(29) | rank << np.uint64(2) | flags & np.uint64(3)
+
+        flags = word & 15
+        plain, whole, windows = np.flatnonzero(flags < SEGMENT), np.flatnonzero(flags >= SEGMENT), window_table()
+        pieces = [packed(key[plain], rank[plain], flags[plain])]
+        for k in range(0, len(whole), BLOCK):
+            at = whole[k : k + BLOCK]
+            pieces += [packed(x, rank[at[i]], f) for i, x, f in _expanded(key[at], flags[at] & 3, windows)]
+        row = np.concatenate(pieces)
+        del pieces
         row.sort()
         key = row >> np.uint64(32)
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -355,21 +472,25 @@ class _Part:
                     yield self._found(k + i[later], k + j[later], True)
 
 
-def _meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition. The number of partitions follows the number of rows, and salts bound a key's rows."""
-    batches = [b for b in stream if b.num_rows]
-    if not batches:
-        return
-    part = _Part(batches)
-    found, held, n = np.zeros(0, np.int64), [], 0
-    for p in part.pairs():
-        held.append(p)
-        n += len(p)
-        if n > BLOCK:
-            found, held, n = np.unique(np.concatenate([found, *held])), [], 0
-    found = np.unique(np.concatenate([found, *held]))
-    if len(found):
-        yield pa.RecordBatch.from_arrays([pa.array(part.ids[found >> 32]), pa.array(part.ids[found & 0xFFFFFFFF])], names=["a", "b"])
+def _meet(folder: str | None):
+    """Candidate pairs of a partition. The number of partitions follows the number of rows, and salts bound the rows of a key or word."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in stream if b.num_rows]
+        if not batches:
+            return
+        part = _Part(batches, folder)
+        found, held, n = np.zeros(0, np.int64), [], 0
+        for p in part.pairs():
+            held.append(p)
+            n += len(p)
+            if n > BLOCK:
+                found, held, n = np.unique(np.concatenate([found, *held])), [], 0
+        found = np.unique(np.concatenate([found, *held]))
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(part.ids[found >> 32]), pa.array(part.ids[found & 0xFFFFFFFF])], names=["a", "b"])
+
+    return run
 
 
 def _verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,17 +510,53 @@ def _verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def number_sequences(sequences: DataFrame) -> DataFrame:
-    """(set_id, seq): distinct non-null sequences of 9 letters or more, numbered 0, 1, 2 ... without gaps; written out once."""
-    texts = sequences.where(F.length("seq") >= K).select("seq").distinct()
-    raw = cut(texts.select("seq", F.monotonically_increasing_id().alias("i")))
-    part = F.shiftright("i", 33).cast("int")
-    counts = {r[0]: r[1] for r in raw.groupBy(part).count().collect()}  # one row a partition
+def _numbered(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by text and read: each read once a text, the place of the text in the partition, and the text itself in its first row only."""
+    part, i, text, read = TaskContext.get().partitionId(), -1, None, None
+    for b in stream:
+        if not b.num_rows:
+            continue
+        seq, reads = b.column("seq"), b.column("read_id")
+        new = np.r_[seq[0].as_py() != text, pc.not_equal(seq[1:], seq[:-1]).to_numpy(zero_copy_only=False)]
+        other = np.r_[reads[0].as_py() != read, pc.not_equal(reads[1:], reads[:-1]).to_numpy(zero_copy_only=False)]
+        place = i + np.cumsum(new)
+        i, text, read = int(place[-1]), seq[-1].as_py(), reads[-1].as_py()
+        own = pc.if_else(pa.array(new), seq, pa.scalar(None, seq.type))
+        kept = pa.RecordBatch.from_arrays([pa.array(np.full(len(new), part, np.int32)), pa.array(place), reads, b.column("whole"), own], names=["part", "i", "read_id", "whole", "seq"])
+        yield kept.filter(pa.array(new | other))
+
+
+def number_members(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(read_id, set_id, whole) and (set_id, seq) of ``texts(read_id, seq)``: distinct non-null texts of 9 letters or more,
+    numbered 0, 1, 2 ... without gaps, and the reads that have them (whole: the text has a window without non-bases).
+
+    Texts are shuffled once and written out once.
+    """
+    rows = texts.where((F.length("seq") >= K) & F.col("read_id").isNotNull()).select("read_id", F.col("seq").rlike("[ACGT]{9}").alias("whole"), "seq")
+    rows = rows.repartition("seq").sortWithinPartitions("seq", "read_id")
+    raw = stored(rows.mapInArrow(_numbered, "part INT, i BIGINT, read_id BIGINT, whole BOOLEAN, seq STRING"))
+    counts = {r[0]: r[1] + 1 for r in raw.groupBy("part").agg(F.max("i")).collect()}  # one row a partition
     offsets = [0]
     for p in range(max(counts, default=0)):
         offsets.append(offsets[-1] + counts.get(p, 0))
-    offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), part + 1)
-    return raw.select((offset + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))).alias("set_id"), "seq")
+    offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("part") + 1)
+    numbered = raw.select("read_id", (offset + F.col("i")).alias("set_id"), "whole", "seq")
+    return numbered.select("read_id", "set_id", "whole"), numbered.where(F.col("seq").isNotNull()).select("set_id", "seq")
+
+
+def number_sequences(sequences: DataFrame) -> DataFrame:
+    """(set_id, seq): distinct non-null sequences of 9 letters or more, numbered 0, 1, 2 ... without gaps; written out once."""
+    return number_members(sequences.select(F.lit(0).cast("bigint").alias("read_id"), "seq"))[1]
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    """A new folder below the shared one, if Python can open it there."""
+    folder = f"{checkpoint_dir(spark)}/sketches-{uuid.uuid4()}"
+    try:
+        pa.fs.FileSystem.from_uri(folder)
+    except (pa.ArrowException, OSError):
+        return None
+    return folder
 
 
 def similar_pairs(numbered: DataFrame) -> DataFrame:
@@ -423,8 +580,11 @@ def similar_pairs(numbered: DataFrame) -> DataFrame:
         probed[at] = True
     # a set has about as many rows as windows
     parts = max(1, -(-int(n.sum() * 1.3) // PARTITION_ROWS), int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = numbered.mapInArrow(_rows(n, alone, n_sets, probed, parts), _BUNDLE)
-    pairs = rows.repartitionById(parts, F.col("part")).mapInArrow(_meet, "a BIGINT, b BIGINT").distinct()
+    folder = _shared_folder(numbered.sparkSession)
+    rows = numbered.mapInArrow(_rows(n, alone, n_sets, probed, parts, folder), _BUNDLE)
+    pairs = stored(rows.repartitionById(parts, F.col("part")).mapInArrow(_meet(folder), "a BIGINT, b BIGINT").distinct())
+    if folder:
+        dropped(numbered.sparkSession, folder)
     one = numbered.select(F.col("set_id").alias("a"), F.col("seq").alias("seq_a"))
     two = numbered.select(F.col("set_id").alias("b"), F.col("seq").alias("seq_b"))
     texts = pairs.join(one, "a").join(two, "b").select("a", "b", "seq_a", "seq_b")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.traverse import connected_components
-from ..session import checkpoint_dir, cut, table
+from ..session import checkpoint_dir, cut, dropped_table, stored, table
 from . import color_sets, distinct, kmer_rows, leak, near_dup, overlap, packing, seen, sentences, spans, topk
 
 TOP = 20
@@ -25,7 +25,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, d: str) -> DataFrame:
-    """(read_id, seq): the distinct texts of the occurrences of every read, in bases.
+    """(read_id, seq): the texts of the occurrences of every read, in bases; unchanged ones once.
 
     A read's occurrences without rows in mismatches equal the read; void and repeated rows of mismatches
     are ignored, and of two letters for one place the later in the alphabet counts.
@@ -38,16 +38,18 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
     # one occurrence's changes: bounded by the read's length
     changes = real.groupBy("read_id", "id_read").agg(F.first("read").alias("read"), F.array_sort(F.collect_list(F.struct("position", "ch"))).alias("subs"))
     put = F.aggregate("subs", F.col("read"), lambda text, s: F.overlay(text, s["ch"], s["position"] + 1, F.lit(1)))
-    changed = cut(changes.select("read_id", put.alias("seq")))
+    changed = stored(changes.select("read_id", put.alias("seq")))
     counts = changed.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
     plain = all_.join(counts, "read_id", "left").where(F.coalesce("n", F.lit(0)) < F.col("occ_count")).select("read_id", F.col("read").alias("seq"))
-    return cut(changed.unionByName(plain).distinct())
+    texts = stored(changed.unionByName(plain))
+    dropped_table(changed)
+    return texts
 
 
 def _similar(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(read_id, set_id, whole) of all reads' occurrences (whether the text has a window without non-bases), and the similar pairs of sets."""
-    numbered = near_dup.number_sequences(texts)
-    members = texts.join(numbered, "seq").select("read_id", "set_id", F.col("seq").rlike("[ACGT]{9}").alias("whole"))
+    members, numbered = near_dup.number_members(texts)
+    dropped_table(texts)
     return members, near_dup.similar_pairs(numbered)
 
 
