@@ -13,8 +13,8 @@ some segment with units the two differ in fewer than v windows: they are equal (
 one deletion on one side (v = 2). So equal segments and one-deletion neighbourhoods are indexed, and
 each set buys its units where they cost least, by counted frequencies of keys and windows for its size.
 
-A segment of at most three windows travels as one row of 4 + 2 bytes; its key and those of its deletions are
-made where rows meet, all rows of a 7-base word in one task.
+A segment of at most three windows travels as one row, of some 4 bytes when compressed; its key and those of its
+deletions are made where rows meet, all rows of a 7-base word in one task.
 
 Short keys often match by chance, so every set has a 320-bit parity sketch, whose number of differing bits
 never exceeds the number of differing windows: chance matches die before they leave the task. Sketches are
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, dropped, stored
+from ..session import checkpoint_dir, dropped, dropped_table, stored
 from .codes import flat, mix, runs_below
 
 K = 9
@@ -47,6 +47,7 @@ WORD = 7
 SKETCH = 5  # 64-bit words of the parity sketch
 BLOCK = 1 << 20
 BUNDLE = 1 << 12  # most sets whose rows for one partition travel together
+GROUP = 1 << 15  # sets whose rows are sorted and compressed together
 BATCH_BYTES = 1 << 26
 PARTITION_ROWS = 1 << 22  # rows that a task holds, at 16 bytes each and 52 more for each of their sets
 SALT_ROWS = 1 << 21  # a key, or the segments of a word, that may have more rows are split
@@ -142,7 +143,7 @@ def _blocks(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
     for b in stream:
         ids, texts = b.column("set_id").to_numpy(), b.column("seq").to_pylist()
         sizes = np.cumsum([len(t) for t in texts])
-        edges = np.union1d(np.flatnonzero(np.diff(sizes // BLOCK, prepend=0)), np.flatnonzero(np.diff(ids) != 1) + 1)  # numbers of a block follow each other
+        edges = np.flatnonzero(np.diff(sizes // BLOCK, prepend=0))
         for s, e in zip([0, *edges], [*edges, len(texts)]):
             if e > s:
                 yield ids[s:e], texts[s:e]
@@ -249,12 +250,33 @@ def _salted(rows: list[np.ndarray], salts: np.ndarray, home: np.ndarray, again:
     return [np.r_[r, r[at]] for r in rows], np.r_[home, salt]
 
 
+def _beside(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bases beside the word in the middle one of three neighbouring windows, as its neighbours have them."""
+    return (high & 3) << 2 | low >> 2 & 3
+
+
+def _segment_key(word: np.ndarray, z: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """32 bits that tell a segment and its windows, of codes a, b and c (a is c if z is 1, b is c if z is at most 2).
+
+    Laid out for compression byte by byte: what the middle window has in common with its neighbours is left out.
+    """
+    low, high = np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c)
+    middle = np.where(z == 3, a + b + c - low - high, high) ^ _beside(low, high)
+    return (word << 18 | middle >> 4 << 16 | (middle & 15) << 12 | (low & 15) << 8 | low >> 4 << 6 | high).astype(np.uint32)
+
+
+def _segment_windows(key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Word and codes that a segment's 32 bits were made of: three codes, of which the last ones are equal if the segment has fewer."""
+    key = key.astype(np.int64)
+    high, low = key & 63, (key >> 6 & 3) << 4 | key >> 8 & 15
+    return key >> 18, [low, ((key >> 16 & 3) << 4 | key >> 12 & 15) ^ _beside(low, high), high]
+
+
 def _segment_rows(s: Sets, v: np.ndarray, ids: np.ndarray, h: np.ndarray, codes: np.ndarray, word_rows: np.ndarray) -> tuple:
     """(key, word of owner and flags, number that gives the partition) of all segments. Rows of one word meet in one partition, or in one a salt."""
     small = np.flatnonzero(s.z <= 3)
     first, last = s.seg_start[small], s.seg_start[small] + s.z[small] - 1
-    middle = np.minimum(first + 1, last)
-    key = (s.word[small] << 18).astype(np.uint32) | codes[s.token[first]] << 12 | codes[s.token[middle]] << 6 | codes[s.token[last]]
+    key = _segment_key(s.word[small], s.z[small], *(codes[s.token[x]] for x in (first, np.minimum(first + 1, last), last)))
     total = np.add.reduceat(h, s.seg_start)
     large = np.flatnonzero(s.z > 3)
     less = np.flatnonzero(s.z[s.seg] > 3)  # each of their windows deleted once
@@ -278,17 +300,15 @@ def _window_rows(s: Sets, n: np.ndarray, deep: np.ndarray, probed: np.ndarray, i
 
 
 def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, parts: int, folder: str | None = None):
-    """Index and probe rows of all sets, bundled by block of at most BUNDLE sets and partition of the keys.
-
-    A bundle has 4 + 2 bytes a row and the number of its first set; sizes and sketches go to ``folder``. Without one it has
-    number, size and sketch (52 bytes) of each of the sets that have rows in it, once: at most 58 bytes a row, however many
-    partitions there are. Keys are cut to 32 bits: equal keys by chance are no matter, since sketches are compared anyway.
+    """Index and probe rows of all sets, bundled by partition of the keys: with a ``folder`` as :func:`_compressed`, the sketches
+    being written there, else as :func:`_carried`. Keys are cut to 32 bits: equal keys by chance are no matter, since sketches
+    are compared anyway.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, codes, pick = segment_table(), code_table(), _fallback_tokens(n)
         word_rows = np.bincount(segments.astype(np.int64), n, 1 << 2 * WORD).astype(np.int64)
-        kept = []
+        sketches, rows, held = [], [], 0
         for ids, texts in _blocks(stream):
             s = Sets(texts, segments)
             if not len(s.token):
@@ -297,39 +317,85 @@ def _rows(n: np.ndarray, alone: np.ndarray, n_sets: int, probed: np.ndarray, par
             v, sketch = _purchases(s, n, alone, n_sets), s.sketches()
             groups = _segment_rows(s, v, ids, h, codes, word_rows), _window_rows(s, n, pick(s), probed, ids, h)
             key, owner, flags, spot = (np.concatenate(x) for x in zip(*groups))
-            where = owner // BUNDLE * parts + (spot % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(where * len(ids) + owner, kind="stable")
-            where, owner = where[order], owner[order]
-            edges = np.r_[0, np.flatnonzero(where[1:] != where[:-1]) + 1, len(where)]
-            if folder:
-                kept.append((ids, s.size.astype(np.int32), sketch))
-                sets, set_edges, local = where[edges[:-1]] // parts * BUNDLE, np.arange(len(edges)), owner % BUNDLE
-            else:
-                first = np.r_[True, (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]  # of each set in each bundle
-                sets, nth = owner[first], np.cumsum(first) - 1
-                set_edges = np.r_[nth[edges[:-1]], len(sets)]
-                local = nth - np.repeat(set_edges[:-1], np.diff(edges))
-            word = (local << 4 | flags[order]).astype(np.uint16)
-            key, at = key[order], where[edges[:-1]] % parts
-            carried = 0 if folder else 1
-            size = np.cumsum(np.diff(edges) * 6 + np.diff(set_edges) * (8 + carried * (4 + 8 * SKETCH)))
-            splits = np.flatnonzero(np.diff(size // BATCH_BYTES, prepend=0))
-            for x, y in zip([0, *splits], [*splits, len(at)]):
-                if y > x:
-                    e, g = edges[x : y + 1], set_edges[x : y + 1]
-                    held = sets[g[0] : g[-1]]
-                    there = held[: carried * len(held)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at[x:y].astype(np.int32)), _binary(key[e[0] : e[-1]], e - e[0]), _binary(word[e[0] : e[-1]], e - e[0]), _binary(ids[held].astype(np.int64), g - g[0]),
-                         _binary(s.size[there].astype(np.int32), (g - g[0]) * carried), _binary(sketch[there].ravel(), (g - g[0]) * SKETCH * carried)],
-                        names=["part", "keys", "roles", "ids", "sizes", "sketches"],
-                    )
-        if kept:
-            _keep_sketches(folder, kept)
+            part = (spot % np.uint64(parts)).astype(np.int64)
+            if not folder:
+                yield from _carried(key, owner, flags, part, parts, ids, s.size, sketch)
+                continue
+            sketches.append((ids, s.size.astype(np.int32), sketch))
+            rows.append((key, ids[owner], flags.astype(np.uint8), part, owner + held))
+            held += len(ids)
+            if held >= GROUP:
+                yield _compressed(rows)
+                rows, held = [], 0
+        if rows:
+            yield _compressed(rows)
+        if sketches:
+            _keep_sketches(folder, sketches)
 
     return run
 
 
+_NAMES = ["part", "keys", "roles", "ids", "sizes", "sketches"]
+_ROW = 4 + 8 + 1  # bytes of a key, the step from the set's number in the row before, and flags
+
+
+def _compressed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of a group of sets, a bundle each partition: sorted by set, byte by byte (all first bytes, then all second ones), compressed."""
+    key, ids, flags, part, nth = (np.concatenate(x) for x in zip(*rows))
+    order = np.argsort(part << 32 | nth)
+    key, ids, flags, part = key[order], ids[order], flags[order], part[order]
+    edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    step = np.diff(ids, prepend=0)
+    step[edges[:-1]] = 0
+    codec, parts = pa.Codec("zstd", 1), part[edges[:-1]]
+    columns = [key[:, None].view(np.uint8), step[:, None].view(np.uint8), flags[:, None]]
+    packed = [codec.compress(b"".join(c[x:y].T.tobytes() for c in columns), asbytes=True) for x, y in zip(edges, edges[1:])]
+    first = np.c_[ids[edges[:-1]], np.diff(edges)].ravel().astype(np.int64)  # number of the first set, rows
+    none = _binary(np.zeros(0, np.uint8), np.zeros(len(edges), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(packed, pa.binary()), none, _binary(first, 2 * np.arange(len(edges))), none, none], names=_NAMES)
+
+
+def _opened(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the set, flags) of compressed rows."""
+    codec, out = pa.Codec("zstd", 1), []
+    for b in batches:
+        for data, first in zip(b.column("keys").to_pylist(), b.column("ids").to_pylist()):
+            at, n = np.frombuffer(first, np.int64)
+            planes = np.frombuffer(codec.decompress(data, n * _ROW, asbytes=True), np.uint8).reshape(_ROW, n)
+            key, step = (np.ascontiguousarray(planes[x:y].T).view(kind)[:, 0] for x, y, kind in ((0, 4, np.uint32), (4, 12, np.int64)))
+            out.append((key, at + np.cumsum(step), planes[12]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _carried(key: np.ndarray, owner: np.ndarray, flags: np.ndarray, part: np.ndarray, parts: int, ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a block, a bundle for each partition and each BUNDLE sets at most.
+
+    A bundle has number, size and sketch (52 bytes) of each of the sets that have rows in it, once, and 4 + 2
+    bytes a row: at most 58 bytes a row, however many partitions there are.
+    """
+    where = owner // BUNDLE * parts + part
+    order = np.lexsort((owner, where))
+    where, owner = where[order], owner[order]
+    edges = np.r_[0, np.flatnonzero(where[1:] != where[:-1]) + 1, len(where)]
+    first = np.r_[True, (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]  # of each set in each bundle
+    sets, nth = owner[first], np.cumsum(first) - 1
+    set_edges = np.r_[nth[edges[:-1]], len(sets)]
+    local = nth - np.repeat(set_edges[:-1], np.diff(edges))
+    word = (local << 4 | flags[order]).astype(np.uint16)
+    key, at = key[order], where[edges[:-1]] % parts
+    size = np.cumsum(np.diff(edges) * 6 + np.diff(set_edges) * (12 + 8 * SKETCH))
+    splits = np.flatnonzero(np.diff(size // BATCH_BYTES, prepend=0))
+    for x, y in zip([0, *splits], [*splits, len(at)]):
+        if y > x:
+            e, g = edges[x : y + 1], set_edges[x : y + 1]
+            held = sets[g[0] : g[-1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[x:y].astype(np.int32)), _binary(key[e[0] : e[-1]], e - e[0]), _binary(word[e[0] : e[-1]], e - e[0]), _binary(ids[held].astype(np.int64), g - g[0]),
+                 _binary(sizes[held].astype(np.int32), g - g[0]), _binary(sketch[held].ravel(), (g - g[0]) * SKETCH)],
+                names=_NAMES,
+            )
+
+
 def _keep_sketches(folder: str, kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
     """A task's sketches (52 bytes a set) as one file; it appears whole, and a repeated task puts the same in its place."""
     ids, size, sketch = (np.concatenate(x) for x in zip(*kept))
@@ -370,10 +436,9 @@ def _sketches_of(ids: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _expanded(key: np.ndarray, units: np.ndarray, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place, key, flags) of the keys of segments that travelled as their windows: whole ones, then those with one window deleted."""
-    word = (key >> np.uint32(18)).astype(np.int64) << 6
-    codes = [(key >> np.uint32(s)).astype(np.int64) & 63 for s in (12, 6, 0)]
+    word, codes = _segment_windows(key)
     z = 1 + (codes[0] != codes[1]).astype(np.int64) + (codes[1] != codes[2])
-    h = [mix(windows[word | c].astype(np.uint64), 31) for c in codes]
+    h = [mix(windows[word << 6 | c].astype(np.uint64), 31) for c in codes]
     low = lambda total: (mix(total, 41) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     total = h[0] + np.where(z > 1, h[1], np.uint64(0)) + np.where(z > 2, h[2], np.uint64(0))
     yield np.arange(len(key)), low(total), np.array([INDEX, BOTH1, BOTH2])[units]
@@ -390,14 +455,15 @@ class _Part:
         def joined(name: str, kind: type) -> np.ndarray:
             return np.concatenate([np.frombuffer(b"".join(b.column(name).to_pylist()), kind) for b in batches])
 
-        rows = np.concatenate([pc.binary_length(b.column("keys")).to_numpy() for b in batches]) // 4
-        ids, word, key = joined("ids", np.int64), joined("roles", np.uint16), joined("keys", np.uint32)
         if folder:
-            ids, owner = np.unique(np.repeat(ids, rows) + (word >> 4), return_inverse=True)
+            key, ids, flags = _opened(batches)
+            ids, owner = np.unique(ids, return_inverse=True)
             size, sketch = _sketches_of(ids, folder)
         else:
+            rows = np.concatenate([pc.binary_length(b.column("keys")).to_numpy() for b in batches]) // 4
             sets = np.concatenate([pc.binary_length(b.column("ids")).to_numpy() for b in batches]) // 8
-            owner = np.repeat(np.cumsum(sets) - sets, rows) + (word >> 4)
+            ids, word, key = joined("ids", np.int64), joined("roles", np.uint16), joined("keys", np.uint32)
+            owner, flags = np.repeat(np.cumsum(sets) - sets, rows) + (word >> 4), word & 15
             size, sketch = joined("sizes", np.int32), joined("sketches", np.uint64).reshape(-1, SKETCH)
         order = np.lexsort((ids, size))
         rank = np.empty(len(ids), np.uint64)
@@ -409,7 +475,6 @@ class _Part:
             flags = flags.astype(np.uint64)
             return key.astype(np.uint64) << np.uint64(32) | (flags & np.uint64(DELETED)) << np.uint64(29) | rank << np.uint64(2) | flags & np.uint64(3)
 
-        flags = word & 15
         plain, whole, windows = np.flatnonzero(flags < SEGMENT), np.flatnonzero(flags >= SEGMENT), window_table()
         pieces = [packed(key[plain], rank[plain], flags[plain])]
         for k in range(0, len(whole), BLOCK):
@@ -488,7 +553,9 @@ def _meet(folder: str | None):
                 found, held, n = np.unique(np.concatenate([found, *held])), [], 0
         found = np.unique(np.concatenate([found, *held]))
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(part.ids[found >> 32]), pa.array(part.ids[found & 0xFFFFFFFF])], names=["a", "b"])
+            a, b = part.ids[found >> 32], part.ids[found & 0xFFFFFFFF]
+            order = np.lexsort((b, a))  # for the file that they are written to
+            yield pa.RecordBatch.from_arrays([pa.array(a[order]), pa.array(b[order])], names=["a", "b"])
 
     return run
 
@@ -567,22 +634,26 @@ def similar_pairs(numbered: DataFrame) -> DataFrame:
     once, in either order.
     """
     n, alone = np.zeros(UNIVERSE, np.int64), np.zeros(UNIVERSE, np.int64)
-    counted = numbered.mapInArrow(_frequencies, "token BIGINT, n BIGINT, alone BIGINT").groupBy("token").agg(F.sum("n"), F.sum("alone"))
+    counted = stored(numbered.mapInArrow(_frequencies, "token BIGINT, n BIGINT, alone BIGINT").groupBy("token").agg(F.sum("n"), F.sum("alone")))
     n_sets = lacking = 0
     for token, x, y in counted.collect():  # at most 4^9 + 1 rows
         if token == UNIVERSE:
             n_sets, lacking = x, y
         else:
             n[token], alone[token] = x, y
+    dropped_table(counted)
     probed = np.zeros(UNIVERSE, bool)
     if lacking:
-        at = [r[0] for r in numbered.mapInArrow(_probed(n), "token BIGINT").distinct().collect()]  # at most 4^9 rows
-        probed[at] = True
+        windows = stored(numbered.mapInArrow(_probed(n), "token BIGINT").distinct())  # at most 4^9 rows
+        probed[[r[0] for r in windows.collect()]] = True
+        dropped_table(windows)
     # a set has about as many rows as windows
     parts = max(1, -(-int(n.sum() * 1.3) // PARTITION_ROWS), int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     folder = _shared_folder(numbered.sparkSession)
     rows = numbered.mapInArrow(_rows(n, alone, n_sets, probed, parts, folder), _BUNDLE)
-    pairs = stored(rows.repartitionById(parts, F.col("part")).mapInArrow(_meet(folder), "a BIGINT, b BIGINT").distinct())
+    met = stored(rows.repartitionById(parts, F.col("part")).mapInArrow(_meet(folder), "a BIGINT, b BIGINT"))
+    pairs = stored(met.distinct())
+    dropped_table(met)
     if folder:
         dropped(numbered.sparkSession, folder)
     one = numbered.select(F.col("set_id").alias("a"), F.col("seq").alias("seq_a"))

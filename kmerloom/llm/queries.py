@@ -75,7 +75,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """
     texts = variants(spark, d)
     members, pairs = _similar(texts)
-    members, pairs = cut(members.select("read_id", "set_id")), cut(pairs.select("a", "b"))
+    members, pairs = members.select("read_id", "set_id"), stored(pairs.select("a", "b"))
     hub = members.groupBy("read_id").agg(F.min("set_id").alias("a"))
     own = members.join(hub, "read_id").select("a", F.col("set_id").alias("b"))
     groups = connected_components(pairs.unionByName(own), members.select(F.col("set_id").alias("v")).distinct())

@@ -319,7 +319,7 @@ def test_rows_of_sets_take_few_bytes(tmp_path, parts):
     batch = pa.RecordBatch.from_pydict({"set_id": list(range(len(texts))), "seq": texts})
     got = list(near_dup._rows(n, n, len(texts), np.zeros(near_dup.UNIVERSE, bool), parts, str(tmp_path))(iter([batch])))
     size = sum(len(x) for b in got for c in ("keys", "roles", "ids", "sizes", "sketches") for x in b.column(c).to_pylist())
-    assert size + sum(p.stat().st_size for p in tmp_path.iterdir()) < 460 * len(texts)
+    assert size + sum(p.stat().st_size for p in tmp_path.iterdir()) < 360 * len(texts)
     size, sketch = near_dup._sketches_of(np.array([3, 70, 3999]), str(tmp_path))
     assert (sketch == near_dup.Sets([texts[i] for i in (3, 70, 3999)], near_dup.segment_table()).sketches()).all() and (size > 130).all()
 
@@ -335,3 +335,15 @@ def test_interim_tables_are_deleted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "checkpoint_dir", lambda spark: str(tmp_path))
     assert queries.p1_found(spark, str(DATA / "sf0.001")).count() > 0
     assert len(list(tmp_path.iterdir())) == 2 and not [p for p in tmp_path.iterdir() if "sketches" in p.name]
+
+
+def test_segments_as_32_bits():
+    codes, windows, segments = near_dup.code_table().astype(np.int64), near_dup.window_table(), near_dup.segment_table().astype(np.int64)
+    assert (windows[segments << 6 | codes] == np.arange(near_dup.UNIVERSE)).all()
+    rng = random.Random(4)
+    for word in rng.sample(range(4**7), 200):
+        mine = codes[segments == word].tolist()
+        for z in range(1, min(3, len(mine)) + 1):
+            a = rng.sample(mine, z)
+            w, got = near_dup._segment_windows(near_dup._segment_key(*(np.array([x]) for x in (word, z, a[0], a[min(1, z - 1)], a[-1]))))
+            assert w[0] == word and [int(x[0]) for x in got[:z]] == sorted(a) and len({int(x[0]) for x in got}) == z
