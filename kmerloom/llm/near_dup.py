@@ -47,6 +47,7 @@ WORD = 7
 SKETCH = 5  # 64-bit words of the parity sketch
 BLOCK = 1 << 20
 BUNDLE = 1 << 12  # most sets whose rows for one partition travel together
+DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}  # sorted numbers as differences
 GROUP = 1 << 15  # sets whose rows are sorted and compressed together
 BATCH_BYTES = 1 << 26
 PARTITION_ROWS = 1 << 22  # rows that a task holds, at 16 bytes each and 52 more for each of their sets
@@ -651,7 +652,7 @@ def similar_pairs(numbered: DataFrame) -> DataFrame:
     parts = max(1, -(-int(n.sum() * 1.3) // PARTITION_ROWS), int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     folder = _shared_folder(numbered.sparkSession)
     rows = numbered.mapInArrow(_rows(n, alone, n_sets, probed, parts, folder), _BUNDLE)
-    met = stored(rows.repartitionById(parts, F.col("part")).mapInArrow(_meet(folder), "a BIGINT, b BIGINT"))
+    met = stored(rows.repartitionById(parts, F.col("part")).mapInArrow(_meet(folder), "a BIGINT, b BIGINT"), **DELTAS)
     pairs = stored(met.distinct())
     dropped_table(met)
     if folder:

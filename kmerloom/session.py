@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder as Parquet and read again; its shuffle files are deleted at once.
 
     Takes a fraction of the disk of :func:`cut`. :func:`dropped_table` deletes it when it has served.
@@ -51,7 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
     path, before = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4()}", spark.conf.get(FREE, None)
     spark.conf.set(FREE, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     return spark.read.parquet(path)
