@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 FLUSH = 300_000  # counters that a task holds before it hands them on
+TOKENS, TOKEN_LETTERS = 1 << 16, 40  # what is remembered of tokens in a process: so many, of so many letters at most
+SHORT = 10_000  # letters of a text that is searched for a word rather than taken apart
 LEXICON_WORDS = 1 << 22  # verdicts that are shipped to every task (9 bytes each); more are joined
 SURE, LETTER = 0.7, 5.0  # a word of n letters is an abbreviation if it ends fewer paragraphs than usual by a log-likelihood of SURE * LETTER**n
 
@@ -44,13 +46,17 @@ PARTNERS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“„", "“": "
 THAI_FINAL = ("หรือไม่", "ไหม", "หรือเปล่า", "ครับ", "ค่ะ")
 
 _GAP = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r\n[^\S\n]*(?:\r\n[^\S\n]*)+")
-_TERM = re.compile(r"[.!?。！？।؟…](?:(?<!\.)|(?=\.)|(?![^\W\d_A-ZÀ-ÖØ-ÞЀ-Я؀-ۿऀ-ॿ一-鿿぀-ヿ]|[\d,;:\-−–/_^]))[.!?。！？।؟…]*")
+_MARKS = "!?。！？।؟…"
+_INSIDE = r"(?![^\W\d_A-ZÀ-ÖØ-ÞЀ-Я؀-ۿऀ-ॿ一-鿿぀-ヿ]|[\d,;:\-−–/_^])"
+_TERM = re.compile(rf"[.{_MARKS}](?:(?<!\.)|(?=\.)|{_INSIDE})[.{_MARKS}]*")
+_STOP = re.compile(rf"\.(?:(?=\.)|{_INSIDE})\.*")  # _TERM where periods are the only marks: searched for a letter, not a class
+_CLOSED = re.compile(r"\.(?:[,;:](?!\S)|(?!\S|\s+[A-ZÀ-ÖØ-ÞЀ-Я]))")  # a period at the end of a token, most capitals behind it left out
 _NUMBER = re.compile(r"\s*(?:[\[［【(（][^\]］】)）\n]{0,12}\d+[^\]］】)）\n]{0,6}[\]］】)）]|\d+\s*(?:[.)．、](?!\d)|(?=\s*$)))\s*")
 _BEFORE_WORD = frozenset("([«„“\"”»（「『】]" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()))
 _WORD = re.compile(r"[^\W\d_]+")
 _INITIAL = re.compile(r"(\w)\.\s*\w$")
 _EDGES = "()[]{}«»„“”‘’\"'（）「」『』【】《》〈〉¿¡.,;:!?…"
-_MID = re.compile(r"(?<=[a-zà-ÿа-яё,;] )[A-ZÀ-ÞЀ-Я][^\W\d_]+")
+_MID = re.compile(r" ([A-ZÀ-ÞЀ-Я](?<=[a-zà-ÿа-яё,;] [A-ZÀ-ÞЀ-Я])[^\W\d_]+)")
 _MARK = re.compile(r"\s*(?:\([A-Z]\d+\)\s*)+$")
 _THAI = re.compile(r"[฀-๿]")
 
@@ -58,17 +64,38 @@ _THAI = re.compile(r"[฀-๿]")
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the stretches between lines without visible characters, outer blanks left out."""
     at = 0
-    for m in [*_GAP.finditer(text), None]:
-        end = m.start() if m else len(text)
-        piece = text[at:end]
-        if visible := piece.strip():
-            start = at + piece.index(visible[0])
-            yield start, start + len(visible)
-        at = m.end() if m else at
+    for part in text.split("\n\n"):
+        begin = 0
+        for m in [*_GAP.finditer(part), None] if part.count("\n") > 1 else [None]:
+            piece = part[begin : m.start() if m else len(part)]
+            if visible := piece.strip():
+                start = at + begin + piece.index(visible[0])
+                yield start, start + len(visible)
+            begin = m.end() if m else 0
+        at += len(part) + 2
+
+
+class Memo(dict):
+    """A function of a token, remembered for TOKENS of them at a time and never for long ones."""
+
+    def __init__(self, f: Callable[[str], object]) -> None:
+        self.f = f
+
+    def __missing__(self, token: str) -> object:
+        got = self.f(token)
+        if len(token) <= TOKEN_LETTERS:
+            if len(self) >= TOKENS:
+                self.clear()
+            self[token] = got
+        return got
 
 
 def left_word(text: str, start: int, dot: int) -> str:
     """The word before a period, in small letters, without brackets in front of it."""
+    far = max(start, dot - TOKEN_LETTERS)
+    at = text.rfind(" ", far, dot) + 1
+    if (at or far == start) and (word := text[at or far : dot]).isalnum():
+        return word.lower()
     at = dot
     while at > start and text[at - 1] not in _BEFORE_WORD:
         at -= 1
@@ -83,6 +110,23 @@ def words(tokens: set[str]) -> set[str]:
     return out
 
 
+@Memo
+def _dotted(token: str) -> tuple[str, bool, bool, str] | None:
+    """Of a token with a period at its end: the word, whether it takes the one before to know it, whether it is a small single letter, the comma behind the period."""
+    if token[-1] == ".":
+        raw, comma = token[:-1].lstrip(_EDGES), ""
+    elif token[-1] in ",;:" and token[-2:-1] == ".":
+        raw, comma = token[:-2].lstrip(_EDGES), ","
+    else:
+        return None
+    w = raw.lower()
+    if len(w) == 1 and w.isalpha():
+        return w, True, raw.islower(), comma
+    if len(w) < 3 and w.isdigit():
+        return w, True, False, comma
+    return (w, False, False, comma) if w[:1].isalpha() else None
+
+
 def _next_visible(text: str, at: int, end: int) -> int:
     while at < end and text[at].isspace():
         at += 1
@@ -103,6 +147,22 @@ def first_words(paras: list[list[str]]) -> set[str]:
     return out
 
 
+@Memo
+def _follows(ch: str) -> int | None:
+    """What a word's period is by the first letter behind it."""
+    return ABBR if ch in ",;:" or ch.islower() or ch.isdigit() else CAP if ch.isupper() else None
+
+
+def _with_left(w: str, small: bool, before: str) -> tuple[str, bool]:
+    """A single letter or short number before a period as it is known by the token before it, and whether it is small letters only."""
+    before = before.lstrip(_EDGES)
+    if w.isdigit():
+        return before.lower() + " #", small
+    if len(before) == 2 and before[1] == "." and before[0].isalpha():
+        return f"{before[0].lower()}.{w}", small and before[0].islower()
+    return w, small
+
+
 def observed(paras: list[list[str]], begins: Callable[[str], bool] | None = None) -> dict[str, list[int]]:
     """Per word before a period: how often the period is inside a sentence for certain, how often it ends a
     paragraph, how often a capital follows, and how often that capital's word ``begins`` sentences (or stands behind
@@ -112,39 +172,56 @@ def observed(paras: list[list[str]], begins: Callable[[str], bool] | None = None
     """
     out: dict[str, list[int]] = {}
     for tokens in paras:
-        for i in [i for i, t in enumerate(tokens) if "." in t[-2:]]:
-            t = tokens[i]
-            if t[-1] == ".":
-                w, after = t[:-1], tokens[i + 1] if i + 1 < len(tokens) else ""
-            elif t[-1] in ",;:":
-                w, after = t[:-2], ","
-            else:
-                continue
-            raw = w.lstrip(_EDGES)
-            w, small = raw.lower(), False
-            if len(w) == 1 and w.isalpha():
-                small = raw.islower()
-                if i and len(b := tokens[i - 1].lstrip(_EDGES)) == 2 and b[1] == "." and b[0].isalpha():
-                    w, small = f"{b[0].lower()}.{w}", small and b[0].islower()
-            elif len(w) < 3 and w.isdigit():
-                w = tokens[i - 1].lstrip(_EDGES).lower() + " #" if i else ""
-            if not w[:1].isalpha():
+        last = len(tokens) - 1
+        for i in [i for i, t in enumerate(tokens) if t[-1] in ".,;:" and "." in t[-2:]]:
+            if not (known := _dotted[tokens[i]]):
                 continue
+            w, short, small, after = known
+            if not after and i < last:
+                after = tokens[i + 1]
+            kind = _follows[after[0]] if after else STOP
+            if short:
+                w, small = _with_left(w, small, tokens[i - 1] if i else "")
+                if not w[:1].isalpha():
+                    continue
             got = out.get(w)
             if got is None:
                 got = out[w] = [0, 0, 0, 0]
-            ch = after[:1]
-            if not ch:
-                got[STOP] += 1
-            elif ch in ",;:" or ch.islower() or ch.isdigit():
-                got[ABBR] += 1
-            elif ch.isupper():
-                got[CAP] += 1
-                if begins and after[-1] != "." and (begins(after.rstrip(_EDGES)) or small):
+            if kind is not None:
+                got[kind] += 1
+                if kind == CAP and begins and after[-1] != "." and (begins(after.rstrip(_EDGES)) or small):
                     got[START] += 1
     return out
 
 
+def sure(text: str, paras: list[tuple[int, int]]) -> dict[str, list[int]]:
+    """What ``observed`` says of ABBR and STOP, read off the text; capitals, most of what follows periods, are passed over before any word is looked at."""
+    out: dict[str, list[int]] = {}
+    for start, end in paras:
+        for m in _CLOSED.finditer(text, start, end):
+            dot, at = m.span()
+            kind = ABBR if at - dot > 1 else STOP
+            if kind == STOP and at < end:
+                kind = _follows[text[_next_visible(text, at + 1, end)]]
+                if kind != ABBR:
+                    continue
+            size = TOKEN_LETTERS
+            while len(tokens := text[max(start, dot - size) : at].split()) < 3 and dot - size > start:
+                size *= 2  # the first of them may be cut
+            if not (known := _dotted[tokens[-1]]):
+                continue
+            w, short, small, _ = known
+            if short:
+                w, small = _with_left(w, small, tokens[-2] if len(tokens) > 1 else "")
+                if not w[:1].isalpha():
+                    continue
+            got = out.get(w)
+            if got is None:
+                got = out[w] = [0, 0]
+            got[kind] += 1
+    return out
+
+
 class Evidence:
     """Counts per class of evidence, field and word."""
 
@@ -184,7 +261,7 @@ class Evidence:
         c["n", 0].update(low)
         c["n", 1].update({w.lower() for w in mid})
         c["n", 2].update(after)
-        if _THAI.search(text):
+        if not text.isascii() and _THAI.search(text):
             for start, end in paragraphs(text):
                 body = text[start:end]
                 if len(_THAI.findall(body)) * 3 > len(body):
@@ -271,6 +348,8 @@ class Document:
     def __init__(self, text: str, corpus: Callable[[str, str], int]) -> None:
         self.text, self.corpus = text, corpus
         self.paras = list(paragraphs(text))
+        self.marks = [x for x in _MARKS if x in text]
+        self.thai = not text.isascii() and bool(_THAI.search(text))
         self._own: dict[str, list[int]] | None = None
         self._abbr: dict[tuple[str, bool], bool] = {}
         self._words: set[str] | None = None
@@ -279,7 +358,7 @@ class Document:
     def own(self, word: str) -> tuple[int, int]:
         """Unambiguous occurrences in this document: (abbreviation, end of sentence)."""
         if self._own is None:
-            self._own = observed([self.text[a:b].split() for a, b in self.paras])
+            self._own = sure(self.text, self.paras)
         got = self._own.get(word)
         return (got[ABBR], got[STOP]) if got else (0, 0)
 
@@ -311,18 +390,34 @@ class Document:
 
     def common(self, word: str) -> bool | None:
         """Whether a capitalised word is an ordinary one that stands at the start of a sentence; None if nothing is known."""
-        if self._words is None:
-            self._words = words(set(self.text.split()))
-            self._mid = set(_MID.findall(self.text))
         low = word.lower()
         if word[1:] != low[1:]:
             return None
-        in_doc, as_name = low in self._words, word in self._mid
+        in_doc, as_name = self._has(low), self._as_name(word)
         if in_doc != as_name:
             return in_doc
         code = self.corpus("n", low)
         return None if code == 0 else code == COMMON
 
+    def _has(self, low: str) -> bool:
+        """Whether a word stands in the text; where a search can tell, the words aren't gathered."""
+        if self._words is None:
+            if len(self.text) < SHORT and low.isalpha():
+                if f" {low} " in self.text:
+                    return True
+                if low not in self.text:
+                    return False
+            self._words = words(set(self.text.split()))
+        return low in self._words
+
+    def _as_name(self, word: str) -> bool:
+        """Whether a word stands capitalised behind a small letter or comma."""
+        if self._mid is None:
+            if len(self.text) < SHORT and f" {word}" not in self.text:
+                return False
+            self._mid = set(_MID.findall(self.text))
+        return word in self._mid
+
     def ends(self) -> Iterator[int]:
         """End positions of the units, ascending."""
         for start, end in self.paras:
@@ -332,15 +427,27 @@ class Document:
         text = self.text
         unit = start  # where the running unit begins
         cuts = []
-        for m in _TERM.finditer(text, start, end):
-            at = m.end()
-            if at <= unit or m.start() < unit:
+        for m in (_TERM if any(text.find(x, start, end) >= 0 for x in self.marks) else _STOP).finditer(text, start, end):
+            dot, at = m.span()
+            if at <= unit or dot < unit:
                 continue
-            stop, nxt = self._judge(m, unit, start, end)
-            if stop:
-                cuts.append(stop)
+            if at >= end:
+                break  # the paragraph's end is an end in any case
+            nxt, ch, mark = at, text[at], text[dot]
+            while ch.isspace():
+                nxt += 1
+                ch = text[nxt]
+            if at - dot > 1 or not ch.isalnum() or (mark in "!?…" and (mark == "…" or not ch.isupper())):
+                at, nxt = self._judge(m, unit, start, end)
+            elif mark == ".":  # a single mark before a letter or digit: as _judge has it, without a look at quotes and brackets
+                if not text[dot - 1].isalpha() and _NUMBER.fullmatch(text, unit, at):
+                    continue
+                if not self._period(unit, start, dot, nxt > at, ch, nxt, ch.isupper() or ch.islower()):
+                    continue
+            if at:
+                cuts.append(at)
                 unit = nxt
-        if _THAI.search(text, start, end):
+        if self.thai and _THAI.search(text, start, end):
             cuts = sorted({*cuts, *self._thai(start, end, cuts)})
         for c in cuts:
             if c < end:
@@ -370,7 +477,6 @@ class Document:
             return no
         if _MARK.match(text, at, end):
             return no
-        body = text[unit:dot]
         if mark[0] == "." and _NUMBER.fullmatch(text, unit, at):
             return no  # a paragraph or claim number belongs to what follows
         opener = nxt

@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -196,3 +197,82 @@ def test_joined_verdicts_split_alike(spark):
     rows = lambda n: sorted((-1 if r[0] is None else r[0], r[1]) for r in sentences.sentence_ends(docs, n).collect())
     shipped = rows(1 << 20)
     assert shipped == rows(0) and shipped[0][0] == -1
+
+
+ODD = [
+    "See 7. Then [0001]. It is 5. A1 and 12. Stufe? Ja! 9 is ½. Ünder x2. 𝔸b! Ǆ. No.A? b.",
+    "A (b. c) d.\tE 『F。』G。H।I? j! K… L.. M ?! N. (A1) “O.” P. „Q. R“ S.",
+    "Line one.  \r\n\r\n  Two.\n \t\n\n\nThree? \n\r\nfour\n\n. Dr. A. B. Cd etc., e.g. z. B. so",
+]
+
+
+def pieces(spark):
+    return ODD + [r.text for r in spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).where("length(text) > 0").collect()]
+
+
+def test_marks_decided_in_place_are_decided_as_by_judge(spark, lexicon):
+    """The short way for a single mark before a letter or digit comes to what the full one says of every mark."""
+    for text in pieces(spark):
+        for corpus in (lexicon, nothing):
+            doc, want = sentences.Document(text, corpus), []
+            for start, end in doc.paras:
+                unit, cuts = start, []
+                for m in sentences._TERM.finditer(text, start, end):
+                    if m.end() > unit <= m.start() and (got := doc._judge(m, unit, start, end))[0]:
+                        cuts.append(got[0])
+                        unit = got[1]
+                want += sorted({*cuts, *doc._thai(start, end, cuts), end})
+            assert list(sentences.Document(text, corpus).ends()) == want
+
+
+def test_paragraphs_and_left_words_of_odd_texts(spark):
+    for text in pieces(spark):
+        assert [text[a:b] for a, b in sentences.paragraphs(text)] == [p for p in map(str.strip, re.split(r"\n\s*\n", text)) if p]
+        for m in re.finditer(r"\.", text):
+            for start in (0, max(0, m.start() - 5)):
+                at = next((i + 1 for i in range(m.start() - 1, start - 1, -1) if text[i] in sentences._BEFORE_WORD), start)
+                assert sentences.left_word(text, start, m.start()) == text[at : m.start()].lower().strip("'’‘")
+
+
+@pytest.mark.parametrize("letters", [2, 40])
+def test_the_document_is_read_without_taking_it_apart(spark, monkeypatch, letters):
+    """Evidence read off the text is that of its tokens, and a word that is searched for is found as among all words."""
+    monkeypatch.setattr(sentences, "TOKEN_LETTERS", letters)
+    for text in pieces(spark):
+        paras = list(sentences.paragraphs(text))
+        want = {w: n[:2] for w, n in sentences.observed([text[a:b].split() for a, b in paras]).items() if any(n[:2])}
+        assert sentences.sure(text, paras) == want
+        known, names = sentences.words(set(text.split())), set(re.findall(r"(?<=[a-zà-ÿа-яё,;] )[A-ZÀ-ÞЀ-Я][^\W\d_]+", text))
+        for word in {*known, *(w[1:] for w in known), "", "Lid", "i\u0307"}:
+            doc = sentences.Document(text, nothing)
+            assert doc._has(word.lower()) == (word.lower() in known) and doc._as_name(word) == (word in names)
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(sentences, "TOKENS", 3)
+    asked = []
+    memo = sentences.Memo(lambda t: asked.append(t) or len(t))
+    for t in ["a", "bb", "a", "w" * 41, "w" * 41, *"cdefg", "a"]:
+        assert memo[t] == len(t) and len(memo) <= 3
+    assert asked == ["a", "bb", "w" * 41, "w" * 41, *"cdefg", "a"]
+
+
+def test_calls_per_letter(spark):
+    """Work that is counted, not timed: calls for both passes over whole texts (1.6 a letter when p10_found was over its CPU limit, 1.2 after)."""
+    texts, calls = pieces(spark), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        e = sentences.Evidence()
+        for t in texts:
+            e.add(t)
+        for t in texts:
+            list(sentences.Document(t, nothing).ends())
+    finally:
+        sys.setprofile(before)
+    assert calls < 1.35 * sum(map(len, texts))
