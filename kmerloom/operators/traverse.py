@@ -13,15 +13,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 from .graph import ColoredGraph
 from .search import Form, vertex_degrees, vertex_edges
 
 
 def _doubled(open_: DataFrame, all_: DataFrame) -> DataFrame:
-    """ptr jumps to ptr's ptr; distances add up; the least vertex met so far is kept; whose ptr is done is done."""
+    """ptr jumps to ptr's ptr; distances add up; the least vertex met so far is kept; whose ptr is done is done.
+
+    Joins of rounds are merged: what is small on disk or in a shuffle may be too large for the driver to broadcast.
+    """
     to = all_.select(F.col("v").alias("ptr"), F.col("ptr").alias("p2"), F.col("dist").alias("d2"), F.col("least").alias("l2"), F.col("done").alias("done2"))
-    return open_.join(to, "ptr").select("v", F.col("p2").alias("ptr"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("least", "l2").alias("least"), F.col("done2").alias("done"))
+    return open_.join(to.hint("merge"), "ptr").select("v", F.col("p2").alias("ptr"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("least", "l2").alias("least"), F.col("done2").alias("done"))
 
 
 def _ranked(pred: DataFrame) -> DataFrame:
@@ -33,11 +36,11 @@ def _ranked(pred: DataFrame) -> DataFrame:
     head = F.col("pred").isNull()
     start = lambda p: p.select("v", F.coalesce("pred", "v").alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("dist"), F.least("v", "pred").alias("least"), head.alias("done"))
     left = lambda df: df.agg(F.count_if(~F.col("done"))).first()[0]
-    state = cut(start(pred))
+    state = stored(start(pred))
     settled, n = state.where("done"), left(state)
     while n:
         open_ = state.where(~F.col("done"))
-        state = cut(_doubled(open_, settled.unionByName(open_)))
+        state = stored(_doubled(open_, settled.unionByName(open_)))
         now = left(state)
         if now == n:
             break
@@ -46,16 +49,16 @@ def _ranked(pred: DataFrame) -> DataFrame:
     if not n:
         return finished
     # cycles: the least vertex of each spreads in as many rounds; its own predecessor is then forgotten
-    ring = cut(pred.join(state.where(~F.col("done")).select("v"), "v", "left_semi"))
-    state = cut(start(ring))
+    ring = stored(pred.join(state.where(~F.col("done")).select("v").hint("merge"), "v", "left_semi"))
+    state = stored(start(ring))
     while True:
-        again = cut(_doubled(state, state))
-        moved = again.select("v", F.col("least").alias("now")).join(state.select("v", "least"), "v").where(F.col("now") != F.col("least"))
+        again = stored(_doubled(state, state))
+        moved = again.select("v", F.col("least").alias("now")).join(state.select("v", "least").hint("merge"), "v").where(F.col("now") != F.col("least"))
         state = again
         if not moved.limit(1).count():
             break
-    opened = ring.join(state.select("v", "least"), "v").select("v", F.when(F.col("v") != F.col("least"), F.col("pred")).alias("pred"))
-    return finished.unionByName(_ranked(cut(opened)))
+    opened = ring.join(state.select("v", "least").hint("merge"), "v").select("v", F.when(F.col("v") != F.col("least"), F.col("pred")).alias("pred"))
+    return finished.unionByName(_ranked(stored(opened)))
 
 
 def eligible_edges(graph: ColoredGraph, ratio: float | None = None) -> tuple[DataFrame, DataFrame, Form]:
@@ -84,6 +87,11 @@ def simple_paths(graph: ColoredGraph, ratio: float | None = None) -> DataFrame:
     A lone vertex is a path of length k; a cycle is one path that begins at its least k-mer. A path's text is
     one value and so one row's size, whatever the plan.
     """
+    if ratio is None and 2 <= graph.k <= 31:
+        from .compact import sequence_paths
+
+        found = sequence_paths(graph.vertices().select(F.col("kmer").alias("seq")), graph.k)
+        return found.select(F.substring("path", 1, graph.k).alias("head"), "path", "n_kmers")
     vertices, e, form = eligible_edges(graph, ratio)
     ranked = _ranked(cut(vertices.join(e.select("v", F.col("u").alias("pred")), "v", "left")))
     steps = ranked.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("dist", form.last(F.col("v")).alias("c")))).alias("x"))

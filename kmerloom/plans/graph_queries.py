@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, colors
 from ..operators import graph as g
-from ..operators import reads, search, traverse
+from ..operators import compact, reads, search, traverse
 from ..operators.graph import ColoredGraph
 from ..session import cut, fits, spread, table
 from ..sources.readers import base_name, dna
@@ -293,7 +293,9 @@ def simple_path_stats(spark, d):
 
 
 def simple_paths(spark, d):
-    return traverse.simple_paths(source_graph(spark, d, 27)).select("path", "n_kmers")
+    """Paths of the whole graph, from the texts: colors have no part in them."""
+    docs = table(spark, d, "documents").where(c("source").isNotNull() & c("text").isNotNull())
+    return compact.sequence_paths(spread(docs.select(c("text").alias("seq"))), 27, project=True)
 
 
 def core_simple_paths(spark, d):
