@@ -18,10 +18,10 @@ from ..session import stored
 from .search import Form
 from .traverse import _ranked
 
-WORD = 11  # letters of the words that choose a bucket
-SLICE = 3 << 20  # letters that a task cuts into runs at once
-BUCKET_BYTES = 8 << 20  # bytes of text a bucket: what a task contracts at once
-WINDOWS = 4 << 20  # windows that are held before they are made distinct
+WORD = 9  # letters of the words that choose a bucket
+SLICE = 2 << 20  # bytes of text that a task reads, and letters that it cuts into runs, at once
+BUCKET_BYTES = 4 << 20  # bytes of text a bucket: what a task contracts at once
+WINDOWS = 2 << 20  # windows that are held before they are made distinct
 CODES = np.full(256, 4, np.uint8)
 CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 PROJECTED = CODES.copy()
@@ -128,11 +128,13 @@ def _spread(k: int, buckets: int, project: bool) -> Callable[[Iterator[pa.Record
 
         held, n = [], 0
         for batch in stream:
-            held.append(codes_of(batch))
-            n += len(held[-1])
-            if n >= SLICE:
-                yield from cut(held)
-                held, n = [], 0
+            rows = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, rows):
+                held.append(codes_of(batch.slice(i, rows)))
+                n += len(held[-1])
+                if n >= SLICE:
+                    yield from cut(held)
+                    held, n = [], 0
         if n:
             yield from cut(held)
 
